@@ -1,7 +1,7 @@
 """Named SQL views over the driver's tables.
 
 Texts use the part of SQL that Spark and DuckDB share.  ``{name}`` refers to
-another view or a driver table; :func:`spark_view` resolves it with DataFrames,
+another view or a driver table, ``@SHA(x@)`` stands for the SHA-256 function; :func:`spark_view` resolves it with DataFrames,
 :func:`with_clause` with common table expressions.
 """
 
@@ -60,7 +60,7 @@ def pick(expr: str, options, else_null: bool = False) -> str:
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = VIEWS[name]
+    sql = VIEWS[name].replace("@SHA(", "SHA2(").replace("@)", ", 256)")
     return spark.sql(sql, **{d: spark_view(spark, sf_dir, d) for d in deps(sql)})
 
 
@@ -78,6 +78,7 @@ def with_clause(sql: str) -> str:
     visit(sql)
 
     def plain(text: str) -> str:
+        text = text.replace("@SHA(", "SHA256(").replace("@)", ")")
         return text.format(**{d: d for d in deps(text)})
 
     if not order:

@@ -10,24 +10,27 @@ from provlake.schema import FIELD
 _SLOT = {"i": "bigint", "num": "string", "s": "string", "b": "boolean", "l": "array<string>"}
 
 
-def typed(slot: str, value: Column) -> Column:
-    """One field value holding ``value`` in the named slot, null when it is null."""
-    parts = [(value if k == slot else F.lit(None)).cast(t).alias(k) for k, t in _SLOT.items()]
-    return F.when(value.isNotNull(), F.struct(*parts))
+def typed(slot: str, value: str) -> str:
+    """SQL text of one field value holding ``value`` in the named slot."""
+    parts = ", ".join(f"'{k}', cast({value if k == slot else 'null'} as {t})" for k, t in _SLOT.items())
+    return f"named_struct({parts})"
 
 
-def pack(**values: tuple[str, Column]) -> Column:
-    """Map of the present fields only: an absent field is left out, never null."""
-    entries = [F.struct(F.lit(k).alias("key"), typed(s, v).alias("value")) for k, (s, v) in values.items()]
-    if not entries:
+def pack(fields: dict[str, tuple[str, str]]) -> Column:
+    """Map of the present fields only: an absent field is left out, never null.
+
+    ``fields`` maps a name to (slot, SQL expression).
+    """
+    if not fields:
         return F.expr(f"cast(map() as map<string,{FIELD}>)")
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
+    entries = ", ".join(
+        f"if(({e}) is null, null, named_struct('key', '{k}', 'value', {typed(s, e)}))" for k, (s, e) in fields.items())
+    return F.expr(f"map_from_entries(array_compact(array({entries})))")
 
 
 def first_present(keys: list[str], fields: str = "fields") -> Column:
     """The first alias that is present; its type is checked only afterwards."""
-    m = F.col(fields)
-    return F.coalesce(*[F.try_element_at(m, F.lit(k)) for k in keys])
+    return F.expr("coalesce(" + ", ".join(f"try_element_at({fields}, '{k}')" for k in keys) + ")")
 
 
 def any_int(*keys: str, fields: str = "fields") -> Column:

@@ -13,14 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provlake import vocab as V
-from provlake.functions.dims import literal_rows, lookup, rank_of
+from provlake.functions.dims import literal_rows, lookup, rank_of, rows_text, text
 
 ENTRY_COLUMNS = [
     "case_id", "emit_block", "emit_fact", "emit_step", "rule_id", "kind", "facet", "claim",
     "anchor", "achievement", "tier", "source_group",
 ]
 _RUBRIC_KEYS = [(f"{c}/{a}", w) for c, a, w in V.RUBRIC_ROWS]
-_METHOD_KEYS = [f"{c}/{r}" for c, r in V.METHOD_ANCHORS]
 
 
 def anchor_weight(claim: Column, anchor: Column) -> Column:
@@ -118,8 +117,7 @@ def claim_rows(cases: DataFrame, stacked: DataFrame) -> DataFrame:
     achieved = scored & (F.col("w.achievement") > 0)
     is_cap, is_abs = F.col("kind") == V.CAP_REQUEST, F.col("kind") == V.ABSTENTION_REQUEST
     contradicts = F.col("kind") == V.CONTRADICTION
-    method_rules = lookup(F.col("claim"), [
-        (c, F.array(*[F.lit(r) for k, r in V.METHOD_ANCHORS if k == c])) for c, _ in V.CLAIMS])
+    method_rules = lookup(F.col("claim"), [(c, [r for k, r in V.METHOD_ANCHORS if k == c]) for c, _ in V.CLAIMS])
 
     folded = placed.groupBy("case_id", "facet", "claim").agg(
         F.coalesce(F.sum(F.when(scored, weight * F.col("w.achievement"))), F.lit(0)).cast("bigint").alias("weighted"),
@@ -154,14 +152,14 @@ def claim_rows(cases: DataFrame, stacked: DataFrame) -> DataFrame:
         .withColumn("score_tenths", F.when(F.size("contradicted_by") > 0, F.lit(0).cast("bigint"))
                     .otherwise(F.least("raw_tenths", lowest)))
         .withColumn("best_tier", F.try_element_at(
-            F.array(*[F.lit(t) for t in V.TIERS]), (F.col("best_rank") + 1).cast("int")))
+            F.expr(text(V.TIERS)), (F.col("best_rank") + 1).cast("int")))
     )
 
 
-def anchor_array(claim: Column, hits: Column) -> Column:
+def anchor_array(hits: Column) -> Column:
     """Every rubric anchor of the claim, with zero achievement where nothing was seen."""
-    rubric = lookup(claim, [
-        (c, literal_rows(anchors, ["anchor", "weight"])) for c, anchors in V.RUBRIC.items()])
+    arms = " ".join(f"WHEN '{c}' THEN {rows_text(a, ['anchor', 'weight'])}" for c, a in V.RUBRIC.items())
+    rubric = F.expr(f"CASE claim {arms} END")
     seen = F.map_from_entries(hits)
     return F.transform(rubric, lambda a: F.struct(
         a["anchor"].alias("anchor"), a["weight"].alias("weight"),
@@ -176,7 +174,7 @@ def claim_scores(cases: DataFrame, stacked: DataFrame) -> DataFrame:
     return (
         claim_rows(cases, stacked).where(F.col("claim") != "")
         .select("case_id", "claim", "raw_tenths", "score_tenths", "rubric_divisor",
-                anchor_array(F.col("claim"), F.col("hits")).alias("anchors"),
+                anchor_array(F.col("hits")).alias("anchors"),
                 "caps", "best_tier", "source_groups", "contradicted_by", "has_method_anchor")
     )
 
