@@ -12,6 +12,8 @@ from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 
+from provlake.sources.tables import read_table
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -59,7 +61,7 @@ def pick(expr: str, options, else_null: bool = False) -> str:
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return read_table(spark, f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name].replace("@SHA(", "SHA2(").replace("@)", ", 256)")
     return spark.sql(sql, **{d: spark_view(spark, sf_dir, d) for d in deps(sql)})
 

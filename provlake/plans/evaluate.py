@@ -16,6 +16,18 @@ from provlake.plans.caseflags import case_flags, read_facts
 from provlake.plans.emit import emitted
 
 
+def loop_context(cases: DataFrame, loop: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Per case: what a rule that walks over facts needs to know about the others."""
+    cfg = F.col("kind") == "adapter_config"
+    per_case = loop.groupBy("case_id").agg(
+        F.count("*").alias("n_rows"), F.count(F.when(cfg, 1)).alias("n_configs"),
+        F.max(F.when(cfg & F.col("num1").isNotNull(), F.struct("fact_seq", "num1")))["num1"].alias("declared_rank"),
+        F.max(F.when(cfg & F.col("targets").isNotNull(), F.struct("fact_seq", "targets")))["targets"].alias("declared_targets"))
+    stamped = artifacts.groupBy("case_id").agg(F.count("mtime").alias("n_mtime"))
+    return (per_case.join(cases.select("case_id"), "case_id")
+            .join(stamped, "case_id", "left").fillna({"n_mtime": 0}))
+
+
 def emissions(cases: DataFrame, facts: DataFrame, artifacts: DataFrame, declared: DataFrame,
               families: list[str] | None = None, pinned_only: bool = False) -> DataFrame:
     """All rule emissions of the chosen families (every family by default)."""
@@ -28,13 +40,9 @@ def emissions(cases: DataFrame, facts: DataFrame, artifacts: DataFrame, declared
     looped = [f for f in chosen if f in rules.FACT_FAMILIES]
     if looped:
         wanted = [x for f in looped for x in rules.FACT_FAMILY_KINDS[f]]
-        context = flags.selectExpr(
-            "case_id", "n_mtime", "n_facts", "coalesce(k_adapter_config.n, 0L) AS n_configs",
-            "k_adapter_config.num_last.num1 AS declared_rank",
-            "k_adapter_config.targets_last.targets AS declared_targets")
-        rows = read_facts(facts.where(F.col("kind").isin(wanted)))
-        # facts of cases outside the case list say nothing
-        rows = (context_join(rows, context, "case_id", "n_facts", "fact_id").where("n_facts IS NOT NULL")
+        loop = read_facts(facts.where(F.col("kind").isin(wanted)))
+        rows = (context_join(loop, loop_context(cases, loop, artifacts), "case_id", "n_rows", "fact_id")
+                .where("n_rows IS NOT NULL")  # facts of cases outside the case list say nothing
                 .withColumn("me", F.struct("fact_seq", "fact_id", "artifact_id", "source_group")))
         out = out.unionByName(emitted(rows, [s for f in looped for s in rules.FACT_FAMILIES[f]()]))
     return out
