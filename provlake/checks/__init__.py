@@ -4,3 +4,4 @@ from provlake.checks.registry import ORACLES, QUERIES  # noqa: F401
 from provlake.checks import q_scoring  # noqa: F401
 from provlake.checks import q_rules  # noqa: F401
 from provlake.checks import q_logs  # noqa: F401
+from provlake.checks import q_tensors  # noqa: F401
