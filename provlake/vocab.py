@@ -164,7 +164,7 @@ LOCAL_WEIGHT_TYPES = ["safetensors", "gguf", "shard_index"]
 TEXT_ONLY_TYPES = [
     "plain_text", "model_card", "generic_json", "generic_yaml", "generic_toml", "unrecognised",
 ]
-CONTAINER_TYPES = ["safetensors", "gguf", "onnx"]
+CONTAINER_TYPES = ["safetensors", "gguf", "onnx", "shard_index"]
 UNPARSED_TYPES = ["opaque_serialization", "unrecognised", "plain_text"]
 
 # --- fixed values: declared facets that assert weight training ---------------
