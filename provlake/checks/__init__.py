@@ -6,3 +6,4 @@ from provlake.checks import q_rules  # noqa: F401
 from provlake.checks import q_logs  # noqa: F401
 from provlake.checks import q_tensors  # noqa: F401
 from provlake.checks import q_texts  # noqa: F401
+from provlake.checks import q_privacy  # noqa: F401
