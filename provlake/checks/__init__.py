@@ -8,3 +8,4 @@ from provlake.checks import q_tensors  # noqa: F401
 from provlake.checks import q_texts  # noqa: F401
 from provlake.checks import q_privacy  # noqa: F401
 from provlake.checks import q_sources  # noqa: F401
+from provlake.checks import q_verification  # noqa: F401
