@@ -21,7 +21,7 @@ def read_header(stream, size: int, limit: int = HEADER_LIMIT_BYTES) -> tuple[str
     start = stream.read(8)
     if len(start) < 8:
         return None, None, "file is shorter than the length prefix"
-    n = int.from_bytes(start, "little")
+    n = min(int.from_bytes(start, "little"), 2**63 - 1)
     if n > limit:
         return None, n, "declared header exceeds the header limit"
     if 8 + n > size:
