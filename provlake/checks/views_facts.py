@@ -88,40 +88,42 @@ def declared(get):
         F.split("augmentation", ","), F.array().cast("array<string>")))
 
 
-def _list(name: str, kind: str | None = None):
-    value = f"if({name} = '', cast(array() as array<string>), split({name}, ','))"
-    return ("l", f"CASE WHEN kind = '{kind}' THEN {value} END" if kind else value)
-
-
-def _kind(kind: str, value: str) -> str:
-    return f"CASE WHEN kind = '{kind}' THEN {value} END"
+def _list(name: str):
+    return ("l", f"if({name} = '', cast(array() as array<string>), split({name}, ','))")
 
 
+# kind -> field -> (slot, expression over the flat columns)
 FIELDS = {
-    "revision_pinned": ("b", "pinned"), "revision": ("s", "revision"),
-    "base_model_name_or_path": ("s", _kind("adapter_config", "base_name")),
-    "_name_or_path": ("s", _kind("model_config", "base_name")),
-    "base_ref": ("s", _kind("base_model_reference", "base_name")),
-    "parameters": ("i", "parameters"), "is_base": ("b", "is_base"), "model_type": ("s", "model_type"),
-    "num_parameters": ("i", "num_parameters"), "vocab_changed": ("b", "vocab_changed"),
-    "r": ("i", "if(fact_seq % 2 = 1, lora_rank, null)"), "lora_rank": ("i", "if(fact_seq % 2 = 0, lora_rank, null)"),
-    "target_modules": _list("targets", "adapter_config"),
-    "target_module_suffixes": _list("targets", "adapter_tensor_set"),
-    "modules_to_save": _list("modules_to_save"), "use_dora": ("b", "use_dora"),
-    "lora_pair_count": ("i", "pairs"), "inferred_ranks": _list("ranks"), "has_dora": ("b", "has_dora"),
-    "enable_lora": ("b", "enable_lora"), "lora_modules": ("s", "lora_modules"),
-    "trainable": ("i", "trainable"), "total": ("i", "total"),
+    "base_model_reference": {"revision_pinned": ("b", "pinned"), "revision": ("s", "revision"), "base_ref": ("s", "base_name")},
+    "teacher_reference": {"revision_pinned": ("b", "pinned")},
+    "adapter_config": {
+        "base_model_name_or_path": ("s", "base_name"), "r": ("i", "if(fact_seq % 2 = 1, lora_rank, null)"),
+        "lora_rank": ("i", "if(fact_seq % 2 = 0, lora_rank, null)"), "target_modules": _list("targets"),
+        "modules_to_save": _list("modules_to_save"), "use_dora": ("b", "use_dora")},
+    "adapter_tensor_set": {
+        "target_module_suffixes": _list("targets"), "lora_pair_count": ("i", "pairs"),
+        "inferred_ranks": _list("ranks"), "has_dora": ("b", "has_dora")},
+    "model_config": {"_name_or_path": ("s", "base_name"), "model_type": ("s", "model_type"), "num_parameters": ("i", "num_parameters")},
+    "tensor_header": {"parameters": ("i", "parameters"), "is_base": ("b", "is_base")},
+    "compute_record": {"parameters": ("i", "parameters"), "flops": ("i", "flops")},
+    "tokenizer_identity": {"vocab_changed": ("b", "vocab_changed")},
+    "serving_config": {"enable_lora": ("b", "enable_lora"), "lora_modules": ("s", "lora_modules")},
+    "trainable_parameter_record": {"trainable": ("i", "trainable"), "total": ("i", "total")},
     # a present key of the wrong type hides the alias behind it
-    "global_step": ("i", _kind("checkpoint_step", "coalesce(step, 7)")),
-    "step": ("s", _kind("checkpoint_step", "if(step is null, 'seven', null)")),
-    "entry_count": ("i", "entry_count"), "steps_monotonic": ("b", "monotonic"), "objective": ("s", "objective"),
-    "tokens": ("i", "tokens"), "category": ("s", "category"), "full_chain": ("b", "full_chain"),
-    "image_digest": ("s", "image_digest"), "in_scope": ("b", "in_scope"), "flops": ("i", "flops"),
-    "run_started_at": ("s", "started_at"), "checkpoint_at": ("s", "checkpoint_at"),
+    "checkpoint_step": {"global_step": ("i", "coalesce(step, 7)"), "step": ("s", "if(step is null, 'seven', null)")},
+    "training_metric": {"entry_count": ("i", "entry_count"), "steps_monotonic": ("b", "monotonic")},
+    "retrieval_trace": {"entry_count": ("i", "entry_count"), "full_chain": ("b", "full_chain")},
+    "training_objective": {"objective": ("s", "objective")}, "dataset_manifest": {"tokens": ("i", "tokens")},
+    "token_count_record": {"tokens": ("i", "tokens")}, "sdk_dependency": {"category": ("s", "category")},
+    "container_manifest": {"image_digest": ("s", "image_digest")}, "artifact_reference": {"in_scope": ("b", "in_scope")},
+    "file_chronology": {"run_started_at": ("s", "started_at"), "checkpoint_at": ("s", "checkpoint_at")},
 }
 
 
 def facts(get):
     """The typed field map of each fact, with several of the accepted key names."""
+    fields = pack({})
+    for kind, entries in FIELDS.items():
+        fields = F.when(F.col("kind") == kind, pack(entries)).otherwise(fields)
     return get("v_fact_flat").select(
-        "case_id", "fact_seq", "fact_id", "kind", "artifact_id", "source_group", pack(FIELDS).alias("fields"))
+        "case_id", "fact_seq", "fact_id", "kind", "artifact_id", "source_group", fields.alias("fields"))

@@ -71,7 +71,6 @@ def read_facts(facts: DataFrame) -> DataFrame:
             trainable_parameter_record=any_int("total", "all_params", "total_params"),
             compute_record=any_int("flops", "total_flos", "total_flops"),
         ).alias("num2"),
-        _per_kind(checkpoint_step=any_int("step", "global_step")).alias("step"),
         _per_kind(
             adapter_config=any_list("target_modules", "targets"),
             adapter_tensor_set=any_list("target_module_suffixes", "targets"),
@@ -97,10 +96,16 @@ def kind_summary(read: DataFrame) -> DataFrame:
         F.sum(F.col("num1").cast("decimal(38,0)")).alias("num_sum"),
         F.max("num1").alias("num_max"),
         F.max("flag").alias("any_flag"), F.min("flag").alias("all_flag"),
-        F.count_distinct("step").alias("n_steps"), F.min("step").alias("step_min"),
     )
 
 
+def step_summary(facts: DataFrame) -> DataFrame:
+    """Distinct checkpoint steps per case, kept apart so that the wide aggregate needs no distinct."""
+    steps = facts.where(F.col("kind") == "checkpoint_step").select("case_id", any_int("step", "global_step").alias("step"))
+    return (steps.distinct().groupBy("case_id")
+            .agg(F.count("step").alias("n_steps"), F.min("step").alias("step_min")))
+
+
 def artifact_summary(artifacts: DataFrame) -> DataFrame:
     t = F.col("artifact_type")
     return artifacts.groupBy("case_id").agg(
@@ -123,10 +128,11 @@ def case_flags(cases: DataFrame, facts: DataFrame, artifacts: DataFrame, declare
             F.col("kind").alias("key"), F.struct(*summary).alias("value")))).alias("kinds"),
         F.sum("n").alias("n_facts")))
     zero = {"n_artifacts": 0, "has_weights": False, "structural": False, "local_weights": False,
-            "only_text": False, "n_opaque": 0, "n_mtime": 0, "n_facts": 0}
+            "only_text": False, "n_opaque": 0, "n_mtime": 0, "n_facts": 0, "n_steps": 0}
     return (
         cases.select("case_id")
         .join(kinds, "case_id", "left")
+        .join(step_summary(facts), "case_id", "left")
         .join(artifact_summary(artifacts), "case_id", "left")
         .join(declared.select("case_id", "weight_origin", "parameter_update", "training_stage",
                               "inference_augmentation"), "case_id", "left")

@@ -83,6 +83,7 @@ def out_of_scope(facets, when) -> str:
 def emitted(rows: DataFrame, specs: list[str]) -> DataFrame:
     """Evaluate the declared emissions over each row."""
     return (
+        # array_compact keeps the long list of rules out of generated code, where compiling it dominates
         rows.selectExpr("case_id", "inline(array_compact(array(" + ",\n".join(specs) + ")))")
         .select("*", F.posexplode("targets").alias("pos", "t"))
         .selectExpr("case_id", "emit_block", "emit_fact", "step * 10 + pos AS emit_step", "rule_id", "kind",

@@ -47,7 +47,7 @@ def augments(name: str) -> str:
 
 
 TRAINS = f"({declared('weight_origin', *V.TRAINED_ORIGINS)} OR {declared('parameter_update', *V.TRAINED_UPDATES)})"
-STEPS = "coalesce(k_checkpoint_step.n_steps, 0L)"
+STEPS = "n_steps"
 # parameter sum over container headers; null when no header states one
 SEEN = ("if(k_tensor_header.num_sum IS NULL, null, "
         "least(k_tensor_header.num_sum, cast(9223372036854775807 as decimal(38,0))))")
@@ -175,7 +175,7 @@ def distillation() -> list[str]:
 
 def scratch() -> list[str]:
     on = declared("weight_origin", "random_initialization_claimed")
-    zero = "coalesce(k_checkpoint_step.step_min = 0, false)"
+    zero = "coalesce(step_min = 0, false)"
     one = lambda anchor: [("scratch", anchor)]
     return [
         E.support(70, 1, "CL-SCRATCH-001", one("step_zero"), 100, "E1", first("checkpoint_step"), f"{on} AND {zero}"),
