@@ -118,8 +118,9 @@ SECRETS = ["AKIA" + A("Q", 16), "sk-" + A("a1", 12), "bob.b+x@ex-ample.co.uk", "
 def leak_check(get):
     t = get("v_text")
     after = t.withColumn("text", P.scrub_text(F.col("text")))
-    n = lambda df, name: P.leak_check(df, ["text"], SECRETS).agg(F.count("*").alias(name))
-    return n(after, "leaking_rows").withColumn("k", F.lit(1)).join(n(t, "planted_rows").withColumn("k", F.lit(1)), "k").drop("k")
+    mark = lambda df, a, b: P.leak_check(df, ["text"], SECRETS).select(F.lit(a).alias("a"), F.lit(b).alias("b"))
+    return (mark(after, 1, 0).unionByName(mark(t, 0, 1))
+            .agg(F.coalesce(F.sum("a"), F.lit(0)).alias("leaking_rows"), F.coalesce(F.sum("b"), F.lit(0)).alias("planted_rows")))
 
 
 @query("field_scrub", f"""SELECT doc_id, CASE WHEN {SENS} THEN '{V.REDACTED_BY_KEY}' ELSE value END AS named, '[OUT-OF-SCOPE-PATH]' AS token_path, '{V.REDACTED_BY_KEY}' AS tokenizer_class,

@@ -213,8 +213,9 @@ def evidence_digest(get):
 def reproducibility(get):
     shuffled = lambda v: get(v).repartition(7) if v == "v_outcome" else get(v)
     a, b = evidence(get), evidence(shuffled)
-    d = X.reproducibility(a, b).agg(F.count("*").alias("differing")).withColumn("k", F.lit(1))
-    return a.agg(F.count("*").alias("cases")).withColumn("k", F.lit(1)).join(d, "k").drop("k")
+    mark = lambda df, x, y: df.select(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    return (mark(a, 1, 0).unionByName(mark(X.reproducibility(a, b), 0, 1))
+            .agg(F.coalesce(F.sum("x"), F.lit(0)).alias("cases"), F.coalesce(F.sum("y"), F.lit(0)).alias("differing")))
 
 
 @query("report_document", """
@@ -282,8 +283,10 @@ def conclusion_text(get):
 def report_language_guard(get):
     texts = X.conclusion_text(_conclusions(get)).select("text", F.lit(X.STATEMENT).alias("statement"), F.explode("rule_ids").alias("rule_id"), "case_id", "facet")
     texts = texts.withColumn("rule_text", X.catalogue_text(F.col("rule_id")))
-    n = X.language_guard(texts, ["text", "statement", "rule_text"]).agg(F.count("*").cast("int").alias("findings")).withColumn("k", F.lit(1))
-    return _conclusions(get).agg(F.count("*").alias("texts")).withColumn("k", F.lit(1)).join(n, "k").drop("k")
+    found = X.language_guard(texts, ["text", "statement", "rule_text"])
+    mark = lambda df, x, y: df.select(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    return (mark(found, 1, 0).unionByName(mark(_conclusions(get), 0, 1))
+            .agg(F.coalesce(F.sum("x"), F.lit(0)).alias("findings"), F.coalesce(F.sum("y"), F.lit(0)).alias("texts")))
 
 
 @query("facts_union", """SELECT case_id, kind, COUNT(*) AS facts, COUNT(DISTINCT fact_seq) AS ids FROM {v_fact_flat} WHERE kind IN ('seed_record', 'merge_record', 'tensor_header') GROUP BY case_id, kind""")
