@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import re
 
-CACHE_ENTRIES = 400_000  # pieces kept by one worker; the cache is emptied beyond
+CACHE_ENTRIES = 1_000_000  # pieces kept by one worker; the cache is emptied beyond
 
 _encoders: dict[tuple[str, str], "PieceEncoder"] = {}
 
@@ -45,27 +45,31 @@ class PieceEncoder:
 
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> tuple[str, list[str]]:
+        """The first piece and the others; in ``spaced`` mode the one space before each of the others is left out."""
         if self.mode == "words":
-            return [p for p in text.replace("\n", " ").split(" ") if p]
+            return "", text.replace("\n", " ").split(" ")
         if self.AMBIGUOUS.search(text):
-            return self.SAFE_CUT.split(text)
+            head, *rest = self.SAFE_CUT.split(text)
+            return head, [p[1:] for p in rest]
         head, *rest = text.split(" ")
-        return [head, *(" " + p for p in rest)]
+        return head, rest
+
+    def _learn(self, pieces: set[str]) -> None:
+        lead = " " if self.mode == "spaced" else ""
+        missing = list(pieces.difference(self.cache))
+        for i in range(0, len(missing), 4096):
+            part = missing[i:i + 4096]
+            self.cache.update(zip(part, self._whole([lead + p for p in part]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
-        cache, cut = self.cache, []
-        for text in texts:
-            cut.append(None if any(a in text for a in self.added) else self.pieces(text))
-        missing = list({p for pieces in cut if pieces for p in pieces if p not in cache})
-        for i in range(0, len(missing), 4096):
-            part = missing[i:i + 4096]
-            cache.update(zip(part, self._whole(part), strict=True))
-        get = cache.__getitem__
-        return [b"".join(map(get, pieces)) if pieces is not None else self._whole([text])[0]
-                for text, pieces in zip(texts, cut, strict=True)]
+        cut = [None if any(a in text for a in self.added) else self.pieces(text) for text in texts]
+        self._learn(set().union(*(c[1] for c in cut if c)))
+        heads = iter(self._whole([t if c is None else c[0] for t, c in zip(texts, cut, strict=True)]))
+        get = self.cache.__getitem__
+        return [next(heads) if c is None else next(heads) + b"".join(map(get, c[1])) for c in cut]
 
 
 def encoder(path: str, mode: str) -> PieceEncoder:
