@@ -132,9 +132,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     # all chunks of a shard but its last are full, so the index alone tells where each begins
     full = chunks.groupBy("shard").agg(F.max("n_ids").alias("full"), F.sum("n_ids").alias("ids"))
+    # one row per shard, so no more rows than the file had write tasks
     bases = full.withColumn("base", F.coalesce(F.sum("ids").over(
         Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("shard", "full", "base")
-    decoded = chunks.join(bases, "shard").withColumn("chunk_start", F.col("base") + F.col("chunk") * F.col("full")).drop("full", "base")
+    decoded = chunks.join(F.broadcast(bases), "shard").withColumn("chunk_start", F.col("base") + F.col("chunk") * F.col("full")).drop("full", "base")
     joined = F.aggregate(F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("piece", "ids")))),
                          F.lit(b""), lambda a, e: F.concat(a, e["ids"]))
     return (decoded.mapInArrow(pieces, PIECE_SCHEMA).groupBy("shard", "doc_no")
