@@ -72,8 +72,8 @@ def found(text: Column, pattern: str, needs: Column) -> Column:
                     F.arrays_zip(x["m"], F.slice(x["g"], F.lit(1), F.size(x["m"]))),
                     F.struct(F.lit(0).alias("at"), none_spans().alias("out")),
                     lambda a, e: F.struct(
-                        (a["at"] + F.length(e["1"]) + F.length(e["0"])).alias("at"),
-                        F.concat(a["out"], F.array(F.struct((a["at"] + F.length(e["1"])).alias("start"), e["0"].alias("value")))).alias("out")))["out"])
+                        (a["at"] + F.length(e["1"]) + F.length(e["m"])).alias("at"),
+                        F.concat(a["out"], F.array(F.struct((a["at"] + F.length(e["1"])).alias("start"), e["m"].alias("value")))).alias("out")))["out"])
     return F.when(needs, spans).otherwise(none_spans())
 
 
@@ -150,6 +150,10 @@ def redact_documents(docs: DataFrame) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
     docs = with_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    counts = [F.size(F.filter("pii", lambda s, i=i: s["kind_no"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
+
+    def of_kind(i):
+        return F.filter("pii", lambda s: s["kind_no"] == i)
+
+    counts = [F.size(of_kind(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
     base = joined(F.filter("pii", lambda s: s["kind_no"] < 4))
     return docs.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from provlake.llm.mixing import op5_mixing
 from provlake.llm.packing import op6_packing
+from provlake.llm.pii import op4_pii
+from provlake.llm.simhash_trie import op3_simhash_trie
 from provlake.llm.token_planes import op1_token_planes
 
-QUERIES = {f.__name__: f for f in (op1_token_planes, op6_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_planes, op3_simhash_trie, op4_pii, op5_mixing, op6_packing)}
 ORACLES: dict[str, str] = {}
