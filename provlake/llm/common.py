@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package once per application, so that tasks can import it wherever it is installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_provlake_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-package-"), "provlake.zip")  # the driver serves it to executors
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("provlake", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._provlake_shipped = True
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once per row, also where ``body`` uses it inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlake.llm.common import arrow_batch, arrow_schema
+from provlake.llm.common import arrow_batch, arrow_schema, ship_package
 from provlake.llm.tokens import encoded_rows
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -103,6 +103,7 @@ def pack(rows: DataFrame, tokenizer: str, end_id: int, max_tokens: int = 4096, m
     first of a text, which nothing predicts.  ``max_loss_tokens`` defaults to ``max_tokens``.
     """
     limits = (max_tokens, max_segments, max_loss_tokens or max_tokens)
+    ship_package(rows.sparkSession)
     arrow = arrow_schema(PIECES)
 
     def packed(batches):

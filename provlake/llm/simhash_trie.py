@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlake.llm.common import arrow_batch, arrow_schema, saved
+from provlake.llm.common import arrow_batch, arrow_schema, saved, ship_package
 from provlake.llm.components import connected_components, union
 
 BLOCK, SUB = 16, 6  # bits that lead a rotated trie; further bits by which a large subtree is dealt out
@@ -53,6 +53,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """``(doc_id, fp)``; the 64 bits are held in a signed long."""
+    ship_package(docs.sparkSession)
     schema = arrow_schema("doc_id long, fp long")
 
     def each(batches):
@@ -153,6 +154,7 @@ def trie_links(fps: DataFrame, budget: int = 3, split_above: int = 20_000) -> Da
     ).otherwise(F.array(F.struct(F.lit(-1).alias("low"), F.lit(-1).alias("high"))))
     tasks = (led.join(large, ["turn", "block"], "left").withColumn("sub", sub)
              .select("turn", "block", "fp", F.inline(pairs)))
+    ship_package(fps.sparkSession)
     arrow = arrow_schema("u long, v long")
 
     def join(batches):

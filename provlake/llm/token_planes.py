@@ -21,7 +21,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from provlake.llm.common import arrow_batch, arrow_schema, shared_folder
+from provlake.llm.common import arrow_batch, arrow_schema, shared_folder, ship_package
 from provlake.llm.tokens import encoded_rows
 
 CHUNK_SCHEMA = ("shard int, chunk long, n_ids int, mode string, planes array<binary>, doc_no array<long>, doc_id array<long>, "
@@ -68,6 +68,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, mo
     Shards are ranges of doc_id, as many as the session has shuffle partitions unless given.  A shard is
     streamed: at most one chunk of ids and one group of texts are in memory.
     """
+    ship_package(docs.sparkSession)
     arrow = arrow_schema(CHUNK_SCHEMA)
 
     def chunks(batches):
@@ -116,6 +117,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     Documents inside one chunk are finished there; those cut by a chunk border are joined from their pieces.
     """
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(path)
+    ship_package(spark)
     arrow = arrow_schema(PIECE_SCHEMA)
 
     def pieces(batches):
