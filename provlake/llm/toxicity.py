@@ -42,6 +42,17 @@ FEATURES = ["log_words", "seed_rate", "seed_count", "learned_rate", "learned_cou
             "capital_words", "exclamations", "punctuation", "symbols", "digits", "masked_rate", "masked_hits", "long_runs"]
 
 
+def unmasks(word: str, learned: frozenset[str]) -> bool:
+    """Does a word with signs inside stand for a listed word?  A star may stand for nothing or for any one letter."""
+    plain = word.lower().translate(PLAIN_LETTERS)
+    if plain in SEED_LEXICON or plain in learned or plain[:STEM] + "*" in learned:
+        return True
+    if "*" not in word:
+        return False
+    holes = "*".join(p.translate(PLAIN_LETTERS) for p in word.lower().split("*"))
+    return any(len(w) == len(holes) and all(a in ("*", b) for a, b in zip(holes, w, strict=True)) for w in SEED_LEXICON | learned)
+
+
 def text_features(text: str | None, learned: frozenset[str]) -> list[float]:
     """The dense features of one text, in the order of FEATURES."""
     import numpy as np
@@ -59,7 +70,7 @@ def text_features(text: str | None, learned: frozenset[str]) -> list[float]:
     bytes_ = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8), minlength=128)
     letters = bytes_[65:91].sum() + bytes_[97:123].sum()
     masked = MASKED.findall(text)
-    unmasked = sum((w := m.lower().translate(PLAIN_LETTERS)) in SEED_LEXICON or w in learned or w[:STEM] + "*" in learned for m in masked)
+    unmasked = sum(unmasks(m, learned) for m in masked)
     count = lambda chars: float(sum(bytes_[ord(c)] for c in chars))
     return [float(np.log1p(n)), len(seed) / n, float(np.log1p(len(seed))), len(found) / n, float(np.log1p(len(found))), close / n, len(you) / n,
             float(bytes_[65:91].sum() / max(letters, 1)), sum(w.isupper() and len(w) > 1 for w in tokens) / n, count("!?") / n,
