@@ -39,6 +39,14 @@ class PieceEncoder:
         self.mode = mode
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.begins = None
+        if mode == "spaced":
+            import numpy as np
+
+            # tokens that begin with the space byte: in a text of spaced words, where a word begins
+            vocabulary = self.tok.get_vocab(with_added_tokens=True)
+            self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -55,18 +63,32 @@ class PieceEncoder:
         head, *rest = text.split(" ")
         return head, rest
 
-    def _learn(self, pieces: set[str]) -> None:
-        lead = " " if self.mode == "spaced" else ""
-        missing = list(pieces.difference(self.cache))
-        for i in range(0, len(missing), 4096):
-            part = missing[i:i + 4096]
-            self.cache.update(zip(part, self._whole([lead + p for p in part]), strict=True))
+    def _learn(self, missing: list[str]) -> None:
+        if self.begins is None:
+            self.cache.update(zip(missing, self._whole(missing), strict=True))
+            return
+        import numpy as np
+
+        # a piece that ends in white space would lend it to the next, so it is encoded alone
+        together = [p for p in missing if p and not p[-1].isspace()]
+        alone = [p for p in missing if not p or p[-1].isspace()]
+        self.cache.update(zip(alone, self._whole([" " + p for p in alone]), strict=True))
+        for i in range(0, len(together), 1024):
+            part = together[i:i + 1024]
+            ids = np.array(self.tok.encode_batch_fast(["".join([" " + p for p in part])], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = [*np.flatnonzero(self.begins[ids]).tolist(), len(ids)]
+            if len(at) != len(part) + 1:  # a piece with inner white space beside a space
+                self.cache.update(zip(part, self._whole([" " + p for p in part]), strict=True))
+                continue
+            raw = ids.tobytes()
+            self.cache.update((p, raw[4 * a:4 * b]) for p, a, b in zip(part, at[:-1], at[1:], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
         cut = [None if any(a in text for a in self.added) else self.pieces(text) for text in texts]
-        self._learn(set().union(*(c[1] for c in cut if c)))
+        known = self.cache
+        self._learn(list({p for c in cut if c for p in c[1] if p not in known}))
         heads = iter(self._whole([t if c is None else c[0] for t, c in zip(texts, cut, strict=True)]))
         get = self.cache.__getitem__
         return [next(heads) if c is None else next(heads) + b"".join(map(get, c[1])) for c in cut]
