@@ -183,6 +183,16 @@ def simhash_components(docs: DataFrame, budget: int = 3, width: int = 3, split_a
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, budget: int = 3, width: int = 3) -> DataFrame:
+    """One row of each component, unchanged: that of the smallest doc_id (a null id only where there is no other)."""
+    numbered = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = simhash_components(numbered.select(F.col("_row").alias("doc_id"), "text"), budget, width)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row")))
+    named = groups.select(F.col("doc_id").alias("_row"), "component_id").join(numbered.select("_row", "doc_id"), "_row")
+    stay = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("_row"))
+    return numbered.join(stay, "_row", "left_semi").select(*docs.columns)
+
+
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
