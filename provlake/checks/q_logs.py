@@ -17,8 +17,8 @@ def q(text: str) -> str:
 
 
 FLAT = "line"
-for _ in range(L.NEST_DEPTH):
-    FLAT = f"REGEXP_REPLACE({FLAT}, {q(L.NESTED)}, '\\1' || CHR(1), 'g')"
+for _ in range(9):  # the lines of v_log nest to seven levels
+    FLAT = f"REGEXP_REPLACE({FLAT}, {q(r'([:=][ ]*)([{][^{}]*[}]|[[][^][]*[]])')}, '\\1' || CHR(1), 'g')"
 
 
 def sql_int(x: str) -> str:
@@ -46,7 +46,7 @@ SELECT run, line_no, i, LOWER(TRIM(TRIM(REGEXP_EXTRACT(m, {q(L.HEAD)}, 1), {q(ch
   TRIM(REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(m, {q(L.HEAD)}, ''), {q('[ \t]*[,}]]$').replace(']]', '\\]]')}, ''), {q('^["' + chr(39) + ']|["' + chr(39) + ']$')}, '', 'g')) AS value
 FROM {{o_match}} WHERE REGEXP_MATCHES(m, {q(L.HEAD)})""")
 register("o_pair", """SELECT run, line_no, ROW_NUMBER() OVER (PARTITION BY run, line_no ORDER BY i) - 1 AS pair_no, key, value
-FROM {o_pair_all} WHERE LENGTH(key) BETWEEN 1 AND 64 AND LENGTH(value) <= 512""")
+FROM {o_pair_all} WHERE key <> ''""")
 
 
 @query("log_pairs", "SELECT run, line_no, pair_no, key, value FROM {o_pair}")
@@ -126,10 +126,10 @@ CKPT = "(CONTAINS(LOWER(line), 'checkpoint') AND REGEXP_MATCHES(LOWER(line), 'sa
 
 
 @query("checkpoint_steps", f"""
-WITH d AS (SELECT run, CAST(s AS BIGINT) AS step, MIN(line_no * 300 + i) AS seen FROM (
+WITH d AS (SELECT run, TRY_CAST(s AS BIGINT) AS step, MIN(line_no * 300 + i) AS seen FROM (
    SELECT run, line_no, UNNEST(x) AS s, UNNEST(RANGE(LEN(x))) AS i FROM (
-     SELECT run, line_no, REGEXP_EXTRACT_ALL(LOWER(line), 'checkpoint-([0-9]+)', 1) AS x FROM {{v_log}} WHERE {CKPT}) a) b GROUP BY run, s),
-k AS (SELECT run, step, 2 AS o FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY run ORDER BY seen) AS rn FROM d) c WHERE rn <= {V.MAX_CHECKPOINTS}
+     SELECT run, line_no, REGEXP_EXTRACT_ALL(LOWER(line), 'checkpoint-([0-9]+)', 1) AS x FROM {{v_log}} WHERE {CKPT}) a) b WHERE TRY_CAST(s AS BIGINT) IS NOT NULL GROUP BY run, s),
+k AS (SELECT run, step, 2 AS o FROM d
   UNION ALL SELECT run, first_step, 0 FROM {{o_log_series}} WHERE first_step IS NOT NULL
   UNION ALL SELECT run, last_step, 1 FROM {{o_log_series}} WHERE last_step IS NOT NULL)
 SELECT run, step, CASE MIN(o) WHEN 0 THEN 'series_first' WHEN 1 THEN 'series_last' ELSE 'checkpoint_directory' END AS origin FROM k GROUP BY run, step""")
@@ -204,7 +204,12 @@ def numeric_parse(get):
     return get("v_number").select("event_id", "txt", parse_int(F.col("txt")).alias("as_int"), micros(F.col("txt")).alias("as_micros"))
 
 
-@query("log_tail", """
+@query("log_tail", "SELECT run, line_no, line, FALSE AS overlong FROM {v_log}")
+def log_whole(get):
+    return L.log_tail(get("v_log"))
+
+
+@query("log_tail_limited", """
 WITH s AS (SELECT run, line_no, line, SUM(STRLEN(line) + 1) OVER (PARTITION BY run ORDER BY line_no DESC ROWS UNBOUNDED PRECEDING) AS from_end FROM {v_log}),
 k AS (SELECT * FROM s WHERE from_end <= 2000)
 SELECT run, COUNT(*) FILTER (WHERE STRLEN(line) <= 100) AS kept_lines, COUNT(*) FILTER (WHERE STRLEN(line) > 100) AS overlong_lines,
@@ -219,8 +224,8 @@ SELECT run, event_id AS line_no, 0 AS idx, k AS step, loss, TRUE AS is_entry FRO
 
 @query("trainer_state_series", f"""
 SELECT run, entry_count, first_step, last_step, last_step + 1 AS global_step, steps_monotonic AS monotone_step_order, first_loss, last_loss,
- CASE WHEN first_step = last_step THEN CAST(first_step AS VARCHAR) ELSE first_step || '|' || last_step END || '|' || (last_step + 1) AS checkpoint_steps
-FROM ({series_sql('o_state_entry')}) t WHERE first_step <> last_step + 1""")
+ CONCAT_WS('|', first_step, CASE WHEN last_step <> first_step THEN last_step END, CASE WHEN first_step <> last_step + 1 THEN last_step + 1 END) AS checkpoint_steps
+FROM ({series_sql('o_state_entry')}) t""")
 def trainer_state_series(get):
     # a run's block of 500 events is one bounded JSON state
     states = (get("v_state").groupBy("run").agg(
@@ -228,5 +233,5 @@ def trainer_state_series(get):
         .select("run", F.to_json(F.struct(
             (F.element_at("h", -1)["k"] + 1).alias("global_step"),
             F.transform("h", lambda e: F.struct(e["k"].alias("step"), e["loss"].try_cast("decimal(18,6)").alias("loss"))).alias("log_history"))).alias("body")))
-    return (L.trainer_state_series(states).where("first_step <> global_step")
+    return (L.trainer_state_series(states)
             .withColumn("checkpoint_steps", F.concat_ws("|", F.col("checkpoint_steps").cast("array<string>"))))

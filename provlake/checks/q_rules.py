@@ -35,10 +35,9 @@ for _family, _name in NAMES.items():
     _register(_family, _name)
 
 
-@query("outcome_citation", """SELECT case_id, rule_id, kind, fact_id, source_group, artifact_sha256 FROM {r_cited}
-       WHERE fact_id IS NOT NULL""")
+@query("outcome_citation", """SELECT case_id, rule_id, kind, fact_id, source_group, artifact_sha256 FROM {r_cited}""")
 def outcome_citation(get):
-    e = emissions(*inputs(get)).where(F.col("fact_id").isNotNull())
+    e = emissions(*inputs(get))
     return cite(e, VF.artifacts(get)).select("case_id", "rule_id", "kind", "fact_id", "source_group", "artifact_sha256")
 
 

@@ -39,21 +39,33 @@ def assign_ids(get):
 
 
 register("o_reached", """SELECT *, ROW_NUMBER() OVER (PARTITION BY case_id ORDER BY REPLACE(path, '/', CHR(1))) AS seq FROM {v_listing} WHERE depth <= 64""")
+ARTIFACT = """SELECT case_id, seq AS artifact_seq, 'A-' || CASE WHEN seq < 10000 THEN LPAD(CAST(seq AS VARCHAR), 4, '0') ELSE CAST(seq AS VARCHAR) END AS artifact_id, path,
+  CASE WHEN is_link THEN 0 ELSE size_bytes END AS size_bytes, CASE WHEN NOT is_link THEN mtime END AS mtime,
+  CASE WHEN is_link THEN 'skipped_reparse_point' ELSE 'ok' END AS read_status"""
+LISTED = ["case_id", "path", "depth", "size_bytes", "mtime", "is_link"]
 
 
-@query("artifact_inventory", """SELECT case_id, seq AS artifact_seq, 'A-' || LPAD(CAST(seq AS VARCHAR), 4, '0') AS artifact_id, path,
-  CASE WHEN is_link THEN 0 ELSE size_bytes END AS size_bytes, CASE WHEN NOT is_link THEN mtime END AS mtime,
-  CASE WHEN is_link THEN 'skipped_reparse_point' ELSE 'ok' END AS read_status FROM {o_reached} WHERE seq <= 40""")
+@query("artifact_inventory", ARTIFACT + " FROM {o_numbered}")
 def artifact_inventory(get):
-    return I.artifact_inventory(get("v_listing").select("case_id", "path", "depth", "size_bytes", "mtime", "is_link"), max_files=40)
+    return I.artifact_inventory(get("v_listing").select(*LISTED))
+
 
+@query("artifact_inventory_limited", ARTIFACT + " FROM {o_reached} WHERE seq <= 40")
+def artifact_inventory_limited(get):
+    return I.artifact_inventory(get("v_listing").select(*LISTED), max_depth=64, max_files=40)
 
-@query("inventory_notes", """
-SELECT case_id, 'CL-INV-006' AS rule_id, '' AS path, 'traversal depth limit reached' AS detail FROM {v_listing} WHERE depth > 64 GROUP BY case_id
-UNION ALL SELECT case_id, 'CL-INV-006', '', 'file limit reached' FROM {v_listing} WHERE depth <= 64 GROUP BY case_id HAVING COUNT(*) > 40
-UNION ALL SELECT case_id, 'CL-INV-003', path, 'link not followed' FROM {v_listing} WHERE is_link AND depth <= 64""")
+
+@query("inventory_notes", "SELECT case_id, 'CL-INV-003' AS rule_id, path, 'link not followed' AS detail, 0 AS left_out FROM {v_listing} WHERE is_link")
 def inventory_notes(get):
-    return I.inventory_notes(get("v_listing"), max_files=40)
+    return I.inventory_notes(get("v_listing"))
+
+
+@query("inventory_notes_limited", """
+SELECT case_id, 'CL-INV-006' AS rule_id, '' AS path, 'traversal depth limit reached' AS detail, COUNT(*) AS left_out FROM {v_listing} WHERE depth > 64 GROUP BY case_id
+UNION ALL SELECT case_id, 'CL-INV-006', '', 'file limit reached', COUNT(*) - 40 FROM {v_listing} WHERE depth <= 64 GROUP BY case_id HAVING COUNT(*) > 40
+UNION ALL SELECT case_id, 'CL-INV-003', path, 'link not followed', 0 FROM {v_listing} WHERE is_link AND depth <= 64""")
+def inventory_notes_limited(get):
+    return I.inventory_notes(get("v_listing"), max_depth=64, max_files=40)
 
 
 @query("artifact_classify", "SELECT doc_id, name, artifact_type FROM {v_listing}")
@@ -61,15 +73,17 @@ def artifact_classify(get):
     return get("v_listing").select("doc_id", "name", I.artifact_type(F.col("name"), F.unhex("head_hex")).alias("artifact_type"))
 
 
+# every case has the same root with and without its slash, one inside another, and one whose name only begins like another's
 register("v_root", """
-SELECT DISTINCT CAST(SUBSTRING(source, 4) AS BIGINT) AS case_id, doc_id % 4 + 1 AS root_no,
-  CASE doc_id % 4 WHEN 0 THEN '/data/' || UPPER(source) || '/en' WHEN 1 THEN '/Data/' || source || '/fr/d1' WHEN 2 THEN '/data/' || source || '/FR' ELSE '/data/' || source || '/en/' END AS root FROM {documents}""")
+SELECT DISTINCT CAST(SUBSTRING(source, 4) AS BIGINT) AS case_id, n.no AS root_no, REPLACE(n.root, '?', source) AS root FROM {documents} JOIN (
+  SELECT * FROM (VALUES (1, '/data/?/fr/d1'), (2, '/data/?/EN'), (3, '/Data/?/en/'), (4, '/data/?/FR'), (5, '/data/?/en/d2/'), (6, '/data/?/e'), (7, '/data/?/de/d1'), (8, '/data/?/de/d1/')) AS t(no, root)) n
+  ON n.no <> LENGTH(source)""")
 
 
 @query("distinct_roots", """
 SELECT case_id, root_no, root FROM {v_root} r WHERE NOT EXISTS (SELECT 1 FROM {v_root} o WHERE o.case_id = r.case_id AND o.root_no <> r.root_no
-  AND CASE WHEN RTRIM(LOWER(o.root), '/') = RTRIM(LOWER(r.root), '/') AND LOWER(o.root) = LOWER(r.root) THEN o.root_no < r.root_no
-      ELSE LOWER(r.root) = RTRIM(LOWER(o.root), '/') OR STARTS_WITH(LOWER(r.root), RTRIM(LOWER(o.root), '/') || '/') END)""")
+  AND CASE WHEN RTRIM(LOWER(o.root), '/') = RTRIM(LOWER(r.root), '/') THEN o.root_no < r.root_no
+      ELSE STARTS_WITH(LOWER(r.root), RTRIM(LOWER(o.root), '/') || '/') END)""")
 def distinct_roots(get):
     return I.distinct_roots(get("v_root"))
 
@@ -93,13 +107,11 @@ def root_scope(get):
 
 register("v_opened", """SELECT doc_id, content, doc_id % 13 <> 0 AS opened, size_bytes AS size_before, size_bytes + CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS size_after,
   mtime AS mtime_before, mtime + CASE WHEN doc_id % 19 = 0 THEN 1 ELSE 0 END AS mtime_after FROM {v_listing}""")
-# SQL cannot cut text by bytes, so the short budget is checked where all bytes are ASCII
-register("v_ascii", "SELECT doc_id, SUBSTRING(@SHA(content@) || @SHA(content || 'x'@) || @SHA(content || 'y'@), 1, CAST(30 + doc_id % 150 AS INT)) AS content, opened, size_before, size_after, mtime_before, mtime_after FROM {v_opened}")
 
 
 def digest_sql(view: str, budget: int) -> str:
     return f"""
-SELECT doc_id, CASE WHEN opened THEN SHA256(SUBSTRING(content, 1, {budget})) END AS sha256, CASE WHEN NOT opened THEN 'none' WHEN STRLEN(content) > {budget} THEN 'head_only' ELSE 'full' END AS hash_scope,
+SELECT doc_id, CASE WHEN opened THEN SHA256(ARRAY_SLICE(ENCODE(content), 1, {budget})) END AS sha256, CASE WHEN NOT opened THEN 'none' WHEN STRLEN(content) > {budget} THEN 'head_only' ELSE 'full' END AS hash_scope,
   CASE WHEN opened THEN LEAST(STRLEN(content), {budget}) END AS bytes_hashed,
   CASE WHEN NOT opened THEN 'not_hashed' WHEN size_before <> size_after OR mtime_before <> mtime_after THEN 'changed' WHEN STRLEN(content) > {budget} THEN 'too_large' ELSE 'ok' END AS read_status,
   CONCAT_WS('|', CASE WHEN opened AND (size_before <> size_after OR mtime_before <> mtime_after) THEN 'CL-INV-004' END, CASE WHEN opened AND STRLEN(content) > {budget} THEN 'CL-INV-005' END) AS notes
@@ -111,12 +123,12 @@ DIGEST = ["doc_id", "sha256", "hash_scope", "bytes_hashed", "read_status", "note
 
 @query("content_digest", digest_sql("v_opened", 1_000_000_000))
 def content_digest(get):
-    return I.content_digest(get("v_opened"), 1_000_000_000).select(*DIGEST)
+    return I.content_digest(get("v_opened")).select(*DIGEST)
 
 
-@query("content_digest_budget", digest_sql("v_ascii", 100))
+@query("content_digest_budget", digest_sql("v_opened", 700))
 def content_digest_budget(get):
-    return I.content_digest(get("v_ascii"), 100).select(*DIGEST)
+    return I.content_digest(get("v_opened"), 700).select(*DIGEST)
 
 
 register("v_status", """SELECT CAST(FLOOR(o_orderkey / 5) AS BIGINT) AS case_id, CASE WHEN CAST(FLOOR(o_orderkey / 5) AS BIGINT) % 3 = 0 THEN 'ok' WHEN o_custkey % 5 = 0 THEN 'permission_denied' WHEN o_custkey % 7 = 0 THEN 'not_found' ELSE 'ok' END AS outcome,

@@ -21,10 +21,7 @@ def stream_query(name: str, sql: str | None = None):
     return wrap
 
 
-@stream_query("stream_series_state", """
-WITH e AS (SELECT * FROM {o_metric}), s AS (SELECT *, LAG(step) OVER (PARTITION BY run ORDER BY line_no) AS prev FROM e)
-SELECT run, COUNT(*) AS entry_count, MAX(line_no) AS last_line, ARG_MIN(step, line_no) AS first_step, ARG_MAX(step, line_no) AS last_step, COUNT(*) AS n_steps,
-  BOOL_AND(prev IS NULL OR step >= prev) AS ordered, ARG_MIN(loss, line_no) AS first_loss, ARG_MAX(loss, line_no) AS last_loss, 0 AS late FROM s GROUP BY run""")
+@stream_query("stream_series_state", q_logs.series_sql("o_metric"))
 def stream_series_state(spark, sf_dir):
     e = J.stream_table(spark, sf_dir, "events")
     k = F.regexp_extract("props", "[0-9]+", 0).cast("bigint")
@@ -41,18 +38,18 @@ register("o_said", f"""SELECT doc_id, case_id, {pick('doc_id % 11', [p[2] for p
 
 @stream_query("stream_redaction_ledger", """
 SELECT TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * (doc_id // 60) AS window_start, case_id, kind, CAST(SUM(n) AS BIGINT) AS redactions
-FROM {o_said} WHERE kind IS NOT NULL AND n > 0 AND (doc_id // 60 + 1) * 60 <= (SELECT MAX(doc_id) - 10 FROM {documents})
+FROM {o_said} WHERE kind IS NOT NULL AND n > 0
 GROUP BY doc_id // 60, case_id, kind""")
 def stream_redaction_ledger(spark, sf_dir):
     d = J.stream_table(spark, sf_dir, "documents")
     plant = F.expr(q_privacy.plant_sql(0).replace("CHR(", "char("))
     texts = d.select(F.timestamp_seconds(1704067200 + F.col("doc_id") * 60).alias("ts"), F.col("source").alias("case_id"),
                      F.concat(plant, F.lit(" "), F.col("text")).alias("text"))
-    return J.run_available(J.redaction_windows(texts), "ledger")
+    return J.run_to_end(J.redaction_windows, texts, "ledger")
 
 
 register("v_request", """SELECT 'f' || (conv_id % 20) AS file, conv_id, turn, conv_id % 6 = 0 AS unscored, conv_id * 80 + turn AS at_s
-  FROM {conversations} WHERE role = 'user' AND conv_id % 7 <> 3""")
+  FROM {conversations} WHERE role = 'user'""")
 
 
 @stream_query("stream_chain_sessions", """
@@ -60,14 +57,14 @@ WITH g AS (SELECT *, CASE WHEN at_s - LAG(at_s) OVER (PARTITION BY file ORDER BY
 n AS (SELECT *, SUM(cut) OVER (PARTITION BY file ORDER BY at_s, turn ROWS UNBOUNDED PRECEDING) AS no FROM g),
 s AS (SELECT file, no, MIN(at_s) AS a, MAX(at_s) + 1800 AS z, COUNT(*) AS requests, BOOL_AND(NOT unscored) AS all_full_chain FROM n GROUP BY file, no)
 SELECT file, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 SECOND * a AS session_start, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 SECOND * z AS session_end, requests, all_full_chain
-FROM s WHERE z <= (SELECT MAX(at_s) - 600 FROM {v_request})""")
+FROM s""")
 def stream_chain_sessions(spark, sf_dir):
-    c = J.stream_table(spark, sf_dir, "conversations").where("role = 'user' AND conv_id % 7 <> 3")
+    c = J.stream_table(spark, sf_dir, "conversations").where("role = 'user'")
     chunk = F.when(F.col("conv_id") % 6 == 0, F.lit('{"text": "b"}')).otherwise(F.lit('{"text": "b", "score": 0.5}'))
     line = F.concat(F.lit('{"query": "'), F.sha2("text", 256), F.lit('", "retrieved": ['), chunk, F.lit("]}"))
     lines = c.select(F.timestamp_seconds(1704067200 + F.col("conv_id") * 80 + F.col("turn")).alias("ts"),
                      F.concat(F.lit("f"), (F.col("conv_id") % 20).cast("string")).alias("file"), line.alias("line"))
-    return J.run_available(J.chain_sessions(lines), "sessions")
+    return J.run_to_end(J.chain_sessions, lines, "sessions")
 
 
 @stream_query("write_evidence", "SELECT case_id, facet, band, CAST(score_tenths AS BIGINT) AS score_tenths FROM {s_conclusion}")

@@ -29,8 +29,16 @@ SELECT file, line_no, CASE form WHEN 0 THEN '# note ' || package WHEN 1 THEN '-r
 @query("dependency_packages", """
 SELECT file, line_no, package AS name, 'python' AS ecosystem, category,
   CASE form WHEN 3 THEN ver WHEN 4 THEN ver WHEN 5 THEN '[extra]==' || ver END AS version
-FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY file ORDER BY line_no) AS rn FROM {v_dep_part} WHERE form > 2) t WHERE rn <= 30""")
+FROM {v_dep_part} WHERE form > 2""")
 def dependency_packages(get):
+    return D.dependency_packages(get("v_dep"))
+
+
+@query("dependency_packages_limited", """
+SELECT file, line_no, package AS name, 'python' AS ecosystem, category,
+  CASE form WHEN 3 THEN ver WHEN 4 THEN ver WHEN 5 THEN '[extra]==' || ver END AS version
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY file ORDER BY line_no) AS rn FROM {v_dep_part} WHERE form > 2) t WHERE rn <= 30""")
+def dependency_packages_limited(get):
     return D.dependency_packages(get("v_dep"), limit=30)
 
 
@@ -60,14 +68,23 @@ FULL = "NOT (conv_id % 23 = 0 OR conv_id % 29 = 0 OR conv_id % 19 = 0 OR conv_id
 register("o_entry", "SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY file ORDER BY line_no) AS rn FROM {v_trace}) t WHERE rn <= 120")
 
 
-@query("retrieval_chain", f"""
-WITH n AS (SELECT DISTINCT file, UNNEST(JSON_KEYS(line)) AS name FROM {{o_entry}}),
+def chain_sql(view: str, names: int) -> str:
+    return f"""
+WITH n AS (SELECT DISTINCT file, UNNEST(JSON_KEYS(line)) AS name FROM {{{view}}}),
 k AS (SELECT file, STRING_AGG(name, '|' ORDER BY name) AS field_names FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY file ORDER BY name) AS rn FROM n) t
-      WHERE rn <= {V.MAX_TRACE_FIELDS} GROUP BY file)
+      WHERE rn <= {names} GROUP BY file)
 SELECT e.file, COUNT(*) AS entry_count, COUNT(*) FILTER (WHERE {FULL}) AS full_chain_entry_count, BOOL_AND({FULL}) AS request_level_chain,
-  FALSE AS malformed, MAX(k.field_names) AS field_names FROM {{o_entry}} e JOIN k ON k.file = e.file GROUP BY e.file""")
+  FALSE AS malformed, MAX(k.field_names) AS field_names FROM {{{view}}} e JOIN k ON k.file = e.file GROUP BY e.file"""
+
+
+@query("retrieval_chain", chain_sql("v_trace", 1_000_000_000))
 def retrieval_chain(get):
-    return R.retrieval_chain(get("v_trace"), limit=120).withColumn("field_names", joined("field_names"))
+    return R.retrieval_chain(get("v_trace")).withColumn("field_names", joined("field_names"))
+
+
+@query("retrieval_chain_limited", chain_sql("o_entry", 64))
+def retrieval_chain_limited(get):
+    return R.retrieval_chain(get("v_trace"), limit=120, max_names=64).withColumn("field_names", joined("field_names"))
 
 
 register("v_prompt", f"""
@@ -76,7 +93,7 @@ SELECT 'd' || doc_id AS file, CASE doc_id % 5 WHEN 0 THEN 'Use {B('{context}')}
 
 
 @query("prompt_templates", f"""
-SELECT file, SUBSTRING(text, 1, 400) AS preview, SHA256(text) AS sha256, STRLEN(text) AS length_bytes, doc_id % 5 = 0 AS has_context_placeholder
+SELECT file, text AS preview, SHA256(text) AS sha256, STRLEN(text) AS length_bytes, doc_id % 5 = 0 AS has_context_placeholder
 FROM {{v_prompt}} WHERE doc_id % 5 < 3 OR {' OR '.join(f"CONTAINS(text, {lit(m)})" for m in V.PROMPT_MARKERS)}""")
 def prompt_templates(get):
     return R.prompt_templates(get("v_prompt"))

@@ -289,10 +289,11 @@ def report_language_guard(get):
             .agg(F.coalesce(F.sum("x"), F.lit(0)).alias("findings"), F.coalesce(F.sum("y"), F.lit(0)).alias("texts")))
 
 
-@query("facts_union", """SELECT case_id, kind, COUNT(*) AS facts, COUNT(DISTINCT fact_seq) AS ids FROM {v_fact_flat} WHERE kind IN ('seed_record', 'merge_record', 'tensor_header') GROUP BY case_id, kind""")
-def facts_union_counts(get):
-    f = VF.facts(get).withColumn("emit_no", F.pmod("fact_seq", F.lit(100_000_000))).withColumn("artifact_seq", F.floor(F.col("fact_seq") / 100_000_000)).drop("fact_seq", "fact_id")
-    parts = [f.where(F.col("kind") == k) for k in ("seed_record", "merge_record", "tensor_header")]
-    return facts_union(parts).groupBy("case_id", "kind").agg(F.count("*").alias("facts"), F.count_distinct("fact_seq").alias("ids"))
+@query("facts_union", """SELECT case_id, kind, artifact_id, source_group, seq AS fact_seq, 'F-' || CASE WHEN seq < 10000 THEN LPAD(CAST(seq AS VARCHAR), 4, '0') ELSE CAST(seq AS VARCHAR) END AS fact_id
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY case_id ORDER BY fact_seq % 7, fact_seq) AS seq FROM {v_fact_flat}) t""")
+def facts_union_rows(get):
+    f = VF.facts(get).withColumn("emit_no", F.col("fact_seq")).withColumn("artifact_seq", F.pmod("fact_seq", F.lit(7))).drop("fact_seq", "fact_id")
+    parts = [f.where(F.pmod("emit_no", F.lit(2)) == i) for i in (0, 1)]
+    return facts_union(parts).select("case_id", "kind", "artifact_id", "source_group", "fact_seq", "fact_id")
 
 

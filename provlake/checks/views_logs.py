@@ -12,7 +12,7 @@ SELECT user_id AS run, event_id AS line_no,
   CASE WHEN event_id % 97 = 0 THEN REPLACE(sec, '-0', '-9') ELSE sec END || {ZONE} ||
   CASE event_type
    WHEN 'view' THEN ' INFO step=' || k || ' loss=' || loss || CASE WHEN k % 7 = 0 THEN ' tokens_per_sec=9 tokens=' || (k * 1000) ELSE '' END
-   WHEN 'click' THEN ' {{{{"step": ' || k || ', "nested": {{{{"loss": 9, "l": [1, 2]}}}}, "loss": ' || loss || ', "total_tokens": "' || (k * 10) || ',000", "train_runtime": ' || loss || ', "total_flos": ' || k || '000}}}}'
+   WHEN 'click' THEN ' {{{{"step": ' || k || ', "nested": {{{{"loss": 9, "a": {{{{"b": {{{{"c": {{{{"d": [{{{{"loss": 8, "step": 1}}}}]}}}}}}}}}}}}, "l": [1, 2]}}}}, "loss": ' || loss || ', "total_tokens": "' || (k * 10) || ',000", "train_runtime": ' || loss || ', "total_flos": ' || k || '000}}}}'
    WHEN 'signup' THEN ' ***** Running training ***** world_size=' || (k % 9) || ' data_seed=' || k || ' device=cuda:' || (k % 3)
    WHEN 'purchase' THEN ' Saving model checkpoint to out/checkpoint-' || k || ' and checkpoint-' || (k + 1) || '; gpu_hours: 3.0'
    ELSE CASE k % 3 WHEN 0 THEN ' Num examples = ' || k || ' || Num Epochs = ' || (k % 5) || ' || seed=' || k

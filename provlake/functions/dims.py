@@ -1,8 +1,8 @@
-"""Vocabulary as literal columns or broadcast tables (all of fixed, small size)."""
+"""Vocabulary as literal columns of fixed, small size."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -36,11 +36,6 @@ def literal_rows(rows: list[tuple], names: list[str]) -> Column:
     return F.expr(rows_text(rows, names))
 
 
-def table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A dimension table marked for broadcast; its rows are the literals given."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
-
-
 def rank_of(value: Column, ordered: list[str]) -> Column:
     """Position of a value in a fixed order, from 0; null when unknown."""
     return F.nullif(F.array_position(F.expr(text(ordered)), value), F.lit(0)) - 1

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provlake import vocab as V
+from provlake.operators.ordered import dense_positions
 from provlake.functions.fields import pack
 
 # --- fixed values: scalar keys copied from each kind of file ----------------------
@@ -119,6 +120,6 @@ def facts_union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    seq = F.col("artifact_seq").cast("bigint") * 100_000_000 + F.col("emit_no")
-    return (out.withColumn("fact_seq", seq).withColumn("fact_id", F.concat(F.lit("F-"), seq.cast("string")))
+    return (dense_positions(out, "case_id", ["artifact_seq", "emit_no"], "fact_seq")
+            .withColumn("fact_id", F.format_string("F-%04d", F.col("fact_seq")))
             .select("case_id", "fact_seq", "fact_id", "kind", "artifact_id", "source_group", "fields"))

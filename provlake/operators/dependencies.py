@@ -19,8 +19,8 @@ def category(name):
     return lookup(name, V.PACKAGE_CATEGORY, F.lit("other"))
 
 
-def dependency_packages(lines: DataFrame, limit: int = V.MAX_PACKAGES) -> DataFrame:
-    """``lines``: (file, line_no, line) of requirement lists -> one row per package."""
+def dependency_packages(lines: DataFrame, limit: int | None = None) -> DataFrame:
+    """``lines``: (file, line_no, line) of requirement lists -> one row per package, the first ``limit`` of a file if given."""
     text = F.trim(F.substring_index("line", "#", 1))
     head = r"^([^=><~!\[ ;@]+)"
     rest = F.regexp_replace(F.regexp_replace("text", head, ""), "^[=><~! ]+", "")

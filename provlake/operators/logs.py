@@ -27,14 +27,25 @@ _PLAIN = rf"(?:{_DQ}|{_SQ}|[^,}}\]\s\"'{{\[={HOLE}][^,}}\] \t]*)"
 HEAD = rf"^({_DQ}|{_SQ}|{_KEY})[ \t]*[:=][ \t]*"
 PAIR = (rf"(?:{_DQ}|{_SQ})[ \t]*:[ \t]*{_STRUCTURED}|{_KEY}=[ \t]*{_PLAIN}"
         rf"|{_KEY}:[ \t]*[\"']?{_NUM}[\"']?[ \t]*(?:[,}}\]]|$)|{_DQ}|{_SQ}|[\"'].*$")
-NESTED = r"([:=][ \t]*)(?:\{[^{}]*\}|\[[^\[\]]*\])"
-NEST_DEPTH = 4
+BRACKET = r"[{}\[\]]|[^{}\[\]]+"
 
 
 def _flat(line: Column) -> Column:
-    for _ in range(NEST_DEPTH):
-        line = F.regexp_replace(line, NESTED, "$1" + HOLE)
-    return line
+    """The line with every group that is the value of a key left out, however deep it goes; an unclosed one stays."""
+    start = F.struct(F.lit("").alias("out"), F.lit("").alias("held"), F.lit(0).alias("depth"))
+
+    def step(a, part):
+        opens, closes = part.isin("{", "["), part.isin("}", "]")
+        depth = a["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        enters = opens & (a["depth"] == 0) & a["out"].rlike(r"[:=][ \t]*$")
+        inside, ends = a["depth"] > 0, (a["depth"] > 0) & (depth == 0)
+        return F.struct(
+            F.when(ends, F.concat(a["out"], F.lit(HOLE))).when(inside | enters, a["out"]).otherwise(F.concat(a["out"], part)).alias("out"),
+            F.when(ends, F.lit("")).when(inside | enters, F.concat(a["held"], part)).otherwise(F.lit("")).alias("held"),
+            F.when(inside, depth).when(enters, F.lit(1)).otherwise(F.lit(0)).alias("depth"))
+
+    flat = F.aggregate(F.regexp_extract_all(line, F.lit(BRACKET), F.lit(0)), start, step, lambda a: F.concat(a["out"], a["held"]))
+    return F.when(line.rlike(r"[:=][ \t]*[{\[]"), flat).otherwise(line)
 
 
 def pair_array(line: Column) -> Column:
@@ -47,8 +58,7 @@ def pair_array(line: Column) -> Column:
         value = F.trim(F.regexp_replace(F.regexp_replace(rest, r"[ \t]*[,}\]]$", ""), "^[\"']|[\"']$", ""))
         return F.struct(key.alias("key"), value.alias("value"), m.rlike(HEAD).alias("ok"))
 
-    kept = F.filter(F.transform(found, one), lambda p: p["ok"] & F.length(p["key"]).between(1, 64) & (F.length(p["value"]) <= 512))
-    return F.slice(kept, 1, 256)
+    return F.filter(F.transform(found, one), lambda p: p["ok"] & (p["key"] != ""))
 
 
 def with_pairs(lines: DataFrame) -> DataFrame:
@@ -155,16 +165,20 @@ def is_checkpoint_write(line: Column) -> Column:
     return F.contains(low, F.lit("checkpoint")) & _has_any(low, V.CHECKPOINT_VERBS)
 
 
-def checkpoint_steps(lines: DataFrame) -> DataFrame:
-    """Steps a log speaks of: series ends, then up to 64 directories in the order seen."""
+def checkpoint_steps(lines: DataFrame, directories: int | None = None) -> DataFrame:
+    """Steps a log speaks of: series ends and the directories written, or the first ``directories`` of them seen.
+
+    Digits that no 64-bit step holds are no step.
+    """
     found = F.regexp_extract_all(F.lower("line"), F.lit("checkpoint-([0-9]+)"), F.lit(1))
     dirs = (lines.where(is_checkpoint_write(F.col("line")))
             .select("run", "line_no", F.posexplode(found).alias("idx", "digits"))
-            .where(F.length("digits") <= 18)
-            .groupBy("run", F.col("digits").cast("bigint").alias("step")).agg(F.min(F.struct("line_no", "idx")).alias("at")))
-    # the rank limit is applied per input partition before the rows of a run meet
-    rank = F.row_number().over(Window.partitionBy("run").orderBy("at"))
-    kept = dirs.withColumn("rn", rank).where(F.col("rn") <= V.MAX_CHECKPOINTS).select("run", "step", F.lit(2).alias("o"))
+            .withColumn("step", F.col("digits").try_cast("bigint")).where("step IS NOT NULL")
+            .groupBy("run", "step").agg(F.min(F.struct("line_no", "idx")).alias("at")))
+    if directories is not None:  # applied per input partition before the rows of a run meet
+        rank = F.row_number().over(Window.partitionBy("run").orderBy("at"))
+        dirs = dirs.withColumn("rn", rank).where(F.col("rn") <= directories)
+    kept = dirs.select("run", "step", F.lit(2).alias("o"))
     ends = log_series(lines).select("run", F.inline(F.array(
         F.struct(F.col("first_step").alias("step"), F.lit(0).alias("o")),
         F.struct(F.col("last_step").alias("step"), F.lit(1).alias("o"))))).where("step IS NOT NULL")
@@ -218,7 +232,7 @@ def hardware_records(lines: DataFrame) -> DataFrame:
     said = F.transform(F.regexp_extract_all(F.lower("line"), F.lit(mention), F.lit(1)), lambda m: F.struct(
         F.regexp_extract(m, "^([0-9]+)", 1).try_cast("bigint").alias("count"),
         F.regexp_extract(m, r"x *([a-z0-9\-]+)$", 1).alias("token")))
-    said = F.filter(said, lambda m: m["count"].between(1, 100_000) & (F.length(m["token"]) <= 32))
+    said = F.filter(said, lambda m: m["count"] >= 1)
     keys = V.GPU_COUNT_KEYS + V.DEVICE_KEYS + ["world_size"]
     both = with_pairs(lines).select(
         "run", "line_no",
@@ -229,7 +243,7 @@ def hardware_records(lines: DataFrame) -> DataFrame:
                         F.concat_ws("x ", m["count"].cast("string"), m["token"]).alias("value"))))).alias("idx", "p"),
     ).select("run", "line_no", "idx", "p.key", "p.value")
     labels = log_labels(lines).where("field = 'world_size'").select("run", F.col("value").cast("bigint").alias("label_world"))
-    device = F.when(F.col("key").isin(*V.DEVICE_KEYS) & F.length("value").between(1, 128), F.col("value"))
+    device = F.when(F.col("key").isin(*V.DEVICE_KEYS) & (F.col("value") != ""), F.col("value"))
     m = F.col("key") == "mention"
     first_said = F.min_by(F.when(m, F.substring_index("value", "x ", 1).try_cast("bigint")), F.when(m, F.struct("line_no", "idx")))
     out = both.groupBy("run").agg(
@@ -257,13 +271,16 @@ def compute_records(lines: DataFrame) -> DataFrame:
     return per_run.where("coalesce(wall_clock_seconds, gpu_hours, total_flos, seed, data_seed) IS NOT NULL")
 
 
-def log_tail(lines: DataFrame, tail_bytes: int = V.LOG_TAIL_BYTES, max_line: int = V.LOG_MAX_LINE_BYTES,
+def log_tail(lines: DataFrame, tail_bytes: int | None = None, max_line: int | None = None,
              chunk_rows: int = LINES_PER_CHUNK) -> DataFrame:
-    """Lines inside the last ``tail_bytes`` of each run, without a cut first line or overlong lines.
+    """Lines inside the last ``tail_bytes`` of each run (all by default), without a cut first line; longer ones than ``max_line`` are marked.
 
     Byte totals are summed per chunk, then chunks from the end; only chunks that
     reach into the tail are summed line by line.
     """
+    overlong = F.lit(False) if max_line is None else F.octet_length("line") > max_line
+    if tail_bytes is None:
+        return lines.select("run", "line_no", "line", overlong.alias("overlong"))
     sized = (lines.withColumn("bytes", F.octet_length("line") + 1)
              .withColumn("chunk", F.floor(F.col("line_no") / chunk_rows)))
     per_chunk = sized.groupBy("run", "chunk").agg(F.sum("bytes").alias("chunk_bytes"))
@@ -274,7 +291,7 @@ def log_tail(lines: DataFrame, tail_bytes: int = V.LOG_TAIL_BYTES, max_line: int
     return (sized.join(reach, ["run", "chunk"])
             .withColumn("from_end", F.col("after") + F.sum("bytes").over(upto))
             .where(F.col("from_end") <= tail_bytes)
-            .withColumn("overlong", F.octet_length("line") > max_line)
+            .withColumn("overlong", overlong)
             .select("run", "line_no", "line", "overlong"))
 
 
@@ -291,7 +308,7 @@ def trainer_state_series(states: DataFrame) -> DataFrame:
     # quoting the loss keeps its text exactly as written
     quoted = F.regexp_replace("body", r'("loss"\s*:\s*)(-?[0-9][0-9.eE+\-]*)', '$1"$2"')
     read = states.select("run", F.from_json(quoted, schema).alias("v"))
-    history = F.slice(F.coalesce("v.log_history", F.array().cast("array<struct<step:bigint,loss:string>>")), 1, V.MAX_LOG_HISTORY)
+    history = F.coalesce("v.log_history", F.array().cast("array<struct<step:bigint,loss:string>>"))
     entries = read.select("run", "v.global_step", F.posexplode(history).alias("line_no", "e"))
     series = metric_series(entries.selectExpr("run", "line_no", "e.step", "e.loss"))
     return (read.select("run", "v.global_step").join(series, "run", "left")

@@ -28,11 +28,13 @@ def chunked_lag(rows: DataFrame, group: list[str], chunk: Column, order: list[st
             .withColumn(name, F.coalesce("_near", "_far")).drop("_near", "_far", "_chunk"))
 
 
-def first_rows(rows: DataFrame, group: str, pos: str, n: int, chunk_rows: int = 4096) -> DataFrame:
-    """The first ``n`` rows of each group by integer position, however large the group.
+def first_rows(rows: DataFrame, group: str, pos: str, n: int | None, chunk_rows: int = 4096) -> DataFrame:
+    """The first ``n`` rows of each group by integer position, however large the group; all of them if ``n`` is None.
 
     Rows are counted per chunk; only chunks that begin before the limit are ranked.
     """
+    if n is None:
+        return rows
     cut = rows.withColumn("_chunk", F.floor(F.col(pos) / chunk_rows))
     before = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     reach = (cut.groupBy(group, "_chunk").agg(F.count("*").alias("_n"))
@@ -56,13 +58,9 @@ def dense_positions(rows: DataFrame, group: str, order: list[str], name: str = "
     cut = (rows.repartitionByRange(group, *order).withColumn("_pid", F.spark_partition_id())
            .checkpoint(eager=True))
     counts = cut.groupBy("_pid", group).agg(F.count("*").alias("_n"))
-    # groups found in more than one partition: each border adds at most one
-    spread = (counts.groupBy(group).agg(F.count("*").alias("_parts"), F.array_sort(F.collect_list(F.struct("_pid", "_n"))).alias("_p"))
-              .where("_parts > 1"))
-    carried = (spread.select(group, F.posexplode("_p").alias("_i", "_e"), "_p")
-               .select(group, F.col("_e._pid").alias("_pid"),
-                       F.aggregate(F.slice("_p", F.lit(1), F.col("_i")), F.lit(0).cast("bigint"),
-                                   lambda a, e: a + e["_n"]).alias("_carry")))
+    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # only a group that goes on from another partition carries a count, and each border has at most one
+    carried = counts.withColumn("_carry", F.sum("_n").over(before)).where("_carry IS NOT NULL").drop("_n")
     within = F.row_number().over(Window.partitionBy("_pid", group).orderBy(*order))
     return (cut.withColumn("_rank", within)
             .join(F.broadcast(carried), [group, "_pid"], "left")

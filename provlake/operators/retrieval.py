@@ -31,8 +31,8 @@ def full_chain(line: Column, v: Column) -> Column:
     return _text_query(v) & ranked
 
 
-def trace_entries(lines: DataFrame, limit: int = V.MAX_TRACE_ENTRIES) -> DataFrame:
-    """``lines``: (file, line_no, line) -> the first entries of each file with their chain flag."""
+def trace_entries(lines: DataFrame, limit: int | None = None) -> DataFrame:
+    """``lines``: (file, line_no, line) -> the entries of each file, or its first ``limit``, with their chain flag."""
     entries = lines.where(F.trim("line") != "")
     kept = first_rows(entries, "file", "line_no", limit)
     v = F.try_parse_json("line")
@@ -40,7 +40,7 @@ def trace_entries(lines: DataFrame, limit: int = V.MAX_TRACE_ENTRIES) -> DataFra
             .withColumn("full_chain", full_chain(F.col("line"), F.col("v"))))
 
 
-def retrieval_chain(lines: DataFrame, limit: int = V.MAX_TRACE_ENTRIES) -> DataFrame:
+def retrieval_chain(lines: DataFrame, limit: int | None = None, max_names: int | None = None) -> DataFrame:
     """Per trace file: entries, full chains, and the names of its fields.
 
     A file with a malformed line is not read; it is reported by its flag.
@@ -50,20 +50,21 @@ def retrieval_chain(lines: DataFrame, limit: int = V.MAX_TRACE_ENTRIES) -> DataF
         F.count("*").alias("entry_count"), F.count(F.when(F.col("full_chain"), 1)).alias("full_chain_entry_count"),
         F.bool_and("full_chain").alias("request_level_chain"), F.bool_or("malformed").alias("malformed"))
     names = entries.select("file", F.explode(F.json_object_keys("line")).alias("name")).distinct()
-    # the rank limit is applied per input partition before the names of a file meet
-    rank = F.row_number().over(Window.partitionBy("file").orderBy("name"))
-    named = (names.withColumn("rn", rank).where(F.col("rn") <= V.MAX_TRACE_FIELDS)
-             .groupBy("file").agg(F.array_sort(F.collect_list("name")).alias("field_names")))
+    if max_names is not None:  # applied per input partition before the names of a file meet
+        rank = F.row_number().over(Window.partitionBy("file").orderBy("name"))
+        names = names.withColumn("rn", rank).where(F.col("rn") <= max_names).drop("rn")
+    named = names.groupBy("file").agg(F.array_sort(F.collect_list("name")).alias("field_names"))
     return totals.join(named, "file", "left")
 
 
-def prompt_templates(texts: DataFrame) -> DataFrame:
-    """``texts``: (file, text) -> templates that assemble retrieved context."""
+def prompt_templates(texts: DataFrame, preview: int | None = None) -> DataFrame:
+    """``texts``: (file, text) -> templates that assemble retrieved context; ``preview`` cuts what is shown of them."""
+    shown = F.col("text") if preview is None else F.left("text", F.lit(preview))
     marked = F.lit(False)
     for m in V.PROMPT_MARKERS:
         marked = marked | F.contains("text", F.lit(m))
     return (texts.where(marked).select(
-        "file", F.left("text", F.lit(V.PROMPT_PREVIEW)).alias("preview"), F.sha2("text", 256).alias("sha256"),
+        "file", shown.alias("preview"), F.sha2("text", 256).alias("sha256"),
         F.octet_length("text").alias("length_bytes"), F.contains("text", F.lit("{context}")).alias("has_context_placeholder")))
 
 

@@ -13,12 +13,12 @@ def context_join(rows: DataFrame, context: DataFrame, key: str, size: str, sprea
     """Left join of many ``rows`` per key with one ``context`` row per key.
 
     ``context[size]`` counts the rows of a key.  Keys above ``rows_per_salt`` are
-    split over several salts; there are at most total/rows_per_salt of them, which
-    bounds the broadcast.  Other keys keep the single salt 0.
+    split over several salts.  Other keys keep the single salt 0.  Whether the list
+    of split keys is broadcast is left to Catalyst.
     """
     salts = F.ceil(F.col(size) / F.lit(rows_per_salt)).cast("int")
     hot = context.where(F.col(size) > rows_per_salt).select(key, salts.alias("_n"))
-    left = (rows.join(F.broadcast(hot), key, "left")
+    left = (rows.join(hot, key, "left")
             .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_n")).cast("int"), F.lit(0)))
             .drop("_n"))
     right = context.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))

@@ -11,18 +11,16 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from provlake.vocab import HEADER_LIMIT_BYTES
-
 HEADER_SCHEMA = "case_id bigint, artifact string, path string, header_json string, header_bytes bigint, file_size bigint, note string"
 
 
-def read_header(stream, size: int, limit: int = HEADER_LIMIT_BYTES) -> tuple[str | None, int | None, str | None]:
+def read_header(stream, size: int, limit: int | None = None) -> tuple[str | None, int | None, str | None]:
     """(header text, header length, note) of an open file."""
     start = stream.read(8)
     if len(start) < 8:
         return None, None, "file is shorter than the length prefix"
     n = min(int.from_bytes(start, "little"), 2**63 - 1)
-    if n > limit:
+    if limit is not None and n > limit:
         return None, n, "declared header exceeds the header limit"
     if 8 + n > size:
         return None, n, "declared header reaches past the end of the file"
@@ -32,14 +30,13 @@ def read_header(stream, size: int, limit: int = HEADER_LIMIT_BYTES) -> tuple[str
         return None, n, "header is not UTF-8"
 
 
-def tensor_header_ingest(files: DataFrame, limit: int = HEADER_LIMIT_BYTES) -> DataFrame:
+def tensor_header_ingest(files: DataFrame, limit: int | None = None) -> DataFrame:
     """``files``: (case_id, artifact, path) -> header text, its length, file size, note."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         for batch in batches:
-            rows = []
             for case_id, artifact, path in zip(batch["case_id"], batch["artifact"], batch["path"]):
                 header, n, note, size = None, None, None, None
                 try:
@@ -49,8 +46,8 @@ def tensor_header_ingest(files: DataFrame, limit: int = HEADER_LIMIT_BYTES) -> D
                         header, n, note = read_header(stream, size or 0, limit)
                 except (OSError, ValueError) as e:  # an unreadable file is noted, never fatal
                     note = f"not read: {type(e).__name__}"
-                rows.append((case_id, artifact, path, header, n, size, note))
-            out = pd.DataFrame(rows, columns=["case_id", "artifact", "path", "header_json", "header_bytes", "file_size", "note"])
-            yield out.astype({"header_bytes": "Int64", "file_size": "Int64"})
+                out = pd.DataFrame([(case_id, artifact, path, header, n, size, note)],
+                                   columns=["case_id", "artifact", "path", "header_json", "header_bytes", "file_size", "note"])
+                yield out.astype({"header_bytes": "Int64", "file_size": "Int64"})  # one header in memory at a time
 
     return files.select("case_id", "artifact", "path").mapInPandas(read, HEADER_SCHEMA)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from provlake import vocab as V
 from provlake.operators.ordered import dense_positions
-from provlake.operators.skew import context_join
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -28,15 +27,16 @@ def assign_ids(rows: DataFrame, prefix: str, path: str = "path") -> DataFrame:
             .withColumn("id", F.format_string(prefix + "-%04d", F.col("seq"))))
 
 
-def artifact_inventory(listing: DataFrame, max_depth: int = V.MAX_DEPTH, max_files: int = V.MAX_FILES) -> DataFrame:
+def artifact_inventory(listing: DataFrame, max_depth: int | None = None, max_files: int | None = None) -> DataFrame:
     """``listing``: (case_id, path, depth, size_bytes, mtime, is_link) -> numbered artifact rows.
 
-    Too deep files are left out, and so are files past the limit in walk order;
-    ``inventory_notes`` says so once per case.  Links are kept, unmeasured.
+    Limits, where given, leave out files that are too deep and those past the number in walk order;
+    ``inventory_notes`` says how many.  Links are kept, unmeasured.
     """
-    reached = listing.where(F.col("depth") <= max_depth)
-    # only a case above the limit can lose files
-    numbered = assign_ids(reached, "A").where(F.col("seq") <= max_files)
+    reached = listing if max_depth is None else listing.where(F.col("depth") <= max_depth)
+    numbered = assign_ids(reached, "A")
+    if max_files is not None:
+        numbered = numbered.where(F.col("seq") <= max_files)
     return numbered.select(
         "case_id", F.col("seq").alias("artifact_seq"), F.col("id").alias("artifact_id"), "path",
         F.when(F.col("is_link"), 0).otherwise(F.col("size_bytes")).alias("size_bytes"),
@@ -44,60 +44,73 @@ def artifact_inventory(listing: DataFrame, max_depth: int = V.MAX_DEPTH, max_fil
         F.when(F.col("is_link"), "skipped_reparse_point").otherwise("ok").alias("read_status"))
 
 
-def inventory_notes(listing: DataFrame, max_depth: int = V.MAX_DEPTH, max_files: int = V.MAX_FILES) -> DataFrame:
-    """One note per case for each limit met, one per link."""
-    per_case = listing.groupBy("case_id").agg(
-        F.max(F.col("depth") > max_depth).alias("deep"),
-        (F.count(F.when(F.col("depth") <= max_depth, 1)) > max_files).alias("many"))
-    limits = per_case.select("case_id", F.explode(F.array_compact(F.array(
-        F.when(F.col("deep"), "traversal depth limit reached"), F.when(F.col("many"), "file limit reached")))).alias("detail"))
-    links = listing.where("is_link").where(F.col("depth") <= max_depth)
-    return (limits.select("case_id", F.lit("CL-INV-006").alias("rule_id"), F.lit("").alias("path"), "detail")
-            .unionByName(links.select("case_id", F.lit("CL-INV-003").alias("rule_id"), "path", F.lit("link not followed").alias("detail"))))
+def inventory_notes(listing: DataFrame, max_depth: int | None = None, max_files: int | None = None) -> DataFrame:
+    """One note per case for each limit met, with the files it left out; one per link."""
+    too_deep = F.lit(False) if max_depth is None else F.col("depth") > max_depth
+    deep, rest = F.count_if(too_deep), F.count_if(~too_deep)
+    per_case = listing.groupBy("case_id").agg(deep.alias("deep"), (rest - F.lit(max_files) if max_files is not None else F.lit(0)).alias("many"))
+    limits = per_case.select("case_id", F.inline(F.array(
+        F.struct(F.lit("traversal depth limit reached").alias("detail"), F.col("deep").cast("bigint").alias("left_out")),
+        F.struct(F.lit("file limit reached").alias("detail"), F.col("many").cast("bigint").alias("left_out"))))).where("left_out > 0")
+    links = listing.where("is_link").where(~too_deep)
+    return (limits.select("case_id", F.lit("CL-INV-006").alias("rule_id"), F.lit("").alias("path"), "detail", "left_out")
+            .unionByName(links.select("case_id", F.lit("CL-INV-003").alias("rule_id"), "path", F.lit("link not followed").alias("detail"),
+                                      F.lit(0).cast("bigint").alias("left_out"))))
 
 
-def _within(path: Column, root: Column) -> Column:
-    """Component-wise prefix test, case-insensitive."""
-    p, r = F.lower(path), F.rtrim(F.lower(root), F.lit("/"))
-    return (p == r) | F.startswith(p, F.concat(r, F.lit("/")))
+def _key(path: Column) -> Column:
+    """How paths are compared: without case and trailing slashes."""
+    return F.rtrim(F.lower(path), F.lit("/"))
+
+
+def _above(key: Column) -> Column:
+    """The folders that hold a path, all levels."""
+    parts = F.split(key, "/")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
 def distinct_roots(roots: DataFrame) -> DataFrame:
-    """Drop a root that repeats an earlier one or lies inside another; few roots per case."""
-    named = roots.groupBy("case_id").agg(F.collect_list(F.struct("root_no", "root")).alias("all"))
+    """Drop a root that repeats an earlier one or lies inside another, by components: each looks its folders up."""
+    keyed = roots.withColumn("_key", _key(F.col("root")))
+    first = keyed.groupBy("case_id", "_key").agg(F.min(F.struct("root_no", "root")).alias("r"))
+    inside = (first.select("case_id", "_key", F.explode(_above(F.col("_key"))).alias("_up")).where("_up <> _key")
+              .join(first.select("case_id", F.col("_key").alias("_up")), ["case_id", "_up"], "left_semi").select("case_id", "_key").distinct())
+    return first.join(inside, ["case_id", "_key"], "left_anti").select("case_id", "r.root_no", "r.root")
 
-    def covered(r: Column) -> Column:
-        return F.exists("all", lambda o: (o["root_no"] != r["root_no"]) & F.when(
-            F.lower(o["root"]) == F.lower(r["root"]), o["root_no"] < r["root_no"]).otherwise(_within(r["root"], o["root"])))
-    return named.select("case_id", F.inline(F.filter("all", lambda r: ~covered(r))))
 
+def _holders(listing: DataFrame, places: DataFrame, value: Column) -> DataFrame:
+    """``listing`` with ``_held``: the least ``value`` of the places (case_id, _place, ...) that hold a file, or are it.
 
-def _per_case(listing: DataFrame, context: DataFrame) -> DataFrame:
-    """Join the few selections of a case to its files; a case of any size is split."""
-    sizes = listing.groupBy("case_id").agg(F.count("*").alias("_files"))
-    return context_join(listing, sizes.join(context, "case_id", "left"), "case_id", "_files", "path").drop("_files")
+    Files are looked up by their folder, and each folder once by all folders above it, so the work is in equi-joins.
+    """
+    keyed = listing.withColumn("_key", _key(F.col("path"))).withColumn("_folder", F.regexp_replace("_key", "/[^/]*$", ""))
+    named = places.groupBy("case_id", "_place").agg(F.min(value).alias("_v"))
+    folders = keyed.select("case_id", "_folder").distinct()
+    up = folders.select("case_id", "_folder", F.explode(F.array_distinct(F.concat(_above(F.col("_folder")), F.array("_folder")))).alias("_place"))
+    held = up.join(named, ["case_id", "_place"]).groupBy("case_id", "_folder").agg(F.min("_v").alias("_by_folder"))
+    exact = named.select("case_id", F.col("_place").alias("_key"), F.col("_v").alias("_itself"))
+    return (keyed.join(held, ["case_id", "_folder"], "left").join(exact, ["case_id", "_key"], "left")
+            .withColumn("_held", F.least("_by_folder", "_itself")).drop("_key", "_folder", "_by_folder", "_itself"))
 
 
 def root_scope(listing: DataFrame, exclusions: DataFrame) -> DataFrame:
     """Mark files under an excluded path; their size and time are not shown."""
-    named = exclusions.groupBy("case_id").agg(F.collect_set("excluded").alias("_out"))
-    hit = F.coalesce(F.exists("_out", lambda e: _within(F.col("path"), e)), F.lit(False))
-    marked = _per_case(listing, named).withColumn("skipped", hit)
+    places = exclusions.select("case_id", _key(F.col("excluded")).alias("_place"))
+    marked = _holders(listing, places, F.lit(1)).withColumn("skipped", F.col("_held").isNotNull())
     return (marked.withColumn("size_bytes", F.when(F.col("skipped"), 0).otherwise(F.col("size_bytes")))
             .withColumn("mtime", F.when(~F.col("skipped"), F.col("mtime")))
             .withColumn("read_status", F.when(F.col("skipped"), "skipped_by_submitter").otherwise("ok"))
-            .drop("_out", "skipped"))
+            .drop("_held", "skipped"))
 
 
 def path_alias(listing: DataFrame, roots: DataFrame) -> DataFrame:
     """Absolute path -> ``ROOTn/rest`` under the first registered root; else out of scope."""
-    named = roots.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("root_no", "root"))).alias("_roots"))
-    mine = F.get(F.filter("_roots", lambda r: _within(F.col("path"), r["root"])), F.lit(0))
-    rest = F.expr("substring(path, length(rtrim('/', _mine.root)) + 1)")
-    return (_per_case(listing, named).withColumn("_mine", mine)
-            .withColumn("path_alias", F.when(F.col("_mine").isNull(), V.OUT_OF_SCOPE_PATH)
-                        .otherwise(F.concat(F.lit("ROOT"), F.col("_mine.root_no").cast("string"), rest)))
-            .drop("_roots", "_mine"))
+    places = roots.select("case_id", _key(F.col("root")).alias("_place"), "root_no", "root")
+    rest = F.expr("substring(path, length(rtrim('/', _held.root)) + 1)")
+    return (_holders(listing, places, F.struct("root_no", "root"))
+            .withColumn("path_alias", F.when(F.col("_held").isNull(), V.OUT_OF_SCOPE_PATH)
+                        .otherwise(F.concat(F.lit("ROOT"), F.col("_held.root_no").cast("string"), rest)))
+            .drop("_held"))
 
 
 # --- fixed values: names and endings the classifier knows ------------------------
@@ -153,18 +166,20 @@ def artifact_type(name: Column, head: Column) -> Column:
             .otherwise("unrecognised"))
 
 
-def content_digest(files: DataFrame, budget: int = V.HASH_BUDGET_BYTES) -> DataFrame:
+def content_digest(files: DataFrame, budget: int | None = None) -> DataFrame:
     """``files``: content, whether it was opened, and size and time before and after.
 
-    Over budget the digest covers the head only; a file that moved is marked changed.
+    Over a budget, where one is given, the digest covers the head only; a file that moved is marked changed.
     """
-    head_only = F.octet_length("content") > budget
+    size = F.octet_length("content").cast("bigint")
+    head_only = F.lit(False) if budget is None else size > budget
+    body = F.col("content").cast("binary")
     changed = ~(F.col("size_before").eqNullSafe(F.col("size_after")) & F.col("mtime_before").eqNullSafe(F.col("mtime_after")))
     opened = F.col("opened")
     return (files
-            .withColumn("sha256", F.when(opened, F.sha2(F.substring(F.col("content").cast("binary"), 1, budget), 256)))
+            .withColumn("sha256", F.when(opened, F.sha2(body if budget is None else F.substring(body, 1, budget), 256)))
             .withColumn("hash_scope", F.when(~opened, "none").when(head_only, "head_only").otherwise("full"))
-            .withColumn("bytes_hashed", F.when(opened, F.least(F.octet_length("content").cast("bigint"), F.lit(budget))))
+            .withColumn("bytes_hashed", F.when(opened, size if budget is None else F.least(size, F.lit(budget))))
             .withColumn("read_status", F.when(~opened, "not_hashed").when(changed, "changed").when(head_only, "too_large").otherwise("ok"))
             .withColumn("notes", F.concat_ws("|", F.when(opened & changed, "CL-INV-004"), F.when(opened & head_only, "CL-INV-005")))
             .drop("content"))

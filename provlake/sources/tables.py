@@ -4,23 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPREAD_MIN_BYTES = 1 << 20
-SPREAD_MAX_BYTES_PER_CORE = 16 << 20
-
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Read parquet.
-
-    A small table kept in one row group would be read, and everything up to the
-    first exchange computed, by one core.  Such a table (by its size on disk) is
-    dealt out over the cores; a table large enough to have a split per core is
-    left as it is, so nothing is moved at scale.
-    """
-    df = spark.read.parquet(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    size = fs.getContentSummary(hadoop_path).getLength()
-    cores = spark.sparkContext.defaultParallelism
-    if SPREAD_MIN_BYTES <= size < cores * SPREAD_MAX_BYTES_PER_CORE:
-        return df.repartition(cores)
-    return df
+    """Read parquet; how it is split is left to Spark's split size settings."""
+    return spark.read.parquet(path)

@@ -1,17 +1,18 @@
 """Structured Streaming forms of the log, redaction and trace summaries.
 
-Each job is a function of a streaming DataFrame; ``run_available`` drives one to
-the end of what is there and returns its output as a table.
+Each job is a function of a streaming DataFrame; ``run_to_end`` drives one to
+the end of what is there and returns its whole output as a table.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlake.operators.logs import series_summary, step_order
+from provlake.operators.logs import metric_series
 from provlake.operators.privacy import LEDGER, matches, span_kind
 from provlake.operators.retrieval import full_chain
 from provlake.session import ensure_checkpoint_dir
@@ -30,79 +31,50 @@ def stream_table(spark: SparkSession, directory: str, name: str, files_per_trigg
             .option("maxFilesPerTrigger", files_per_trigger).parquet(directory))
 
 
-def run_available(out: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process everything available and read the written result."""
-    spark = out.sparkSession
+def run_to_end(job, rows: DataFrame, name: str, ts: str = "ts") -> DataFrame:
+    """Run ``job`` over everything in the stream ``rows`` and close its windows; returns all results.
+
+    A second stream of the same shape says that the first has ended: it is empty while ``rows`` is read,
+    and then holds one row whose time lies far ahead, so that the watermark passes every open window.  The row has only
+    its time, so it adds to no count, and its own window stays open.
+    """
+    spark = rows.sparkSession
     where = work_dir(spark, name)
-    q = (out.writeStream.format("parquet").outputMode(mode).option("path", f"{where}/out")
-         .option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start())
-    q.awaitTermination()
+    ends = f"{where}/ends"
+    spark.createDataFrame([], rows.schema).write.parquet(ends)
+    out = job(rows.unionByName(spark.readStream.schema(rows.schema).parquet(ends)))
+
+    def run() -> None:
+        q = (out.writeStream.format("parquet").outputMode("append").option("path", f"{where}/out")
+             .option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    run()
+    last = [F.lit("2200-01-01 00:00:00").cast("timestamp").alias(c) if c == ts else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes]
+    spark.range(1).select(*last).write.mode("append").parquet(ends)
+    run()
     return spark.read.schema(out.schema).parquet(f"{where}/out")
 
 
 # --- per-run series ---------------------------------------------------------------
-SERIES = ("run bigint, entry_count bigint, last_line bigint, first_step bigint, last_step bigint, n_steps bigint, "
-          "ordered boolean, first_loss string, last_loss string, late bigint")
-
-
-def _batch_series(rows: DataFrame) -> DataFrame:
-    """Summary of one micro-batch by the chunked batch operator, so a hot run is many tasks."""
-    entries = rows.select("run", "line_no", F.lit(True).alias("is_entry"), F.array_compact(F.array("step")).alias("steps"),
-                          F.array_compact(F.array("loss")).alias("losses"))
-    steps = step_order(rows.where("step IS NOT NULL").select("run", "line_no", F.lit(0).alias("idx"), "step")).select("run", "n_steps", "ordered")
-    last = rows.groupBy("run").agg(F.max("line_no").alias("last_line"))
-    s = series_summary(entries)
-    return (s.join(steps, "run", "left").join(last, "run")
-            .select("run", "entry_count", "last_line", "first_step", "last_step", F.coalesce("n_steps", F.lit(0)).alias("n_steps"),
-                    F.coalesce("ordered", F.lit(True)).alias("ordered"), "first_loss", "last_loss"))
-
-
-def merge_series(old: DataFrame, new: DataFrame) -> DataFrame:
-    """What was known of a run, followed by what came after it."""
-    o, n = old.alias("o"), new.alias("n")
-    joins = F.coalesce(F.col("n.first_step") >= F.col("o.last_step"), F.lit(True))
-    pick = lambda a, b: F.coalesce(F.col(a), F.col(b))
-    add = lambda c: F.coalesce(F.col(f"o.{c}"), F.lit(0)) + F.coalesce(F.col(f"n.{c}"), F.lit(0))
-    return o.join(n, F.col("o.run") == F.col("n.run"), "full").select(
-        pick("o.run", "n.run").alias("run"), add("entry_count").alias("entry_count"), pick("n.last_line", "o.last_line").alias("last_line"),
-        pick("o.first_step", "n.first_step").alias("first_step"), pick("n.last_step", "o.last_step").alias("last_step"),
-        add("n_steps").alias("n_steps"),
-        (F.coalesce("o.ordered", F.lit(True)) & F.coalesce("n.ordered", F.lit(True)) & joins).alias("ordered"),
-        pick("o.first_loss", "n.first_loss").alias("first_loss"), pick("n.last_loss", "o.last_loss").alias("last_loss"),
-        add("late").alias("late"))
-
-
 def series_state(metrics: DataFrame, name: str = "series") -> DataFrame:
-    """Running series summary per run over a stream of (run, line_no, step, loss).
+    """Series summary per run over a stream of (run, line_no, step, loss).
 
-    State is one row per run in a versioned table; a batch that is retried after a
-    failure reads the version before it and writes its own again.  A line no later
-    than the last one counted is late: it is dropped and counted.
+    Lines may arrive in any order and any split over files and batches, so no summary of a part is final: the stream keeps
+    the lines in a table, exactly once per batch, and the batch operator summarises the table when it is asked.
     """
     spark = metrics.sparkSession
     where = work_dir(spark, name)
-    empty = spark.createDataFrame([], SERIES)
-
-    def version(i: int) -> str:
-        return f"{where}/versions/v{i}"
-
-    def known(batch_id: int) -> DataFrame:
-        return spark.read.schema(SERIES).parquet(version(batch_id - 1)) if batch_id > 0 else empty
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        old = known(batch_id)
-        placed = batch.join(old.select("run", F.col("last_line").alias("_last")), "run", "left")
-        late = F.coalesce(F.col("line_no") <= F.col("_last"), F.lit(False))
-        dropped = placed.where(late).groupBy("run").agg(F.count("*").alias("late"))
-        fresh = _batch_series(placed.where(~late).drop("_last"))
-        new = fresh.join(dropped, "run", "full").withColumn("late", F.coalesce("late", F.lit(0).cast("bigint")))
-        merge_series(old, new).write.mode("overwrite").parquet(version(batch_id))
-
-    q = (metrics.writeStream.foreachBatch(step).option("checkpointLocation", f"{where}/state")
-         .trigger(availableNow=True).start())
+    q = (metrics.writeStream.format("parquet").outputMode("append").option("path", f"{where}/lines")
+         .option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start())
     q.awaitTermination()
-    batches = q.lastProgress["batchId"] if q.lastProgress else 0
-    return spark.read.schema(SERIES).parquet(version(batches))
+    try:
+        lines = spark.read.schema(metrics.schema).parquet(f"{where}/lines")
+    except AnalysisException as e:  # a stream without any file writes no table
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        lines = spark.createDataFrame([], metrics.schema)
+    return metric_series(lines)
 
 
 # --- hourly redaction ledger ---------------------------------------------------------

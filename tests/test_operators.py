@@ -121,18 +121,43 @@ def test_header_ingest_reads_headers_only(spark, tmp_path):
     assert all(got[k].note for k in ("long", "huge", "text", "gone", "short"))
 
 
-def test_stream_in_many_batches_equals_batch(spark, tmp_path):
+def test_stream_equals_batch_for_any_split_of_files(spark, tmp_path):
     rows = [(r, i, (i if r % 2 else (i * 7) % 11), f"{i}.5") for i in range(60) for r in (1, 2, 3)]
     schema = "run bigint, line_no bigint, step bigint, loss string"
-    for k in range(4):
-        part = [x for x in rows if k * 15 <= x[1] < (k + 1) * 15]
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"b{k}"))
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
-              .option("latestFirst", "false").parquet(str(tmp_path)))
-    got = {r.run: (r.entry_count, r.first_step, r.last_step, r.ordered, r.first_loss, r.last_loss, r.late) for r in J.series_state(stream).collect()}
-    batch = {r.run: (r.entry_count, r.first_step, r.last_step, r.steps_monotonic, r.first_loss, r.last_loss, 0)
-             for r in L.metric_series(spark.createDataFrame(rows, schema)).collect()}
-    assert got == batch
+    # later lines arrive in earlier files, and one line of a run long after its neighbours
+    for part in ([r for r in rows if r[1] >= 30], [r for r in rows if r[1] < 30 and r[1] != 17], [r for r in rows if r[1] == 17]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    want = sorted(map(str, L.metric_series(spark.createDataFrame(rows, schema)).collect()))
+    assert sorted(map(str, J.series_state(stream).collect())) == want
+    (tmp_path / "empty").mkdir()
+    assert J.series_state(spark.readStream.schema(schema).parquet(str(tmp_path / "empty"))).count() == 0
+
+
+def test_streams_run_to_their_end(spark, tmp_path):
+    rows = [(f"2024-01-01 0{h}:{m:02d}:00", "a", "mail x@y.org now") for h in range(4) for m in (5, 50)]
+    for i in range(4):
+        spark.createDataFrame(rows[2 * i:2 * i + 2], "ts string, case_id string, text string").selectExpr("CAST(ts AS timestamp) AS ts", "case_id", "text") \
+            .coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, case_id string, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = J.run_to_end(J.redaction_windows, stream, "ledger-test").collect()
+    assert len(got) == 4 and sum(r.redactions for r in got) == 8
+
+
+def test_pairs_below_any_depth_are_skipped(spark):
+    deep = '{"step":5,"m":{"loss":9,"a":{"b":{"c":{"d":{"e":{"loss":8}}}}}},"loss":1.5}'
+    many = " ".join(f"k{i}={i}" for i in range(300))
+    df = spark.createDataFrame([(1, 1, deep), (2, 1, many), (3, 1, "key=" + "v" * 2000)], "run bigint, line_no bigint, line string")
+    got = [(r.run, r.key, r.value) for r in L.log_pairs(df).orderBy("run", "pair_no").collect()]
+    assert [g for g in got if g[0] == 1] == [(1, "step", "5"), (1, "loss", "1.5")]
+    assert sum(g[0] == 2 for g in got) == 300 and got[-1] == (3, "key", "v" * 2000)
+
+
+def test_roots_that_differ_by_a_slash_are_one(spark):
+    from provlake.sources import inventory as I
+
+    roots = spark.createDataFrame([(1, 1, "/data/en"), (1, 2, "/data/en/"), (1, 3, "/data/en/x"), (1, 4, "/data/e")], "case_id bigint, root_no bigint, root string")
+    assert sorted((r.root_no, r.root) for r in I.distinct_roots(roots).collect()) == [(1, "/data/en"), (4, "/data/e")]
 
 
 def test_a_window_needs_no_python_worker(spark, sf):
