@@ -9,4 +9,5 @@ from provlake.checks import q_texts  # noqa: F401
 from provlake.checks import q_privacy  # noqa: F401
 from provlake.checks import q_sources  # noqa: F401
 from provlake.checks import q_verification  # noqa: F401
+from provlake.checks import q_scan  # noqa: F401
 from provlake.checks import q_streaming  # noqa: F401

@@ -76,13 +76,24 @@ def usable_tensors(tensors: DataFrame, files: DataFrame | None = None) -> DataFr
 
 
 def tensor_summary(tensors: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """One header fact per usable file."""
+    """One header fact per usable file.
+
+    Every tensor is marked in one pass; a file with an entry of its own that is unusable is out whatever its spans say,
+    so spans are compared over all entries.
+    """
     limit = F.lit(2**63 - 1).cast("decimal(38,0)")
-    return usable_tensors(tensors, files).groupBy("artifact").agg(
-        F.count("*").alias("tensor_count"),
+    marked = chunked_lag(tensor_check(tensors), ["artifact"], F.floor(F.col("begin") / SPAN_CHUNK_BYTES), ["begin", "end", "name"], ["end"])
+    sound = F.col("reason").isNull() & ~F.coalesce(F.col("begin") < F.col("prev.end"), F.lit(False))
+    per_file = marked.groupBy("artifact").agg(
+        F.bool_and(sound).alias("_sound"), F.max("end").alias("_end"), F.count("*").alias("tensor_count"),
         F.least(F.sum(F.col("elements").cast("decimal(28,0)")), limit).cast("bigint").alias("parameters"),
         F.array_sort(F.collect_set("dtype")).alias("dtypes"),
-        F.max(F.size("shape")).alias("max_rank"), F.max("elements").alias("largest_tensor_elements"))
+        F.max(F.size("shape")).alias("max_rank"), F.max("elements").alias("largest_tensor_elements")).where("_sound")
+    if files is not None:
+        sizes = files.select("artifact", "data_start", "file_size")
+        per_file = (per_file.join(sizes, "artifact", "left")
+                    .where(F.coalesce(F.col("data_start") + F.col("_end") <= F.col("file_size"), F.lit(True))).drop("data_start", "file_size"))
+    return per_file.drop("_sound", "_end")
 
 
 def _marker(name: Column) -> Column:

@@ -211,9 +211,7 @@ def hash_conflict(artifacts: DataFrame) -> DataFrame:
 def fleet_summary(conclusions: DataFrame, coverage: DataFrame) -> DataFrame:
     """Counts of cases by facet, band and coverage, with subtotals."""
     rows = conclusions.select("case_id", "facet", "band").join(coverage, "case_id", "left")
-    return (rows.cube("facet", "band", "coverage_status")
-            .agg(F.count("*").alias("cases"), F.grouping_id().alias("level"))
-            .where(F.col("level").isin(0, 1, 3, 7)))
+    return rows.rollup("facet", "band", "coverage_status").agg(F.count("*").alias("cases"), F.grouping_id().alias("level"))
 
 
 def corpus_violations(conclusions: DataFrame, outcomes: DataFrame, bands: DataFrame, must_not_name: DataFrame,
