@@ -6,8 +6,9 @@ from provlake.checks.registry import query
 from provlake.checks.sqlviews import dim, register
 from provlake.sources import inventory as I
 
-GGUF, ST, SQLITE, ZIP, PB = "47475546", "1000000000000000" + "7B22", "53514C69746520666F726D6174203300", "504B0304", "0812"
-TEXT = "68656C6C6F"  # hello
+HEX = lambda b: b.hex().upper()
+GGUF, SQLITE, ZIP, PB, TEXT = HEX(b"GGUF"), HEX(b"SQLite format 3\x00"), HEX(b"PK\x03\x04"), HEX(b"\x08\x12"), HEX(b"hello")
+ST = HEX((16).to_bytes(8, "little") + b'{"')
 TRACE = b'{"Query": "a", "retrieved": []}'.hex().upper()
 TEMPLATE = b"Use {context}".hex().upper()
 FILES = [  # name, first bytes, type

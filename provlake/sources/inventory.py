@@ -131,9 +131,15 @@ ENDINGS = {"generic_json": ["json"], "generic_yaml": ["yaml", "yml"], "generic_t
            "plain_text": ["md", "txt", "rst", "csv", "tsv"]}
 TEMPLATE_ENDINGS = ["jinja", "j2", "prompt", "tmpl"]
 HEAD_BYTES = 1024
+GGUF_MAGIC, SQLITE_MAGIC, ZIP_MAGIC, PROTOBUF_FIRST_FIELD = b"GGUF", b"SQLite format 3\x00", b"PK\x03\x04", b"\x08"
 MAX_HEADER = 64 * 1024 * 1024
 
 
+def in_hex(magic: bytes) -> str:
+    """How Spark's ``hex`` shows these bytes."""
+    return magic.hex().upper()
+
+
 def artifact_type(name: Column, head: Column) -> Column:
     """Type of a file from its name and first bytes: content before name, name before ending."""
     low, hexed = F.lower(name), F.hex(F.substring(head, 1, 16))
@@ -142,12 +148,12 @@ def artifact_type(name: Column, head: Column) -> Column:
     said_low = F.lower(said)
     # little-endian length in the first eight bytes; only the low four can be non-zero
     length = F.conv(F.concat(*[F.substring(hexed, i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("bigint")
-    tensors = (F.substring(hexed, 9, 8) == "00000000") & length.between(2, MAX_HEADER) & (F.substring(hexed, 17, 2) == "7B")
+    tensors = (F.substring(hexed, 9, 8) == "00000000") & length.between(2, MAX_HEADER) & (F.substring(hexed, 17, 2) == in_hex(b"{"))
     has = lambda t, *parts: F.greatest(*[F.contains(t, F.lit(p)) for p in parts]) if len(parts) > 1 else F.contains(t, F.lit(parts[0]))
     trace = has(said_low, '"query"', '"question"') & has(said_low, '"retrieved"', '"documents"', '"chunks"', '"contexts"')
-    out = (F.when(hexed.startswith("47475546"), "gguf").when(tensors, "safetensors")
-           .when(hexed.startswith("53514C69746520666F726D6174203300"), "vector_index")
-           .when((ext == "onnx") & (hexed.startswith("08") | (F.coalesce(F.length(hexed), F.lit(0)) == 0)), "onnx"))
+    out = (F.when(hexed.startswith(in_hex(GGUF_MAGIC)), "gguf").when(tensors, "safetensors")
+           .when(hexed.startswith(in_hex(SQLITE_MAGIC)), "vector_index")
+           .when((ext == "onnx") & (hexed.startswith(in_hex(PROTOBUF_FIRST_FIELD)) | (F.coalesce(F.length(hexed), F.lit(0)) == 0)), "onnx"))
     for kind, names in EXACT_NAMES.items():
         out = out.when(low.isin(*names), kind)
     return (out.when(low.endswith(".index.json"), "shard_index")
@@ -157,7 +163,7 @@ def artifact_type(name: Column, head: Column) -> Column:
             .when((ext == "service") | low.startswith("k8s") | low.startswith("deployment."), "deployment_manifest")
             .when(ext.isin(*OPAQUE_ENDINGS), "opaque_serialization")
             .when(ext.isin("safetensors", "gguf"), "unrecognised").when(ext == "onnx", "onnx")
-            .when(hexed.startswith("504B0304"), "opaque_serialization")
+            .when(hexed.startswith(in_hex(ZIP_MAGIC)), "opaque_serialization")
             .when(ext.isin("jsonl", "ndjson"), F.when(trace, "retrieval_trace").otherwise("training_log"))
             .when(ext.isin(*TEMPLATE_ENDINGS) | has(said, "{context}", "{{context}}", "{question}"), "vector_index")
             .when((ext == "log") | (F.contains(low, F.lit("train")) & ext.isin("txt", "out", "err")), "training_log")
