@@ -10,6 +10,7 @@ from provlake.checks.sqlviews import idiv, lit, pick, register
 from provlake.operators import verification as X
 from provlake.operators.configs import facts_union
 from provlake.operators.privacy import redaction_ledger
+from provlake.sources.sink import staged
 
 CASE = idiv("o_orderkey", 5)
 register("v_payload", f"SELECT {CASE} AS case_id, 'doc_' || o_orderkey AS name, @SHA(CAST(o_orderkey AS VARCHAR(20))@) AS sha256, o_orderkey FROM {{orders}} WHERE o_orderkey % 17 <> 0")
@@ -68,9 +69,8 @@ def integrity_status(get):
     return integrity(get)
 
 
-def stated(get):
+def stated(c):
     """Delivered conclusions: the true ones, some edited."""
-    c = _conclusions(get)
     k = F.col("case_id")
     return (c.where(k % 31 != 3)
             .withColumn("score_tenths", F.col("score_tenths") + F.when(k % 13 == 0, 100).otherwise(0))
@@ -86,13 +86,13 @@ SELECT case_id, facet, CASE WHEN case_id % 31 = 3 OR case_id % 29 = 0 THEN 'not_
   CASE WHEN case_id % 31 <> 3 THEN score_tenths + CASE WHEN case_id % 13 = 0 THEN 100 ELSE 0 END END AS stated_tenths, score_tenths AS recomputed_tenths FROM {{s_conclusion}}""")
 
 
-def diff(get):
-    return X.recompute_diff(stated(get), _conclusions(get))
+def diff(c):
+    return X.recompute_diff(stated(c), c)
 
 
 @query("recompute_diff", "SELECT * FROM {o_diff}")
 def recompute_diff(get):
-    return diff(get)
+    return diff(staged(_conclusions(get), "conclusions"))
 
 
 register("v_challenge", f"""
@@ -132,9 +132,9 @@ FROM (SELECT i.case_id, i.integrity_status, h.challenge_status, c.coverage_statu
   FROM {o_integrity} i JOIN {o_challenge} h ON h.case_id = i.case_id JOIN {o_coverage} c ON c.case_id = i.case_id JOIN {o_weakest} w ON w.case_id = i.case_id
   JOIN (SELECT case_id, BOOL_OR(status = 'not_possible') AS np, BOOL_OR(status <> 'matches') AS bad FROM {o_diff} GROUP BY case_id) d ON d.case_id = i.case_id) a""")
 def verification_axes(get):
-    c = _conclusions(get)
+    c = staged(_conclusions(get), "conclusions")
     return X.verification_axes(get("v_case"), integrity(get), challenge(get), q_sources.coverage_status(get), X.weakest_band(c),
-                               X.recomputation(diff(get)))
+                               X.recomputation(diff(c)))
 
 
 # --- canary ---------------------------------------------------------------------------
