@@ -80,11 +80,22 @@ def evidence_round_trip(spark, sf_dir):
     return read_evidence(spark, where, "conclusions")
 
 
-@stream_query("tensor_header_ingest")
+B = lambda s: s.replace("{", "{{").replace("}", "}}")  # noqa: E731  braces of JSON inside a view text
+# one container per supplier: eight length bytes, then a header shorter than 128 bytes; some declare more than they hold
+register("v_container", f"""SELECT artifact, header, CASE WHEN s_suppkey % 5 = 0 THEN 127 ELSE LENGTH(header) END AS declared FROM (
+  SELECT s_suppkey, 'c' || s_suppkey AS artifact, '{B('{"w":{"dtype":"F32","shape":[')}' || (s_nationkey + 1) || '{B('],"data_offsets":[0,')}' || (s_nationkey * 4 + 4) || '{B(']}}')}' AS header FROM {{supplier}}) t""")
+
+
+@stream_query("tensor_header_ingest", """SELECT artifact, CASE WHEN declared = LENGTH(header) THEN header END AS header_json, declared AS header_bytes, LENGTH(header) + 9 AS file_size,
+  CASE WHEN declared > LENGTH(header) THEN 'declared header reaches past the end of the file' END AS note FROM {v_container}""")
 def header_ingest(spark, sf_dir):
-    """The driver's own files read as containers: each is refused with a note, none fails the job."""
+    """Containers written from the suppliers to the shared folder, listed and read back."""
+    from provlake.checks.sqlviews import spark_view
     from provlake.sources.inventory import list_files
 
-    files = (list_files(spark, sf_dir).where(F.col("path").endswith(".parquet"))
-             .select(F.lit(1).cast("bigint").alias("case_id"), F.substring_index("path", "/", -1).alias("artifact"), "path"))
-    return tensor_header_ingest(files).select("case_id", "artifact", "file_size", "note")
+    where = J.work_dir(spark, "containers")
+    prefix = F.concat(F.char(F.col("declared")), F.repeat(F.char(F.lit(0)), F.lit(7)))
+    # a text file ends its only line with one more byte
+    spark_view(spark, sf_dir, "v_container").select("artifact", F.concat(prefix, "header").alias("value")).write.partitionBy("artifact").text(where)
+    files = list_files(spark, where).select(F.lit(1).cast("bigint").alias("case_id"), F.regexp_extract("path", "artifact=([^/]*)/", 1).alias("artifact"), "path")
+    return tensor_header_ingest(files.where("artifact <> ''")).select("artifact", "header_json", "header_bytes", "file_size", "note")
