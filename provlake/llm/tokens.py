@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import re
 
-CACHE_ENTRIES = 1_000_000  # pieces kept by one worker; the cache is emptied beyond
+CACHE_ENTRIES = 1_500_000  # pieces kept by one worker; the cache is emptied beyond
 
 _encoders: dict[tuple[str, str], "PieceEncoder"] = {}
 
@@ -30,6 +30,7 @@ class PieceEncoder:
 
     AMBIGUOUS = re.compile(r"\s \s")
     SAFE_CUT = re.compile(r"(?= [!-~])")
+    SIGNS = (".", ",", ";", ":", "!", "?")
 
     def __init__(self, path: str, mode: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,14 +40,13 @@ class PieceEncoder:
         self.mode = mode
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
-        self.begins = None
-        if mode == "spaced":
-            import numpy as np
+        import numpy as np
 
-            # tokens that begin with the space byte: in a text of spaced words, where a word begins
-            vocabulary = self.tok.get_vocab(with_added_tokens=True)
-            self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-            self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        # spaced: tokens that begin with the space byte, so where a word begins; words: tokens that end a word
+        mark = (lambda t: t.startswith("\u0120")) if mode == "spaced" else (lambda t: t.endswith("</w>"))
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.marks = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.marks[[i for t, i in vocabulary.items() if mark(t)]] = True
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -63,35 +63,45 @@ class PieceEncoder:
         head, *rest = text.split(" ")
         return head, rest
 
+    def _parts(self, piece: str) -> int:
+        """Marked tokens that a piece has at least, or 0 if it must be encoded alone."""
+        if self.mode == "spaced":  # one that ends in white space would lend it to the next
+            return 1 if piece and not piece[-1].isspace() else 0
+        return 1 if piece.isalpha() else 2 if piece[-1:] in self.SIGNS and piece[:-1].isalpha() else 0
+
     def _learn(self, missing: list[str]) -> None:
-        if self.begins is None:
-            self.cache.update(zip(missing, self._whole(missing), strict=True))
-            return
+        """Encode unseen pieces many at a time, and part the ids at the marked tokens."""
         import numpy as np
 
-        # a piece that ends in white space would lend it to the next, so it is encoded alone
-        together = [p for p in missing if p and not p[-1].isspace()]
-        alone = [p for p in missing if not p or p[-1].isspace()]
-        self.cache.update(zip(alone, self._whole([" " + p for p in alone]), strict=True))
+        lead = " " if self.mode == "spaced" else ""
+        parts = [self._parts(p) for p in missing]
+        alone = [p for p, n in zip(missing, parts, strict=True) if not n]
+        self.cache.update(zip(alone, self._whole([lead + p for p in alone]), strict=True))
+        together = [(p, n) for p, n in zip(missing, parts, strict=True) if n]
         for i in range(0, len(together), 1024):
-            part = together[i:i + 1024]
+            part, counts = zip(*together[i:i + 1024], strict=True)
             ids = np.array(self.tok.encode_batch_fast(["".join([" " + p for p in part])], add_special_tokens=False)[0].ids, dtype="<u4")
-            at = [*np.flatnonzero(self.begins[ids]).tolist(), len(ids)]
-            if len(at) != len(part) + 1:  # a piece with inner white space beside a space
-                self.cache.update(zip(part, self._whole([" " + p for p in part]), strict=True))
+            at, upto = np.flatnonzero(self.marks[ids]), np.cumsum(counts)
+            if len(at) != upto[-1]:  # some piece has more marked tokens than it must have
+                self.cache.update(zip(part, self._whole([lead + p for p in part]), strict=True))
                 continue
+            begin = at if self.mode == "spaced" else np.concatenate(([0], at[upto - 1][:-1] + 1))
+            end = np.append(begin[1:], len(ids))
             raw = ids.tobytes()
-            self.cache.update((p, raw[4 * a:4 * b]) for p, a, b in zip(part, at[:-1], at[1:], strict=True))
+            self.cache.update((p, raw[4 * x:4 * y]) for p, x, y in zip(part, begin.tolist(), end.tolist(), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
         cut = [None if any(a in text for a in self.added) else self.pieces(text) for text in texts]
-        known = self.cache
-        self._learn(list({p for c in cut if c for p in c[1] if p not in known}))
+        look = self.cache.get
+        found = [None if c is None else list(map(look, c[1])) for c in cut]
+        gaps = [i for i, f in enumerate(found) if f is not None and None in f]
+        self._learn(list({p for i in gaps for p, ids in zip(cut[i][1], found[i], strict=True) if ids is None}))
+        for i in gaps:
+            found[i] = list(map(look, cut[i][1]))
         heads = iter(self._whole([t if c is None else c[0] for t, c in zip(texts, cut, strict=True)]))
-        get = self.cache.__getitem__
-        return [next(heads) if c is None else next(heads) + b"".join(map(get, c[1])) for c in cut]
+        return [next(heads) if f is None else next(heads) + b"".join(f) for f in found]
 
 
 def encoder(path: str, mode: str) -> PieceEncoder:
