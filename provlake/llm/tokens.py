@@ -9,9 +9,17 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 CACHE_ENTRIES = 1_500_000  # pieces kept by one worker; the cache is emptied beyond
 
+# how byte-level vocabularies write the 256 bytes: printable ones as themselves, the others as letters from U+0100 on
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+assert sys.byteorder == "little" and array("I").itemsize == 4, "ids are written as the machine holds them"
+
 _encoders: dict[tuple[str, str], "PieceEncoder"] = {}
 
 
@@ -37,7 +45,7 @@ class PieceEncoder:
         import tokenizers
 
         self.tok = tokenizers.Tokenizer.from_file(path)
-        self.mode = mode
+        self.mode, self.model = mode, self.tok.model
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
         import numpy as np
@@ -69,11 +77,28 @@ class PieceEncoder:
             return 1 if piece and not piece[-1].isspace() else 0
         return 1 if piece.isalpha() else 2 if piece[-1:] in self.SIGNS and piece[:-1].isalpha() else 0
 
+    def _letters(self, piece: str) -> str | None:
+        """A piece of Latin letters as the vocabulary spells it, which is one word to the model; None for others.
+
+        Such letters have one form only, so the normaliser changes nothing but their case.
+        """
+        word = piece.lower() if self.mode == "words" else piece
+        if not word.isalpha() or not (word.isascii() or max(word) <= "\u024f"):
+            return None
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return "\u0120" + spelt if self.mode == "spaced" else spelt
+
     def _learn(self, missing: list[str]) -> None:
-        """Encode unseen pieces many at a time, and part the ids at the marked tokens."""
+        """Encode unseen pieces: words of letters by the model itself, others many at a time, parted at the marked tokens."""
         import numpy as np
 
-        lead = " " if self.mode == "spaced" else ""
+        lead, left = " " if self.mode == "spaced" else "", []
+        for p in missing:
+            if (word := self._letters(p)) is None:
+                left.append(p)
+            else:
+                self.cache[p] = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        missing = left
         parts = [self._parts(p) for p in missing]
         alone = [p for p, n in zip(missing, parts, strict=True) if not n]
         self.cache.update(zip(alone, self._whole([lead + p for p in alone]), strict=True))
