@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provlake import vocab as V
+from provlake.operators.skew import context_join
 from provlake.functions import patterns as P
 
 # kind -> (rule, ledger name)
@@ -127,9 +128,11 @@ def users_pattern(users: DataFrame) -> DataFrame:
 
 
 def username_alias(texts: DataFrame, paths: DataFrame) -> DataFrame:
-    """Scrub ``texts`` (case_id, .., text) with the user names learned from the case's paths."""
-    return (texts.join(users_pattern(learned_users(paths)), "case_id", "left")
-            .withColumn("text", scrub_text(F.col("text"), F.col("names_pattern"))).drop("names_pattern"))
+    """Scrub ``texts`` (case_id, .., text) with the user names learned from the case's paths; a case of any size is split."""
+    sizes = texts.groupBy("case_id").agg(F.count("*").alias("_texts"))
+    context = sizes.join(users_pattern(learned_users(paths)), "case_id", "left")
+    return (context_join(texts, context, "case_id", "_texts", "text")
+            .withColumn("text", scrub_text(F.col("text"), F.col("names_pattern"))).drop("names_pattern", "_texts"))
 
 
 def forbidden_language(text: Column) -> Column:
