@@ -4,7 +4,7 @@ Centroids are fitted on a bounded sample; every vector belongs to the cluster of
 a guest of the next few, so clusters overlap.  Each cluster's members are built into a graph: candidates of a
 vector are pruned robustly (a neighbour goes if a kept one is much nearer to it), lists are made mutual, and what
 several clusters found for a vector is the union of its lists.  A vector then searches the clusters it belongs
-to: greedily from the medoid, and from every hit the range is expanded over the graph until no new hit turns up.  Hits
+to: greedily from the medoid and from its own place, and from every hit the range is expanded over the graph until no new hit turns up.  Hits
 are verified by cosines in double precision.
 
 A pair counts once: where its second end is at home, or, seen from a guest whose own home cannot see it, there as well.
@@ -33,7 +33,7 @@ MOST_CLUSTERS = 4096
 SHARD_ROWS = 3000
 AUDIT_QUERIES = 2048
 OVERLAP = 3  # clusters a vector belongs to, its home included
-CANDIDATES, DEGREE, ALPHA, BEAM = 48, 24, 1.2, 32
+CANDIDATES, DEGREE, ALPHA, BEAM = 32, 16, 1.2, 8
 
 FOUND = "row long, links long, other long"
 
@@ -110,8 +110,11 @@ def graph(x, degree: int = DEGREE, candidates: int = CANDIDATES, alpha: float =
     return np.concatenate([out, mutual, (chain + 1) % n], axis=1)
 
 
-def range_search(x, links, queries, starts, least: float, beam: int = BEAM):
-    """Per query, a mask over ``x`` of hits: a greedy beam from ``starts``, then expansion of every hit until none is new."""
+def range_search(x, links, queries, starts, least: float, beam: int = BEAM, own=None):
+    """Per query, a mask over ``x`` of hits: a greedy beam from ``starts``, then expansion of every hit until none is new.
+
+    ``own`` holds, per query, its own place in the graph, or -1: a member also starts there.
+    """
     import numpy as np
 
     n, q = len(x), len(queries)
@@ -129,6 +132,8 @@ def range_search(x, links, queries, starts, least: float, beam: int = BEAM):
 
     for s in starts:
         visit(rows, np.full(q, s))
+    if own is not None:
+        visit(rows, own)
     while True:
         # the beam: of the nearest seen vectors, those not expanded yet; and every hit
         k = min(beam, n)
@@ -186,8 +191,10 @@ def search_clusters(rows: DataFrame, least: float) -> DataFrame:
         medoid = int(np.argmax(y @ y.mean(axis=0)))
         counts, parent = np.zeros(len(row), dtype=np.int64), np.arange(len(row))
         at_home = home[base] == cluster
+        place = np.full(len(row), -1, dtype=np.int64)
+        place[base] = np.arange(len(base))
         for at in range(0, len(row), 256):
-            hit = range_search(y, links, x[at:at + 256], (medoid,), least)
+            hit = range_search(y, links, x[at:at + 256], (medoid,), least, own=place[at:at + 256])
             q, b = np.nonzero(hit)
             q = q + at
             keep = (base[b] != q) & at_home[b]
