@@ -30,9 +30,9 @@ from provlake.llm.components import connected_components, union
 SAMPLE_ROWS = 20_000  # vectors that centroids are fitted on, at most
 CLUSTER_ROWS = 1000  # vectors to a cluster, on average
 MOST_CLUSTERS = 4096
-SHARD_ROWS = 3000
+SHARD_ROWS = 12_000
 AUDIT_QUERIES = 2048
-OVERLAP = 3  # clusters a vector belongs to, its home included
+OVERLAP = 2  # clusters a vector belongs to, its home included
 CANDIDATES, DEGREE, ALPHA, BEAM = 32, 16, 1.2, 8
 
 FOUND = "row long, links long, other long"
@@ -130,7 +130,7 @@ def range_search(x, links, queries, starts, least: float, beam: int = BEAM, own=
         sims[who, nodes] = np.einsum("ij,ij->i", queries[who], x[nodes])
         todo[who, nodes] = True
 
-    for s in starts:
+    for s in starts:  # places for all queries, or one for each
         visit(rows, np.full(q, s))
     if own is not None:
         visit(rows, own)
@@ -193,8 +193,11 @@ def search_clusters(rows: DataFrame, least: float) -> DataFrame:
         at_home = home[base] == cluster
         place = np.full(len(row), -1, dtype=np.int64)
         place[base] = np.arange(len(base))
+        pivots = np.unique(np.linspace(0, len(base) - 1, 128).astype(np.int64))
         for at in range(0, len(row), 256):
-            hit = range_search(y, links, x[at:at + 256], (medoid,), least, own=place[at:at + 256])
+            asked = x[at:at + 256]
+            near = pivots[np.argsort(-(asked @ y[pivots].T), axis=1)[:, :8]]  # further places to start from, for rows of other parts
+            hit = range_search(y, links, asked, (medoid, *near.T), least, own=place[at:at + 256])
             q, b = np.nonzero(hit)
             q = q + at
             keep = (base[b] != q) & at_home[b]
