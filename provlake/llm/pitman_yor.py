@@ -1,12 +1,16 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-The root restaurant serves words to the tokens of the corpus.  Its base is a spelling model of restaurants for
+Every word of the training texts has a restaurant for the word that follows it (the end token stands before a text);
+their parent is the root restaurant of words.  Its base is a spelling model of restaurants for
 the last three, two, one and no bytes of a word, each sharing its parent with its siblings, over uniform bytes.  A
-table of a restaurant is a customer of its parent, so a word sends its spelling down once per table.
+table of a restaurant is a customer of its parent, so a word sends its spelling down once per table of the root.
 Seating is sampled by Gibbs sweeps: every restaurant's tables are drawn anew, given the others, by the
 Chinese-restaurant process; predictive probabilities are averaged over the sweeps after burn-in.
 
-What grows with the corpus (words, counts, tables of words) is held in tables and handled in tasks.  The spelling
+What grows with the corpus (words, pairs, counts, tables) is held in tables and handled in tasks.  Pairs are counted in
+each block, and go once to the cell of a grid, by a group of the first and one of the second word, so no frequent word meets
+one task.  A pair seen once has one table whatever is drawn; only pairs seen twice or more are seated in sweeps, and
+what they lack in tables against customers is told to their words.  The spelling
 restaurants are hashed into fixed numbers of slots, so their cells are at most SLOTS * 256 however large the
 corpus, and only these meet on the driver.  Texts are read once, into blocks of word numbers with a word list
 each; counts and probabilities come to the word lists, and blocks are scored from them.
@@ -35,8 +39,10 @@ BLOCK_TOKENS = 1_000_000
 SLOTS = 256 * 32 * 4  # restaurants of the deepest spelling level: last byte, 5 bits of the one before, 2 of the one before that
 PARENT_BITS = (2, 5, 8)  # slots of a level shifted by these are the slots of its parent
 STOP = 0x20  # ends a spelling, and stands before its first byte: words hold no space
-SPELL_DISCOUNT, SPELL_STRENGTH, WORD_STRENGTH = 0.5, 1.0, 1.0
-TABLES, KNOWN = -1, -2  # beside the cells: tables of all words, spelling probability of all known words
+SPELL_DISCOUNT, SPELL_STRENGTH, WORD_STRENGTH, PAIR_STRENGTH = 0.5, 1.0, 1.0, 1.0
+TABLES, KNOWN, GUESTS = -1, -2, -3  # beside the cells: tables of all words, spelling probability of all known words, customers of the root
+CELL_TOKENS, LEAST_GROUPS = 1_300_000, 4  # tokens to a cell of the pair grid, on average; groups on a side, at least
+ONCE, NEVER = -1, -2  # in place of a pair's number among those of its cell that training saw twice or more
 EXACT = 16  # customers seated one by one; later ones in blocks over which rates change by at most a quarter
 
 BLOCKS = "block long, words array<string>, trained array<long>, doc_id array<long>, held array<boolean>, n array<int>, tokens binary"
@@ -156,10 +162,18 @@ class Spelling:
                                   / (SPELL_STRENGTH + total))
 
     def table(self):
-        """Natural logs of the predictive probabilities of the deepest restaurants."""
+        """Natural logs of the predictive probabilities of the deepest restaurants, compressed: each executor holds a copy on disk."""
         import numpy as np
+        import zstandard
+
+        return zstandard.ZstdCompressor(level=1).compress(np.log(self.levels[3]).astype(np.float32).tobytes())
 
-        return np.log(self.levels[3]).astype(np.float32)
+
+def opened(table: bytes):
+    import numpy as np
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(table), dtype=np.float32).reshape(SLOTS, 256)
 
 
 def word_logs(words: list[str], table):
@@ -214,88 +228,320 @@ def word_blocks(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     return saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(blocks, BLOCKS), "blocks")
 
 
+def squeeze(*columns) -> bytes:
+    """Columns of 64-bit numbers of one length, by planes of bytes."""
+    import numpy as np
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns))
+
+
+def unsqueeze(data: bytes, columns: int = 1):
+    import numpy as np
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(columns, 8, -1)
+    return [np.ascontiguousarray(p.T).view(np.int64).reshape(-1) for p in planes]
+
+
+def group_of(ids, groups: int):
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % groups
+
+
+def block_pairs(r: dict, size: int):
+    """Of a block's pairs (word before, word): the distinct ones in order, as two columns, and which one each token ends."""
+    import numpy as np
+    import zstandard
+
+    ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["tokens"]), dtype="<i4").astype(np.int64)
+    before = np.concatenate((np.zeros(1, dtype=np.int64), ids[:-1]))  # texts end with word 0, the end token
+    pairs, at = np.unique(before * size + ids, return_inverse=True)
+    return pairs // size, pairs % size, at
+
+
+def cell_pairs(blocks: DataFrame, lists: DataFrame, groups: int) -> DataFrame:
+    """``(cell, block, data, once, twice)``, written once: with block -1 the pairs of a cell that training saw twice or more, with
+    their counts; with a block's number which of them the block's pairs in that cell are."""
+    sent_schema, kept_schema = arrow_schema("cell int, block long, data binary"), arrow_schema("cell int, block long, data binary, once long, twice long")
+
+    def send(block, listed):
+        import numpy as np
+        import pyarrow as pa
+
+        out = []
+        for r in block.to_pylist():
+            ids, known = np.zeros(r["size"], dtype=np.int64), np.zeros(r["size"], dtype=bool)
+            at = listed["pos"].to_numpy()
+            ids[at], known[at] = listed["id"].to_numpy(), True
+            a, b, token = block_pairs(r, r["size"])
+            trained = np.bincount(token, weights=np.repeat(~np.array(r["held"]), r["n"]), minlength=len(a)).astype(np.int64)
+            use = known[a] & known[b]  # a pair with a word that training never saw has no count
+            a, b, trained = ids[a[use]], ids[b[use]], trained[use]
+            cell = group_of(a, groups) * groups + group_of(b, groups)
+            order = np.argsort(cell, kind="stable")
+            cells, starts = np.unique(cell[order], return_index=True)
+            out += [(k, r["block"], squeeze(a[x], b[x], trained[x])) for k, x in zip(cells.tolist(), np.split(order, starts[1:]), strict=True)] if len(cells) else []
+        return pa.Table.from_batches([arrow_batch(out, sent_schema)])
+
+    def merge(sent):
+        import numpy as np
+        import pyarrow as pa
+
+        parts = [unsqueeze(d, 3) for d in sent["data"].to_pylist()]
+        a, b, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        (first, i), (second, j) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
+        pairs, at = np.unique(i * len(second) + j, return_inverse=True)
+        total = np.bincount(at, weights=n).astype(np.int64)
+        often = total > 1
+        number = np.where(often, np.cumsum(often) - 1, np.where(total == 1, ONCE, NEVER))[at]
+        cell, pairs = sent["cell"][0].as_py(), pairs[often]
+        ends = np.cumsum([len(p[0]) for p in parts])[:-1]
+        out = [(cell, -1, squeeze(first[pairs // len(second)], second[pairs % len(second)], total[often]), int((total == 1).sum()), int((total == 2).sum()))]
+        out += [(cell, k, squeeze(x), 0, 0) for k, x in zip(sent["block"].to_pylist(), np.split(number, ends), strict=True)]
+        return pa.Table.from_batches([arrow_batch(out, kept_schema)])
+
+    sized = blocks.select("block", F.size("words").alias("size"), "held", "n", "tokens")
+    sent = (sized.groupBy("block").cogroup(lists.where("c > 0").select("block", "pos", "id").groupBy("block"))
+            .applyInArrow(send, "cell int, block long, data binary"))
+    return saved(sent.groupBy("cell").applyInArrow(merge, "cell int, block long, data binary, once long, twice long"), "cells")
+
+
+SEATED = "cell int, tables binary, lacks array<struct<id:long,customers:long,tables:long>>"
+
+
+def seat_pairs(cells: DataFrame, words: DataFrame | None, groups: int, discount: float, sweep: int) -> DataFrame:
+    """Tables of the pairs seen twice or more (one each without ``words``), and what their words lack for it; written once.
+
+    ``words(id, key, p, t)`` are the words of these pairs with their probability in the root and their restaurant's tables.
+    """
+    schema = arrow_schema(SEATED)
+
+    def seated(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        got = {k: d for k, d in zip(rows["kind"].to_pylist(), rows["data"].to_pylist(), strict=True)}
+        a, b, n = unsqueeze(got[0], 3)
+        t = np.ones(len(n))
+        if 1 in got and len(n):
+            (ids, key, _, tables), (ids2, key2, p, _) = unsqueeze(got[1], 4), unsqueeze(got[2], 4)
+            x, y = np.searchsorted(ids, a), np.searchsorted(ids2, b)
+            with np.errstate(over="ignore"):
+                keys = key[x].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + key2[y].view(np.uint64)
+            mass = (PAIR_STRENGTH + discount * tables[x]) * p.view(float)[y]
+            t = seat(n.astype(float), np.maximum(mass, 1e-300), discount, keys, sweep)
+        t = t.astype(np.int64)
+        ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        lack, none = n - t, np.zeros(len(n), dtype=np.int64)
+        customers = np.bincount(at, weights=np.concatenate((none, lack)), minlength=len(ids)).astype(np.int64)
+        tables = np.bincount(at, weights=np.concatenate((lack, none)), minlength=len(ids)).astype(np.int64)
+        lacks = [{"id": i, "customers": c, "tables": u} for i, c, u in zip(ids.tolist(), customers.tolist(), tables.tolist(), strict=True)]
+        return pa.Table.from_batches([arrow_batch([(rows["cell"][0].as_py(), squeeze(t), lacks)], schema)])
+
+    def packed(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        ids = rows["id"].to_numpy()
+        o = np.argsort(ids)
+        data = squeeze(ids[o], rows["key"].to_numpy()[o], rows["p"].to_numpy()[o], rows["t"].to_numpy()[o])
+        return pa.Table.from_batches([arrow_batch([(rows["g"][0].as_py(), data)], pack_schema)])
+
+    pack_schema = arrow_schema("g int, data binary")
+    rows = cells.where("block = -1").select("cell", F.lit(0).alias("kind"), "data")
+    if words is not None:
+        lots = saved(words.groupBy("g").applyInArrow(packed, "g int, data binary"), "lots")
+        other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("other")
+        for kind, cell in ((1, f"g * {groups} + other"), (2, f"other * {groups} + g")):
+            told = lots.select("g", "data", other).select(F.expr(cell).cast("int").alias("cell"), F.lit(kind).alias("kind"), "data")
+            rows = rows.unionByName(told.join(cells.where("block = -1").select("cell"), "cell", "left_semi"))
+    return saved(rows.groupBy("cell").applyInArrow(seated, SEATED), "seated")
+
+
 def score_documents(docs: DataFrame, fold: int = 7, held: int = 2, burn_in: int = 1, samples: int = 2) -> DataFrame:
     """Scores of all rows, learned from those outside the held fold: SCORES and ``train_tokens``."""
     spark = docs.sparkSession
     blocks = word_blocks(docs, fold, held)
     listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("pos", "e")).select(
         "block", "pos", F.col("e.words").alias("word"), F.col("e.trained").alias("n"))
-    by_word = Window.partitionBy("word")
-    lists = saved(listed.select("block", "pos", "word", F.sum("n").over(by_word).alias("c"),
-                                (F.row_number().over(by_word.orderBy("block")) == 1).alias("lead")), "lists")
-    leads = lists.where("lead and c > 0").select("word", "c", F.xxhash64("word").alias("key"))
-    sums = leads.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("words"), F.count_if(F.col("c") == 1).alias("once"),
-                     F.count_if(F.col("c") == 2).alias("twice")).first()
-    discount = min(max(sums.once / max(sums.once + 2 * sums.twice, 1), 0.1), 0.95)
-    spelling, state, states = Spelling(), {"discount": discount, "tables": float(sums.words), "sweep": 0}, []
-    cell_schema = arrow_schema("cell long, n double")
-    for sweep in range(1, burn_in + samples + 1 if sums.words else 1):
+    by_word = Window.partitionBy("word").orderBy("block")
+    whole = by_word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = listed.select("block", "pos", "word", F.sum("n").over(whole).alias("c"), (F.row_number().over(by_word) == 1).alias("lead"))
+    numbered = counted.withColumn("row", F.monotonically_increasing_id()).withColumn("id", F.min("row").over(whole))
+    lists = saved(numbered.select("block", "pos", "id", "c", F.when(F.col("lead"), F.col("word")).alias("word")), "lists")
+    leads = lists.where("word IS NOT NULL AND c > 0").select("id", "word", "c", F.xxhash64("word").alias("key"))
+    first = leads.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).first()
+    tokens, words = first.tokens, first.words
+    groups = max(LEAST_GROUPS, int((tokens / CELL_TOKENS) ** 0.5) + 1)
+    cells = cell_pairs(blocks, lists, groups)
+    sums = cells.agg(F.coalesce(F.sum("once"), F.lit(0)).alias("once"), F.coalesce(F.sum("twice"), F.lit(0)).alias("twice")).first()
+    estimate = lambda s: min(max(s.once / max(s.once + 2 * s.twice, 1), 0.1), 0.95)
+    pair_discount = estimate(sums)
+
+    def lacking(seated):
+        return saved(seated.select(F.inline("lacks")).groupBy("id").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")), "lacks")
+
+    seated = seat_pairs(cells, None, groups, pair_discount, 0)
+    lacks = lacking(seated)
+    flagged = saved(leads.join(lacks.select("id", F.lit(True).alias("often")), "id", "left"), "words")
+    rare, often = flagged.where("often IS NULL"), flagged.where("often")  # often: in a pair seen twice or more
+
+    def current(lacks):
+        """Words with their customers in the root and the tables of their restaurant."""
+        told = often.join(lacks, "id").select("id", "word", "key", (F.col("c") - F.col("customers")).alias("n"), (F.col("c") - F.col("tables")).alias("t"))
+        return rare.select("id", "word", "key", F.col("c").alias("n"), F.col("c").alias("t")).unionByName(told), told
+
+    discount = estimate(current(lacks)[0].agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first())
+    spelling, state, states, seatings = Spelling(), {"discount": discount, "tables": float(words), "sweep": 0}, [], []
+    cell_schema, root_schema = arrow_schema("cell long, n double"), arrow_schema("g int, id long, key long, p double, t long")
+
+    def in_root(logs, n, keys, state):
+        """Probabilities of words in the root."""
+        import numpy as np
+
+        own = np.maximum(n - state["discount"] * word_tables(n, logs, keys, state), 0)
+        return (own + (WORD_STRENGTH + state["discount"] * state["total"]) * np.exp(logs)) / (WORD_STRENGTH + state["guests"])
+
+    for sweep in range(1, burn_in + samples + 1 if words else 1):
         state = state | {"sweep": sweep}
         shared = spark.sparkContext.broadcast(spelling.table())
-        states.append((state, shared))
+        everyone, told = current(lacks)
 
         def spread(batches, state=state, shared=shared):
             import numpy as np
             import pyarrow as pa
 
+            table = opened(shared.value)
             for b in batches:
                 if not b.num_rows:
                     continue
-                words = b.column(0).to_pylist()
-                logs = word_logs(words, shared.value)
-                t = word_tables(b.column(1).to_numpy().astype(float), logs, b.column(2).to_numpy().view(np.uint64), state)
+                words, n = b.column(0).to_pylist(), b.column(1).to_numpy().astype(float)
+                logs = word_logs(words, table)
+                t = word_tables(n, logs, b.column(2).to_numpy().view(np.uint64), state)
                 slot, byte, starts = spelled(words)
                 cells, at = np.unique(slot * 256 + byte, return_inverse=True)
-                n = np.bincount(at, weights=np.repeat(t, np.diff(np.append(starts, len(byte)))))
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, [TABLES, KNOWN])), pa.array(np.append(n, [t.sum(), np.exp(logs).sum()]))], schema=cell_schema)
+                sent = np.bincount(at, weights=np.repeat(t, np.diff(np.append(starts, len(byte)))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, [TABLES, KNOWN, GUESTS])), pa.array(np.append(sent, [t.sum(), np.exp(logs).sum(), n.sum()]))], schema=cell_schema)
 
-        got = dict(leads.mapInArrow(spread, "cell long, n double").groupBy("cell").agg(F.sum("n")).collect())  # at most SLOTS * 256 cells
-        state = state | {"tables": got.pop(TABLES, 0.0)}
-        known = got.pop(KNOWN, 0.0)
+        got = dict(everyone.select("word", "n", "key").mapInArrow(spread, "cell long, n double").groupBy("cell").agg(F.sum("n")).collect())  # at most SLOTS * 256 cells
+        total, known, guests = got.pop(TABLES, 0.0), got.pop(KNOWN, 0.0), got.pop(GUESTS, 0.0)
         spelling.resample(got)
-        # a sample is the seating of words drawn in this sweep, over the spelling model it was drawn with
-        states[-1] = (states[-1][0] | {"total": state["tables"], "known": known}, shared)
-    states = states[burn_in:] or [({"discount": discount, "tables": 0.0, "sweep": 0, "total": 0.0, "known": 0.0}, spark.sparkContext.broadcast(spelling.table()))]
-    tokens, words = sums.tokens, sums.words
-    rated_schema = arrow_schema("block long, pos int, c long, log double")
+        # a sample is the seating of words drawn in this sweep, over the spelling model it was drawn with, and the seating of pairs that it was drawn for
+        drawn = state | {"total": total, "known": known, "guests": guests}
+        states.append((drawn, shared))
+        seatings.append((seated, lacks))
+        state = state | {"tables": total}
+        if sweep < burn_in + samples:
+
+            def root(batches, drawn=drawn, shared=shared):
+                import numpy as np
+                import pyarrow as pa
+
+                table = opened(shared.value)
+                for b in batches:
+                    if b.num_rows:
+                        p = in_root(word_logs(b.column(1).to_pylist(), table), b.column(3).to_numpy().astype(float), b.column(2).to_numpy().view(np.uint64), drawn)
+                        g = group_of(b.column(0).to_numpy(), groups).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array(g), b.column(0), b.column(2), pa.array(p), b.column(4)], schema=root_schema)
+
+            seated = seat_pairs(cells, told.select("id", "word", "key", "n", "t").mapInArrow(root, "g int, id long, key long, p double, t long"), groups, pair_discount, sweep)
+            lacks = lacking(seated)
+    states, seatings = states[burn_in:], seatings[burn_in:]
+    if not states:
+        states = [({"discount": discount, "tables": 0.0, "sweep": 0, "total": 0.0, "known": 0.0, "guests": 0.0}, spark.sparkContext.broadcast(spelling.table()))]
+        seatings = [(seated, lacks)]
+    taken = len(states)
+    joined, c = often, F.col("c")
+    for k, (_, lacks) in enumerate(seatings):
+        joined = joined.join(lacks.toDF("id", f"n{k}", f"t{k}"), "id")
+    rated_columns = lambda df, often: df.select(
+        "id", "word", "key", "c", *[(c - F.col(f"{x}{k}") if often else c).alias(f"{x}{k}") for x in "nt" for k in range(taken)])
+    rated_schema = arrow_schema("id long, g int, c long, data binary")
 
     def rate(batches):
         import numpy as np
         import pyarrow as pa
 
+        tables = [opened(shared.value) for _, shared in states]
         for b in batches:
-            listed, c, keys = b.column(2).to_pylist(), b.column(3).to_numpy().astype(float), b.column(4).to_numpy().view(np.uint64)
-            p = np.zeros(len(listed))
-            for state, shared in states:
-                logs = word_logs(listed, shared.value)
-                t = word_tables(c, logs, keys, state)
-                own = np.maximum(c - state["discount"] * t, 0)
-                base = np.where(c > 0, np.exp(logs), max(1 - state["known"], 1e-300))
-                p += (own + (WORD_STRENGTH + state["discount"] * state["total"]) * base) / (WORD_STRENGTH + tokens)
-            log = np.log10(np.maximum(p / len(states), 1e-300))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(log)], schema=rated_schema)
-
-    rated = lists.select("block", "pos", "word", "c", F.xxhash64("word").alias("key")).mapInArrow(rate, "block long, pos int, c long, log double")
+            if not b.num_rows:
+                continue
+            listed, keys = b.column(1).to_pylist(), b.column(2).to_numpy().view(np.uint64)
+            out = np.zeros((b.num_rows, 2 * taken), dtype="<f4")
+            for k, (state, _) in enumerate(states):
+                out[:, k] = in_root(word_logs(listed, tables[k]), b.column(4 + k).to_numpy().astype(float), keys, state)
+                out[:, taken + k] = b.column(4 + taken + k).to_numpy()
+            raw, width = out.tobytes(), 8 * taken
+            data = [raw[x:x + width] for x in range(0, len(raw), width)]
+            g = group_of(b.column(0).to_numpy(), groups).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(g), b.column(3), pa.array(data, type=pa.binary())], schema=rated_schema)
+
+    rated = rated_columns(rare, False).unionByName(rated_columns(joined, True)).mapInArrow(rate, "id long, g int, c long, data binary")
+    ratings = lists.where("c > 0").select("block", "pos", "id").join(rated, "id").select("block", F.col("pos").cast("long").alias("pos"), "g", "c", "data")
+    given_schema = arrow_schema("block long, pos long, g int, c long, data binary")
+
+    def give(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        n, t, out, asked = None, 0, [], []
+        for block, d in zip(rows["block"].to_pylist(), rows["data"].to_pylist(), strict=True):
+            if block == -1:
+                n = unsqueeze(d, 3)[2]
+            elif block < -1:
+                t = t + unsqueeze(d)[0]
+            else:
+                asked.append((block, d))
+        n, t = np.append(n, [0, 1]), np.append(t, [0, taken])  # NEVER and ONCE count from the end
+        for block, d in asked:
+            at = unsqueeze(d)[0]
+            out.append((block, -1, rows["cell"][0].as_py(), 0, squeeze(n[at], t[at])))
+        return pa.Table.from_batches([arrow_batch(out, given_schema)])
+
+    seats = cells.select("cell", "block", "data")
+    for k, (seated, _) in enumerate(seatings):
+        seats = seats.unionByName(seated.select("cell", F.lit(-2 - k).cast("long").alias("block"), F.col("tables").alias("data")))
+    given = seats.groupBy("cell").applyInArrow(give, "block long, pos long, g int, c long, data binary")
     score_schema = arrow_schema(SCORES)
 
-    def score(block, ratings):
+    def score(block, told):
         import numpy as np
         import pyarrow as pa
-        import zstandard
 
-        order = np.argsort(ratings["pos"].to_numpy())
-        c, log = ratings["c"].to_numpy()[order], ratings["log"].to_numpy()[order]
-        base = np.log10((c + 1) / (tokens + words + 1))
+        pos, g, data = told["pos"].to_numpy(), told["g"].to_numpy(), told["data"].to_pylist()
+        at, sent = np.flatnonzero(pos >= 0), np.flatnonzero(pos < 0)
         out = []
         for r in block.to_pylist():
-            ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["tokens"]), dtype="<i4")
+            size = r["size"]
+            c, group = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+            root = np.tile(np.array([max(1 - s["known"], 1e-300) * (WORD_STRENGTH + s["discount"] * s["total"]) / (WORD_STRENGTH + s["guests"]) for s, _ in states]), (size, 1))
+            tables = np.zeros((size, taken))
+            c[pos[at]], group[pos[at]] = told["c"].to_numpy()[at], g[at]
+            both = np.frombuffer(b"".join(data[k] for k in at), dtype="<f4").reshape(-1, 2 * taken).astype(float)
+            root[pos[at]], tables[pos[at]] = both[:, :taken], both[:, taken:]
+            a, b, token = block_pairs(r, size)
+            use = np.flatnonzero((c[a] > 0) & (c[b] > 0))
+            use = use[np.argsort(group[a[use]] * groups + group[b[use]], kind="stable")]
+            n, t = np.zeros(len(a)), np.zeros(len(a))
+            if len(sent):
+                n[use], t[use] = (np.concatenate(x) for x in zip(*(unsqueeze(data[k], 2) for k in sent[np.argsort(g[sent])]), strict=True))
+            p = n - pair_discount * t / taken
+            for k in range(taken):
+                p += (PAIR_STRENGTH + pair_discount * tables[a, k]) * root[b, k] / taken
+            log = np.log10(np.maximum(p / (PAIR_STRENGTH + c[a]), 1e-300))[token]
+            word = b[token]
             n = np.array(r["n"], dtype=np.int64)
-            at = np.concatenate(([0], np.cumsum(n)[:-1]))
-            per = [np.add.reduceat(x[ids], at) for x in ((c > 0).astype(np.int64), base, log)]
+            starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+            base = np.log10((c + 1) / (tokens + words + 1))[word]
+            per = [np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64)[word], base, log)]
             out += zip(r["doc_id"], r["held"], n.tolist(), *(x.tolist() for x in per), strict=True)
         return pa.Table.from_batches([arrow_batch(out, score_schema)])
 
-    scored = blocks.select("block", "doc_id", "held", "n", "tokens").groupBy("block").cogroup(rated.groupBy("block")).applyInArrow(score, SCORES)
+    scored = (blocks.select("block", F.size("words").alias("size"), "doc_id", "held", "n", "tokens").groupBy("block")
+              .cogroup(ratings.unionByName(given).groupBy("block")).applyInArrow(score, SCORES))
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
 
 

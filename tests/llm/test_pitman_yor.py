@@ -56,3 +56,36 @@ def test_held_out_texts_are_better_predicted_than_by_the_base(spark):
 
 def test_empty_table(spark, no_docs):
     assert py.score_documents(no_docs).count() == 0
+
+
+def test_word_order_counts(spark):
+    """Held-out texts in the training texts' word order score above the same words shuffled, and repeated pairs are learned."""
+    import random
+
+    rnd = random.Random(1)
+    follow = {f"w{i}": [f"w{rnd.randrange(200)}" for _ in range(2)] for i in range(200)}
+
+    def text():
+        at, out = "w0", []
+        for _ in range(100):
+            at = rnd.choice(follow[at])
+            out.append(at)
+        return out
+
+    texts = [text() for _ in range(300)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    ids = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2][:60]
+    held = [text() for _ in ids[:30]]
+    rows += [(i, " ".join(x)) for i, x in zip(ids, held, strict=False)] + [(i, " ".join(rnd.sample(x, len(x)))) for i, x in zip(ids[30:], held, strict=True)]
+    got = {r.doc_id: r for r in py.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    pairs = [(got[i], got[j]) for i, j in zip(ids[:30], ids[30:], strict=True)]
+    assert all(a.held_out and b.held_out and a.base_score == pytest.approx(b.base_score) and a.score > b.score + 50 for a, b in pairs)
+
+
+def test_pairs_are_counted_over_blocks(spark, monkeypatch):
+    """The same scores whether a corpus is one block or many."""
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 30}" for k in range(60))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = {r.doc_id: r.score for r in py.score_documents(df.coalesce(1)).collect()}
+    many = {r.doc_id: r.score for r in py.score_documents(df.repartition(5)).collect()}
+    assert all(many[i] == pytest.approx(s, rel=1e-6) for i, s in one.items())
