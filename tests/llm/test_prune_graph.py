@@ -77,3 +77,18 @@ def test_query_and_empty(spark, sf):
     assert len({r.vec_id for r in rows}) == len(rows) and all(r.kept == (r.vec_id == r.component_id) for r in rows)
     out, _ = pg.near_links(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert out.count() == 0
+
+
+def test_audit_is_not_carried_by_a_dense_group(spark, monkeypatch):
+    """All links of a dense group found, none of the pairs: the audit says so, over all its queries in several passes."""
+    monkeypatch.setattr(pg, "AUDIT_PASS", 40)
+    rng = np.random.default_rng(3)
+    dense, pairs = rng.normal(size=16), rng.normal(size=(100, 16))
+    x = np.concatenate([dense + rng.normal(size=(200, 16)) * 0.01, pairs, pairs])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    valid = spark.createDataFrame([(i, 20 * i, v.tolist()) for i, v in enumerate(x)], "row long, vec_id long, v array<double>")
+    m = (x @ x.T >= 0.95).sum(axis=1) - 1
+    found = lambda rows: spark.createDataFrame([(i, int(m[i]), -1) for i in rows], pg.FOUND)
+    assert pg.audit(valid, found(range(200)), 0.95) == pytest.approx(0.5)
+    assert pg.audit(valid, found(range(400)), 0.95) == 1.0
+    assert pg.audit(valid, found(range(200, 400)), 0.95) < 0.01
