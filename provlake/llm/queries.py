@@ -13,7 +13,8 @@ from provlake.llm.templates import op10_templates
 from provlake.llm.token_links import op13_token_links
 from provlake.llm.token_planes import op1_token_planes
 from provlake.llm.toxicity import op7_toxicity
+from provlake.llm.whitening import op12_whitening
 
 QUERIES = {f.__name__: f for f in (op1_token_planes, op2_quality_llr, op3_simhash_trie, op4_pii, op5_mixing, op6_packing, op7_toxicity,
-                                  op8_pitman_yor, op9_prune_graph, op10_templates, op13_token_links)}
+                                  op8_pitman_yor, op9_prune_graph, op10_templates, op12_whitening, op13_token_links)}
 ORACLES: dict[str, str] = {}
