@@ -9,6 +9,7 @@ from provlake.checks.sqlviews import pick, register, with_clause
 from provlake.sources.headers import tensor_header_ingest
 from provlake.sources.sink import read_evidence, write_evidence
 from provlake.streaming import jobs as J
+from provlake.streaming.series import follow_series, read_series
 
 
 def stream_query(name: str, sql: str | None = None):
@@ -23,12 +24,13 @@ def stream_query(name: str, sql: str | None = None):
 
 @stream_query("stream_series_state", q_logs.series_sql("o_metric"))
 def stream_series_state(spark, sf_dir):
-    e = J.stream_table(spark, sf_dir, "events")
     k = F.regexp_extract("props", "[0-9]+", 0).cast("bigint")
-    metrics = e.select(F.col("user_id").alias("run"), F.col("event_id").alias("line_no"),
-                       F.when(F.col("user_id") % 2 == 0, F.col("event_id")).otherwise(k).alias("step"),
-                       F.col("value").cast("decimal(18,6)").cast("string").alias("loss"))
-    return J.series_state(metrics)
+    metrics = lambda e: e.select(F.col("user_id").alias("run"), F.col("event_id").alias("line_no"),
+                                 F.when(F.col("user_id") % 2 == 0, F.col("event_id")).otherwise(k).alias("step"),
+                                 F.col("value").cast("decimal(18,6)").cast("string").alias("loss"))
+    where = J.work_dir(spark, "series")
+    follow_series(metrics(J.stream_table(spark, sf_dir, "events")), where)
+    return read_series(metrics(spark.read.parquet(f"{sf_dir}/events.parquet")), where)
 
 
 # document n is said to arrive n minutes after the first of January 2024

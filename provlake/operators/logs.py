@@ -132,6 +132,31 @@ def series_summary(entries: DataFrame) -> DataFrame:
                 percent_decrease(F.col("first_loss"), F.col("last_loss")).alias("loss_decreasing_percent")))
 
 
+def chunk_summaries(lines: DataFrame) -> DataFrame:
+    """One summary row per (run, chunk) of ``lines`` (run, chunk, line_no, step, loss), each line one entry."""
+    inside = Window.partitionBy("run", "chunk").orderBy("line_no")
+    # the step of the last line before that has one
+    prev = F.last("step", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    known = lambda c: F.when(F.col(c).isNotNull(), F.col("line_no"))
+    return lines.withColumn("prev", prev).groupBy("run", "chunk").agg(
+        F.count("*").alias("entries"), F.count("step").alias("n_steps"), F.min_by("step", known("step")).alias("first_step"),
+        F.max_by("step", known("step")).alias("last_step"), F.bool_and(F.coalesce(F.col("step") >= F.col("prev"), F.lit(True))).alias("ordered"),
+        F.min_by("loss", known("loss")).alias("first_loss"), F.max_by("loss", known("loss")).alias("last_loss"))
+
+
+def series_of_chunks(chunks: DataFrame) -> DataFrame:
+    """Series of every run from ``chunk_summaries``."""
+    earlier = Window.partitionBy("run").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    known = lambda c: F.when(F.col(c).isNotNull(), F.col("chunk"))
+    follows = F.coalesce(F.col("first_step") >= F.last("last_step", ignorenulls=True).over(earlier), F.lit(True))
+    return (chunks.withColumn("follows", follows).groupBy("run").agg(
+        F.sum("entries").alias("entry_count"), F.min_by("first_step", known("first_step")).alias("first_step"),
+        F.max_by("last_step", known("last_step")).alias("last_step"), F.sum("n_steps").alias("n"), F.bool_and(F.col("ordered") & F.col("follows")).alias("ok"),
+        F.min_by("first_loss", known("first_loss")).alias("first_loss"), F.max_by("last_loss", known("last_loss")).alias("last_loss"))
+        .select("run", "entry_count", "first_step", "last_step", F.when(F.col("n") >= 2, F.col("ok")).alias("steps_monotonic"), "first_loss", "last_loss",
+                percent_decrease(F.col("first_loss"), F.col("last_loss")).alias("loss_decreasing_percent")))
+
+
 def metric_series(metrics: DataFrame) -> DataFrame:
     """Series of structured metric rows (run, line_no, step, loss)."""
     return series_summary(metrics.select(

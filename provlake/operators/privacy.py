@@ -51,6 +51,14 @@ def scrub_text(text: Column, names_pattern: Column | None = None) -> Column:
     return F.when(text.rlike(P.PRIVATE), F.concat(F.array_join(between, ""), rest)).otherwise(_alias_users(text, names_pattern))
 
 
+def ledger_name(kind: Column) -> Column:
+    """The name under which the ledger counts a kind of span."""
+    name = F.lit(None)
+    for k, (_, n) in LEDGER.items():
+        name = F.coalesce(name, F.when(kind == k, n))
+    return name
+
+
 def redaction_ledger(texts: DataFrame) -> DataFrame:
     """``texts``: (case_id, text) -> counts per rule and kind; combines on the map side."""
     kinds = texts.select("case_id", F.explode(F.transform(matches(F.col("text")), span_kind)).alias("k"))
