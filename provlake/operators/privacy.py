@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +19,23 @@ LEDGER = {
 }
 
 
+def private_pattern(text: Column) -> Column:
+    """The alternation of the kinds that the text may hold; null when plain substring tests rule out all of them."""
+    def held(needles):
+        tests = [F.contains(text, F.lit(n)) for n in needles]
+        return reduce(lambda a, b: a | b, tests)
+
+    return F.nullif(F.concat_ws("|", *[F.when(held(needles), F.lit(pattern)) for pattern, needles in P.KINDS]), F.lit(""))
+
+
+def _with_pattern(text: Column, body) -> Column:
+    """``body`` of the text's pattern, which is computed once."""
+    return F.get(F.transform(F.array(private_pattern(text)), body), F.lit(0))
+
+
 def matches(text: Column) -> Column:
     """Every private span of a text, leftmost first, without overlaps."""
-    return F.regexp_extract_all(text, F.lit(P.PRIVATE), F.lit(0))
+    return _with_pattern(text, lambda p: F.when(p.isNotNull(), F.regexp_extract_all(text, p, F.lit(0))).otherwise(F.array().cast("array<string>")))
 
 
 def span_kind(span: Column) -> Column:
@@ -44,11 +60,12 @@ def _alias_users(piece: Column, names_pattern: Column | None) -> Column:
 
 def scrub_text(text: Column, names_pattern: Column | None = None) -> Column:
     """Replace every private span; user names are aliased in what is left between them."""
-    found = matches(text)
-    pieces = F.split(text, P.PRIVATE, -1)
-    between = F.transform(found, lambda m, i: F.concat(_alias_users(F.get(pieces, i), names_pattern), _replacement(m)))
-    rest = _alias_users(F.element_at(pieces, -1), names_pattern)
-    return F.when(text.rlike(P.PRIVATE), F.concat(F.array_join(between, ""), rest)).otherwise(_alias_users(text, names_pattern))
+    def clean(pattern):
+        found, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+        put = F.zip_with(F.concat(F.array(F.lit("")), F.transform(found, _replacement)), pieces, lambda r, p: F.concat(r, _alias_users(p, names_pattern)))
+        return F.when(pattern.isNotNull(), F.array_join(put, "")).otherwise(_alias_users(text, names_pattern))
+
+    return _with_pattern(text, clean)
 
 
 def ledger_name(kind: Column) -> Column:
