@@ -16,11 +16,6 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''").replace("{", "{{").replace("}", "}}") + "'"
 
 
-FLAT = "line"
-for _ in range(9):  # the lines of v_log nest to seven levels
-    FLAT = f"REGEXP_REPLACE({FLAT}, {q(r'([:=][ ]*)([{][^{}]*[}]|[[][^][]*[]])')}, '\\1' || CHR(1), 'g')"
-
-
 def sql_int(x: str) -> str:
     s = f"REGEXP_REPLACE(TRIM({x}), {q(chr(94) + '[' + chr(34) + chr(39) + ']+|[' + chr(34) + chr(39) + ']+$')}, '', 'g')"
     digits = f"REGEXP_REPLACE(SPLIT_PART({s}, '.', 1), '[-+_,]', '', 'g')"
@@ -38,15 +33,7 @@ def keys(names) -> str:
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
-register("o_match", f"""
-SELECT run, line_no, UNNEST(ms) AS m, UNNEST(RANGE(LEN(ms))) AS i FROM
- (SELECT run, line_no, REGEXP_EXTRACT_ALL({FLAT}, {q(L.PAIR)}) AS ms FROM {{v_log}}) t""")
-register("o_pair_all", f"""
-SELECT run, line_no, i, LOWER(TRIM(TRIM(REGEXP_EXTRACT(m, {q(L.HEAD)}, 1), {q(chr(34) + chr(39))}))) AS key,
-  TRIM(REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(m, {q(L.HEAD)}, ''), {q('[ \t]*[,}]]$').replace(']]', '\\]]')}, ''), {q('^["' + chr(39) + ']|["' + chr(39) + ']$')}, '', 'g')) AS value
-FROM {{o_match}} WHERE REGEXP_MATCHES(m, {q(L.HEAD)})""")
-register("o_pair", """SELECT run, line_no, ROW_NUMBER() OVER (PARTITION BY run, line_no ORDER BY i) - 1 AS pair_no, key, value
-FROM {o_pair_all} WHERE key <> ''""")
+register("o_pair", """SELECT run, line_no, ROW_NUMBER() OVER (PARTITION BY run, line_no ORDER BY i) - 1 AS pair_no, key, value FROM {o_written}""")
 
 
 @query("log_pairs", "SELECT run, line_no, pair_no, key, value FROM {o_pair}")

@@ -19,46 +19,47 @@ LINES_PER_CHUNK = 4096
 
 # --- fixed values: the shapes of a pair ---------------------------------------
 HOLE = "\x01"  # stands where a nested group was
-_DQ, _SQ = r'"(?:[^"\\]|\\.)*"', r"'(?:[^'\\]|\\.)*'"
-_KEY = r"[A-Za-z0-9_.\-]+"
-_NUM = r"[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?"
-_STRUCTURED = rf"(?:{_DQ}|{_SQ}|[^,}}\]\s\"'{{\[{HOLE}][^,}}\]]*)"
-_PLAIN = rf"(?:{_DQ}|{_SQ}|[^,}}\]\s\"'{{\[={HOLE}][^,}}\] \t]*)"
-HEAD = rf"^({_DQ}|{_SQ}|{_KEY})[ \t]*[:=][ \t]*"
-PAIR = (rf"(?:{_DQ}|{_SQ})[ \t]*:[ \t]*{_STRUCTURED}|{_KEY}=[ \t]*{_PLAIN}"
-        rf"|{_KEY}:[ \t]*[\"']?{_NUM}[\"']?[ \t]*(?:[,}}\]]|$)|{_DQ}|{_SQ}|[\"'].*$")
-BRACKET = r"[{}\[\]]|[^{}\[\]]+"
+_DQ, _SQ = r'"(?:[^"\\]++|\\.)*+"', r"'(?:[^'\\]++|\\.)*+'"
+_KEY = r"[A-Za-z0-9_.\-]++"
+_NUM = r"[+-]?(?:[0-9]++[.]?[0-9]*+|[.][0-9]++)(?:[eE][+-]?[0-9]++)?+"
+_IN_STRUCTURE = rf"[^,}}\]\s\"'{{\[{HOLE}][^,}}\]]*+"
+_BARE = rf"[^,}}\]\s\"'{{\[={HOLE}][^,}}\] \t]*+"
+# Group 1 is the key and group 3 the value.  The empty group 2 is set behind ``key=`` only, so that a back reference to it tells the
+# two forms of a value apart.  Words and signs before a pair belong to its match, so no place is tried twice.  What is quoted without
+# being a pair is stepped over, and an open quote takes the rest.
+PAIR = (rf"(?:[^A-Za-z0-9_.\-\"']++|{_KEY}(?![=:]))*+(?:((?:{_DQ}|{_SQ})(?=[ \t]*+:)|{_KEY}(?:(?==(?!=))()|(?=:[ \t]*+[\"']?{_NUM}[\"']?[ \t]*+(?:[,}}\]]|$))))"
+        rf"[ \t]*+[:=][ \t]*+({_DQ}|{_SQ}|\2{_BARE}|(?!\2){_IN_STRUCTURE})|{_DQ}|{_SQ}|[\"'].*+$|{_KEY}|\z)")
+# brackets inside quotes are text; a quote behind a letter is an apostrophe
+NESTING = rf"(?<![A-Za-z0-9_])(?:{_DQ}|{_SQ})|[{{}}\[\]]|(?:[^{{}}\[\]\"']|(?<=[A-Za-z0-9_])[\"'])++|[\"']"
 
 
 def _flat(line: Column) -> Column:
-    """The line with every group that is the value of a key left out, however deep it goes; an unclosed one stays."""
-    start = F.struct(F.lit("").alias("out"), F.lit("").alias("held"), F.lit(0).alias("depth"))
+    """The line with every group that is the value of a key left out, however deep it goes; an unclosed one goes to the end."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"))
 
     def step(a, part):
         opens, closes = part.isin("{", "["), part.isin("}", "]")
-        depth = a["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        enters = opens & (a["depth"] == 0) & a["out"].rlike(r"[:=][ \t]*$")
-        inside, ends = a["depth"] > 0, (a["depth"] > 0) & (depth == 0)
-        return F.struct(
-            F.when(ends, F.concat(a["out"], F.lit(HOLE))).when(inside | enters, a["out"]).otherwise(F.concat(a["out"], part)).alias("out"),
-            F.when(ends, F.lit("")).when(inside | enters, F.concat(a["held"], part)).otherwise(F.lit("")).alias("held"),
-            F.when(inside, depth).when(enters, F.lit(1)).otherwise(F.lit(0)).alias("depth"))
-
-    flat = F.aggregate(F.regexp_extract_all(line, F.lit(BRACKET), F.lit(0)), start, step, lambda a: F.concat(a["out"], a["held"]))
+        inside = a["depth"] > 0
+        enters = opens & ~inside & a["out"].rlike(r"[:=][ \t]*$")
+        depth = F.when(inside, a["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).when(enters, 1).otherwise(0)
+        return F.struct(F.when(enters, F.concat(a["out"], F.lit(HOLE))).when(inside, a["out"]).otherwise(F.concat(a["out"], part)).alias("out"),
+                        depth.alias("depth"))
+
+    flat = F.aggregate(F.regexp_extract_all(line, F.lit(NESTING), F.lit(0)), start, step, lambda a: a["out"])
     return F.when(line.rlike(r"[:=][ \t]*[{\[]"), flat).otherwise(line)
 
 
 def pair_array(line: Column) -> Column:
     """Every ``key=value``, ``"key": value`` and ``key: number`` of a line, in order."""
-    found = F.regexp_extract_all(_flat(line), F.lit(PAIR), F.lit(0))
+    def unquoted(v):
+        held = v.startswith('"') | v.startswith("'")
+        return F.when(held & (F.length(v) > 1), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)
 
-    def one(m: Column) -> Column:
-        key = F.lower(F.trim(F.btrim(F.regexp_extract(m, HEAD, 1), F.lit("\"'"))))
-        rest = F.regexp_replace(m, HEAD, "")
-        value = F.trim(F.regexp_replace(F.regexp_replace(rest, r"[ \t]*[,}\]]$", ""), "^[\"']|[\"']$", ""))
-        return F.struct(key.alias("key"), value.alias("value"), m.rlike(HEAD).alias("ok"))
+    def read(flat):
+        return F.zip_with(F.regexp_extract_all(flat, F.lit(PAIR), F.lit(1)), F.regexp_extract_all(flat, F.lit(PAIR), F.lit(3)), lambda k, v: F.struct(
+            F.lower(F.trim(F.btrim(k, F.lit("\"'")))).alias("key"), F.trim(unquoted(v)).alias("value")))
 
-    return F.filter(F.transform(found, one), lambda p: p["ok"] & (p["key"] != ""))
+    return F.filter(F.get(F.transform(F.array(_flat(line)), read), F.lit(0)), lambda p: p["key"] != "")
 
 
 def with_pairs(lines: DataFrame) -> DataFrame:
