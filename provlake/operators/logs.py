@@ -63,7 +63,8 @@ def pair_array(line: Column) -> Column:
 
 
 def with_pairs(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("pairs", pair_array(F.col("line")))
+    """Add ``pairs``, unless the lines come with them."""
+    return lines if "pairs" in lines.columns else lines.withColumn("pairs", pair_array(F.col("line")))
 
 
 def log_pairs(lines: DataFrame) -> DataFrame:
