@@ -2,7 +2,8 @@
 
 A mix of as many words as the corpus has is dealt to the sources by weight; no source gives more
 than ``max_epochs`` times its size, and what that leaves over is dealt to the others by weight.
-The words of a source are cut into blocks of equal size, shard by shard; the blocks of the mix are
+The words of all sources are cut into blocks of one size, shard by shard (64 words, or a smaller power of two where that is needed for the
+smallest target to be ``LEAST_BLOCKS`` blocks); the blocks of the mix are
 apportioned to sources, and those of a source to its shards, always to the highest quotient
 share / (2 seats + 1).  In a shard, documents stand in seeded order and the quota takes whole passes
 over the blocks, then blocks from the front.  A document on the last border gives its first words.
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from provlake.llm.common import saved, word_count, words
 
 BLOCK_WORDS = 64
+LEAST_BLOCKS = 16
 SHARD_WORDS = 4_000_000
 
 
@@ -84,6 +86,9 @@ def plan_mix(docs: DataFrame, seed: int = 17, max_epochs: int = 3, block_words:
     sizes = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                               word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"), *row_key), "sizes")
     targets = saved(source_targets(sizes, max_epochs), "targets")
+    smallest = targets.where("target > 0").agg(F.min("target")).first()[0]
+    if smallest is not None:
+        block_words = min(block_words, 1 << max(0, int(smallest / LEAST_BLOCKS).bit_length() - 1))
     shards = F.greatest(F.ceil(F.col("source_size") / F.lit(shard_words)), F.lit(1))
     order = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "hash")
     dealt = (sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])

@@ -59,6 +59,17 @@ def test_plan(spark, odd_docs, odd_rows, split_words, block, shard):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.plan_mix(odd_docs.repartition(5), block_words=block, shard_words=shard).collect()))
 
 
+def test_small_sources_come_near_their_targets(spark):
+    rows = [(i, "w " * 5000, "big") for i in range(20)] + [(100, "a b c d e f g h i j", "ten"), (101, "w " * 20, "twenty"), (102, "w " * 100, "two"), (103, "w " * 100, "two"),
+                                                           (104, "one", "single")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.plan_mix(df).groupBy("source", "target").agg(F.sum(F.col("passes") * F.col("size") + F.col("extra")).alias("taken")).collect()
+    assert {r.source: (r.target, r.taken) for r in plan if r.source != "big"} == {"ten": (30, 30), "twenty": (60, 60), "two": (600, 600), "single": (3, 3)}
+    big = next(r for r in plan if r.source == "big")
+    assert abs(big.taken - big.target) <= 1
+    assert {r.source for r in mixing.mix_documents(df).select("source").distinct().collect()} == {"big", "ten", "twenty", "two", "single"}
+
+
 def test_rows_of_the_mix(spark, odd_docs, odd_rows, split_words, no_docs):
     plan = mixing.plan_mix(odd_docs).withColumn("taken", F.col("passes") * F.col("size") + F.col("extra"))
     want = {r.doc_id: r.t for r in plan.groupBy("doc_id").agg(F.sum("taken").alias("t")).collect()}
