@@ -178,17 +178,22 @@ def content_digest(files: DataFrame, budget: int | None = None) -> DataFrame:
     Over a budget, where one is given, the digest covers the head only; a file that moved is marked changed.
     """
     size = F.octet_length("content").cast("bigint")
-    head_only = F.lit(False) if budget is None else size > budget
     body = F.col("content").cast("binary")
+    sha256 = F.sha2(body if budget is None else F.substring(body, 1, budget), 256)
+    return digest_outcome(files, sha256, size, budget, size if budget is None else F.least(size, F.lit(budget))).drop("content")
+
+
+def digest_outcome(files: DataFrame, sha256: Column, size: Column, budget: int | None, hashed: Column) -> DataFrame:
+    """Add digest, scope, status and notes from ``opened`` and the sizes and times before and after."""
+    head_only = F.lit(False) if budget is None else size > budget
     changed = ~(F.col("size_before").eqNullSafe(F.col("size_after")) & F.col("mtime_before").eqNullSafe(F.col("mtime_after")))
     opened = F.col("opened")
     return (files
-            .withColumn("sha256", F.when(opened, F.sha2(body if budget is None else F.substring(body, 1, budget), 256)))
+            .withColumn("sha256", F.when(opened, sha256))
             .withColumn("hash_scope", F.when(~opened, "none").when(head_only, "head_only").otherwise("full"))
-            .withColumn("bytes_hashed", F.when(opened, size if budget is None else F.least(size, F.lit(budget))))
+            .withColumn("bytes_hashed", F.when(opened, hashed))
             .withColumn("read_status", F.when(~opened, "not_hashed").when(changed, "changed").when(head_only, "too_large").otherwise("ok"))
-            .withColumn("notes", F.concat_ws("|", F.when(opened & changed, "CL-INV-004"), F.when(opened & head_only, "CL-INV-005")))
-            .drop("content"))
+            .withColumn("notes", F.concat_ws("|", F.when(opened & changed, "CL-INV-004"), F.when(opened & head_only, "CL-INV-005"))))
 
 
 READABLE = ["ok", "too_large", "changed", "not_hashed"]
