@@ -91,14 +91,18 @@ def email_hits(get):
     return P.email_hits(get("documents"), "doc_id")
 
 
-register("v_home", """SELECT DISTINCT source AS case_id, CASE doc_id % 3 WHEN 0 THEN 'C:' || CHR(92) || 'Users' || CHR(92) || 'User' || source || CHR(92) || 'x'
-  WHEN 1 THEN '/home/al/' || source ELSE '/data/' || source END AS path FROM {documents}""")
-register("v_said", "SELECT source AS case_id, doc_id, 'by USER' || source || ', not user' || source || 'x or al' AS text FROM {documents}")
+# every document gives a path with its first word of nine letters or more as the account, so a case has many names, which stand in many texts
+register("v_home", """SELECT source AS case_id, CASE doc_id % 4 WHEN 0 THEN 'C:' || CHR(92) || 'Users' || CHR(92) || 'User' || source || CHR(92) || 'x'
+  WHEN 1 THEN '/home/al/' || source WHEN 2 THEN '/mnt/home/' || REGEXP_EXTRACT(text, '[A-Za-z0-9_]{{9,}}', 0) ELSE 'D:/Users/' || REGEXP_EXTRACT(text, '[A-Za-z0-9_]{{9,}}', 0) || '/y' END AS path FROM {documents}""")
+register("v_said", "SELECT source AS case_id, doc_id, text AS body, text || ' by USER' || source || ', not user' || source || 'x or al' AS text FROM {documents}")
+register("o_name", """SELECT case_id, LIST(DISTINCT name) AS names FROM (SELECT source AS case_id, LOWER(REGEXP_EXTRACT(text, '[A-Za-z0-9_]{{9,}}', 0)) AS name FROM {documents} WHERE doc_id % 4 > 1
+  UNION ALL SELECT source, LOWER('user' || source) FROM {documents} WHERE doc_id % 4 = 0) t WHERE name <> '' GROUP BY case_id""")
 
 
-@query("username_alias", "SELECT case_id, doc_id, 'by [USER], not user' || case_id || 'x or al' AS text FROM {v_said}")
+@query("username_alias", f"""SELECT s.case_id, doc_id, ARRAY_TO_STRING(LIST_TRANSFORM(REGEXP_EXTRACT_ALL({BODY} || ' by USER' || s.case_id || ', not user' || s.case_id || 'x or al', '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'),
+  lambda x: CASE WHEN LIST_CONTAINS(names, LOWER(x)) THEN '[USER]' ELSE x END), '') AS text FROM {{v_said}} s LEFT JOIN {{o_name}} n ON n.case_id = s.case_id""")
 def username_alias(get):
-    return P.username_alias(get("v_said"), get("v_home"))
+    return P.username_alias(get("v_said").drop("body"), get("v_home"))
 
 
 register("v_claim", f"""SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN '' ELSE {pick('doc_id % 7', ['a vendor-supplied note. ', 'It is Certified; never lied. ', 'Authentication works. ', '100% accurate, 99% sure. ', 'We have PROOF THAT x. ', 'scam_x and a-scam-b. ', 'guaranteed fraud. '])} END || text AS said FROM {{documents}}""")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provlake import vocab as V
-from provlake.operators.skew import context_join
 from provlake.functions import patterns as P
 
 # kind -> (rule, ledger name)
@@ -17,6 +17,7 @@ LEDGER = {
     "email": ("CL-PRIV-001", "email_address"), "jwt": ("CL-PRIV-001", "credential"),
     "token": ("CL-PRIV-001", "credential"),
 }
+NAME_SALTS = 16  # parts over which the texts that hold one word of a case are spread
 
 
 def private_pattern(text: Column) -> Column:
@@ -28,9 +29,14 @@ def private_pattern(text: Column) -> Column:
     return F.nullif(F.concat_ws("|", *[F.when(held(needles), F.lit(pattern)) for pattern, needles in P.KINDS]), F.lit(""))
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, also where ``body`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _with_pattern(text: Column, body) -> Column:
     """``body`` of the text's pattern, which is computed once."""
-    return F.get(F.transform(F.array(private_pattern(text)), body), F.lit(0))
+    return _once(private_pattern(text), body)
 
 
 def matches(text: Column) -> Column:
@@ -139,25 +145,67 @@ def email_hits(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(key, F.explode(F.regexp_extract_all("text", F.lit(P.EMAIL), F.lit(0))).alias("email"))
 
 
+def ascii_lower(text: Column) -> Column:
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def learned_users(paths: DataFrame) -> DataFrame:
-    """``paths``: (case_id, path) -> account names under ``Users/`` or ``home/``, three letters or more."""
-    name = F.regexp_extract("path", r"(?i)(?:^|[\\/])(?:users|home)[\\/]+([^\\/]+)", 1)
-    return (paths.select("case_id", F.lower(F.trim(name)).alias("name")).where(F.length("name") >= 3).distinct())
+    """``paths``: (case_id, path) -> account names under every ``Users/`` or ``home/``, three letters or more."""
+    names = F.regexp_extract_all("path", F.lit(r"(?i)(?:^|[\\/])(?:users|home)(?=[\\/]+([^\\/]+))"), F.lit(1))
+    return (paths.select("case_id", F.explode(names).alias("name")).select("case_id", ascii_lower(F.trim("name")).alias("name"))
+            .where(F.length("name") >= 3).distinct())
+
+
+def _tokens(lowered: Column) -> Column:
+    """Runs of word characters, and every other visible character alone.  A name stands in a text as a whole only if all its tokens do."""
+    return F.array_distinct(F.regexp_extract_all(lowered, F.lit(r"[a-z0-9_]++|[^a-z0-9_\s]"), F.lit(0)))
+
+
+def name_tokens(users: DataFrame) -> DataFrame:
+    """``(case_id, name, token)``: the token of each name that the fewest names of its case share, so that it finds few others."""
+    held = users.select("case_id", "name", F.explode(_tokens(F.col("name"))).alias("token"))
+    shared = held.groupBy("case_id", "token").agg(F.count("*").alias("n"))
+    return (held.join(shared, ["case_id", "token"]).groupBy("case_id", "name")
+            .agg(F.min(F.struct("n", (-F.length("token")).alias("longest"), "token"))["token"].alias("token")))
+
+
+def names_in_texts(texts: DataFrame, users: DataFrame) -> DataFrame:
+    """``(case_id, text_sha, names)``: the names that may stand in a text of their case, found by an equi-join on one token of each name.
+
+    Neither the names of a case nor its texts meet in one task: the tokens of texts are spread over ``NAME_SALTS``
+    parts per token.  Equal texts of a case share one row.
+    """
+    wanted = name_tokens(users).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(NAME_SALTS - 1))))
+    # digests are taken before the tokens become rows, or each row would take them anew
+    read = texts.select("case_id", F.sha2("text", 256).alias("text_sha"), F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(NAME_SALTS)).cast("int").alias("_salt"),
+                        _tokens(ascii_lower(F.col("text"))).alias("tokens"))
+    held = read.select("case_id", "text_sha", "_salt", F.explode("tokens").alias("token"))
+    return (held.join(wanted, ["case_id", "token", "_salt"]).groupBy("case_id", "text_sha").agg(F.collect_set("name").alias("names")))
+
 
+def names_pattern(names: Column, text: Column) -> Column:
+    """One pattern of those names that the text holds, longest first; null when there is none."""
+    def quoted(name):  # a name may itself hold the end of a quotation
+        return F.concat(F.lit("\\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
-def users_pattern(users: DataFrame) -> DataFrame:
-    """One pattern per case; the names of a case are those of its few selected roots."""
-    quoted = F.concat(F.lit("\\Q"), F.col("name"), F.lit("\\E"))
-    return users.groupBy("case_id").agg(F.concat(
-        F.lit("(?i)(?<![A-Za-z0-9_])(?:"), F.array_join(F.array_sort(F.collect_set(quoted)), "|"), F.lit(")(?![A-Za-z0-9_])")).alias("names_pattern"))
+    held = _once(ascii_lower(text), lambda low: F.filter(names, lambda n: F.contains(low, n)))
+    ordered = F.array_sort(F.transform(held, lambda n: F.struct((-F.length(n)).alias("longest"), n.alias("name"))))
+    return _once(F.array_join(F.transform(ordered, lambda s: quoted(s["name"])), "|"), lambda any_name: F.when(
+        any_name != "", F.concat(F.lit("(?i)(?<![A-Za-z0-9_])(?:"), any_name, F.lit(")(?![A-Za-z0-9_])"))))
 
 
 def username_alias(texts: DataFrame, paths: DataFrame) -> DataFrame:
-    """Scrub ``texts`` (case_id, .., text) with the user names learned from the case's paths; a case of any size is split."""
-    sizes = texts.groupBy("case_id").agg(F.count("*").alias("_texts"))
-    context = sizes.join(users_pattern(learned_users(paths)), "case_id", "left")
-    return (context_join(texts, context, "case_id", "_texts", "text")
-            .withColumn("text", scrub_text(F.col("text"), F.col("names_pattern"))).drop("names_pattern", "_texts"))
+    """Scrub ``texts`` (case_id, .., text) with the user names learned from the case's paths; columns other than ``text`` stay as they are.
+
+    Names match as whole tokens whatever their case (A-Z), the longest first; a text is searched for the names it holds only, so a case
+    may have any number of names.  A null text stays null, a null case_id has no names, repeated rows stay.
+    """
+    sha, names = "_text_sha", "_names"
+    while {sha, names} & set(texts.columns):  # columns of the caller are never touched
+        sha, names = "_" + sha, "_" + names
+    found = names_in_texts(texts, learned_users(paths)).select("case_id", F.col("text_sha").alias(sha), F.col("names").alias(names))
+    return (texts.withColumn(sha, F.sha2("text", 256)).join(found, ["case_id", sha], "left")
+            .withColumn("text", _once(names_pattern(F.col(names), F.col("text")), lambda p: scrub_text(F.col("text"), p))).select(*texts.columns))
 
 
 def forbidden_language(text: Column) -> Column:

@@ -1,6 +1,7 @@
 """Private spans: the patterns against their plain forms, and one pass over texts of any shape."""
 
 import random
+import re
 import time
 
 import pytest
@@ -62,3 +63,45 @@ def test_a_long_run_takes_one_pass(spark, text):
     t = time.perf_counter()
     df.collect()
     assert time.perf_counter() - t < 3  # three passes, with the way through the JVM; a quadratic pattern takes minutes
+
+
+def plain_alias(text, names):
+    """Leftmost whole names, the longest first, in a text without other private spans."""
+    if text is None or not names:
+        return text
+    one = "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n)))
+    return re.sub(rf"(?<![A-Za-z0-9_])(?:{one})(?![A-Za-z0-9_])", "[USER]", text, flags=re.IGNORECASE | re.ASCII)
+
+
+def test_names_equal_one_plain_pattern_per_case(spark):
+    rnd = random.Random(3)
+    parts = ["ann", "anna", "bo", "lee", "o'", "mc", "-", ".", " ", "_", "7", "张", "é", "(x", "+", "$", "\\E"]
+    name = lambda: "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 4)))
+    names = {c: [name() for _ in range(40)] for c in (1, 2, 3)}
+    texts = [(rnd.choice([1, 2, 3, 4, None]), i, "".join(rnd.choice(parts + ["ANNA", " Lee-", "\n"]) for _ in range(rnd.randint(0, 60)))) for i in range(400)]
+    texts += [(1, 900, None), (1, 901, ""), (2, 902, texts[5][2]), (2, 902, texts[5][2])]
+    df = spark.createDataFrame(texts, "case_id long, doc_id long, text string").withColumns({"_names": F.lit("mine"), "_text_sha": F.lit(1)})
+    users = spark.createDataFrame([(c, n) for c, ns in names.items() for n in ns], "case_id long, n string")
+    # names straight from the operator's own reading of paths: separators cannot be part of a name
+    paths = users.withColumn("path", F.concat(F.lit("/home/"), F.translate("n", "\\", "/"), F.lit("/x")))
+    known = {}
+    for r in privacy.learned_users(paths).collect():
+        known.setdefault(r.case_id, set()).add(r.name)
+    assert known[1] == {w for n in names[1] if len(w := next(filter(None, n.split("\\")), "").strip(" ").lower()) >= 3}
+    out = privacy.username_alias(df.repartition(5), paths)
+    assert out.columns == df.columns
+    got = sorted((r.doc_id, str(r.case_id), r.text) for r in out.collect() if r["_names"] == "mine" and r["_text_sha"] == 1)
+    assert sorted(got, key=str) == sorted(((d, str(c), plain_alias(t, known.get(c))) for c, d, t in texts), key=str)
+
+
+def test_a_case_may_have_a_hundred_thousand_names(spark):
+    paths = spark.range(100_000).select(F.lit(1).alias("case_id"), F.concat(F.lit("C:\\Users\\user "), F.col("id").cast("string"), F.lit("\\f")).alias("path"))
+    texts = spark.range(20_000).select(F.lit(1).alias("case_id"), "id", F.concat(F.lit("by User "), F.col("id") * 5, F.lit(", user x, user "), F.col("id") + 100_000).alias("text"))
+    t = time.perf_counter()
+    wrong = privacy.username_alias(texts, paths).where(F.col("text") != F.concat(F.lit("by [USER], user x, user "), F.col("id") + 100_000)).count()
+    assert wrong == 0 and time.perf_counter() - t < 60
+
+
+def test_every_account_of_a_path_is_learned(spark):
+    paths = spark.createDataFrame([(1, "/home/users/Bob K/x"), (1, "D:\\USERS\\eve\\home\\mallory"), (1, "/home"), (1, None), (1, "xhome/abc"), (2, "home/ab/users/ÄÖÜ")], "case_id long, path string")
+    assert sorted((r.case_id, r.name) for r in privacy.learned_users(paths).collect()) == [(1, "bob k"), (1, "eve"), (1, "mallory"), (1, "users"), (2, "ÄÖÜ")]
