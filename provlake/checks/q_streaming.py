@@ -82,6 +82,49 @@ def evidence_round_trip(spark, sf_dir):
     return read_evidence(spark, where, "conclusions")
 
 
+def line(cols: list[str]) -> str:
+    return "CONCAT_WS('|', " + ", ".join(f"'{c}=' || CAST({c} AS {{T}})" for c in cols) + ")"
+
+
+SAVED = {  # table: (view behind it, columns compared)
+    "outcomes": ("v_outcome", ["emit_block", "emit_fact", "emit_step", "rule_id", "kind", "facet", "claim", "anchor", "achievement", "tier", "source_group"]),
+    "cap_requests": ("v_cap", ["claim", "cap_id", "triggered_by"]),
+    "abstention_requests": ("v_abstention", ["facet", "abstention_id"]),
+    "out_of_scope": ("v_scope", ["facet"]),
+    "claim_scores": ("s_score", ["claim", "raw_tenths", "score_tenths", "rubric_divisor", "caps", "best_tier", "source_groups", "contradicted_by"]),
+    "conclusions": ("s_conclusion", ["facet", "claim", "band", "score_tenths", "abstentions", "method_label_emitted"]),
+}
+
+
+def saved_sql(name: str) -> str:
+    view, cols = SAVED[name]
+    return f"SELECT '{name}' AS name, case_id, {line(cols)} AS line FROM {{{{{view}}}}}".format(T="VARCHAR").replace("CAST(rubric_divisor", "CAST(divisor")
+
+
+@stream_query("write_evidence_tables", " UNION ALL ".join(saved_sql(n) for n in SAVED))
+def evidence_tables(spark, sf_dir):
+    """All six tables saved twice in one store, the second time over what the first save holds, and read back whole."""
+    from provlake.checks.q_scoring import _stack, caps_text
+    from provlake.checks.sqlviews import spark_view
+    from provlake.operators import scoring
+
+    get, where = lambda v: spark_view(spark, sf_dir, v), J.work_dir(spark, "evidence")
+    tables = {n: get(SAVED[n][0]) for n in list(SAVED)[:4]}
+    tables |= {"claim_scores": scoring.claim_scores(get("v_case"), _stack(get)), "conclusions": scoring.conclusions(get("v_case"), _stack(get))}
+    write_evidence(tables, where)
+    write_evidence({n: read_evidence(spark, where, n) for n in SAVED}, where)
+    out = None
+    for name, (_, cols) in SAVED.items():
+        df = read_evidence(spark, where, name)
+        if name == "claim_scores":
+            df = df.withColumn("caps", caps_text())
+        lists = [c for c in cols if df.schema[c].dataType.typeName() == "array"]
+        df = df.withColumns({c: F.concat_ws("|", c) for c in lists})
+        rows = df.selectExpr(f"'{name}' AS name", "case_id", line(cols).format(T="STRING") + " AS line")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 B = lambda s: s.replace("{", "{{").replace("}", "}}")  # noqa: E731  braces of JSON inside a view text
 # one container per supplier: eight length bytes, then a header shorter than 128 bytes; some declare more than they hold
 register("v_container", f"""SELECT artifact, header, CASE WHEN s_suppkey % 5 = 0 THEN 127 ELSE LENGTH(header) END AS declared FROM (

@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from provlake import vocab as V
-from provlake.checks import q_sources, views_facts as VF
+from provlake.checks import q_scoring, q_sources, views_facts as VF
 from provlake.checks.q_scoring import _conclusions, joined
-from provlake.checks.registry import query
-from provlake.checks.sqlviews import idiv, lit, pick, register
+from provlake.checks.registry import ORACLES, query
+from provlake.checks.sqlviews import idiv, lit, pick, register, with_clause
+from provlake.operators import scoring as S
 from provlake.operators import verification as X
 from provlake.operators.configs import facts_union
 from provlake.operators.privacy import redaction_ledger
@@ -238,6 +239,26 @@ def hash_conflict(get):
     return X.hash_conflict(get("v_submission"))
 
 
+@query("hash_conflict_conclusions")
+def hash_conflict_conclusions(get):
+    """Conclusions when the digests of a case's submissions count: every facet of a case with a conflict abstains."""
+    asked = get("v_abstention").unionByName(X.conflict_abstentions(get("v_submission")))
+    return q_scoring.flat_conclusions(S.conclusions(get("v_case"), S.entries(get("v_outcome"), get("v_cap"), asked, get("v_scope"))))
+
+
+def _conflict_oracle() -> str:
+    """The SQL of the conclusions, with the conflicts among what asks for abstention."""
+    found = f"SELECT DISTINCT case_id FROM ({with_clause('SELECT * FROM {v_submission}')}) s WHERE sha256 IS NOT NULL GROUP BY case_id, path_alias HAVING COUNT(DISTINCT sha256) > 1"
+    facets = ", ".join(f"({lit(f)})" for f in V.FACETS)
+    old = "s_abstention AS (SELECT * FROM v_abstention)"
+    text = with_clause(q_scoring.FLAT_CONCLUSION_SQL)
+    assert old in text
+    return text.replace(old, f"s_abstention AS (SELECT case_id, facet, abstention_id FROM v_abstention UNION ALL SELECT case_id, facet, 'ABS-HASH-CONFLICT' FROM ({found}) c, (VALUES {facets}) AS f(facet))")
+
+
+ORACLES["hash_conflict_conclusions"] = _conflict_oracle()
+
+
 @query("fleet_summary", """
 SELECT facet, band, coverage_status, COUNT(*) AS cases, GROUPING(facet, band, coverage_status) AS level
 FROM {s_conclusion} s JOIN {o_coverage} c ON c.case_id = s.case_id GROUP BY GROUPING SETS ((facet, band, coverage_status), (facet, band), (facet), ())""".replace("SELECT facet, band, coverage_status,", "SELECT facet, band, c.coverage_status,").replace("s JOIN", "s JOIN"))

@@ -200,13 +200,33 @@ def report_document(cases: DataFrame, outcomes: DataFrame, conclusions: DataFram
             .join(coverage, "case_id", "left").join(digests, "case_id", "left").select("case_id", F.to_json(doc).alias("document")))
 
 
+def _same_file(artifacts: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Hashed artifacts with a path of their own, and the columns within which digests should agree."""
+    named = artifacts.where(F.col("sha256").isNotNull() & F.col("path_alias").isNotNull() & (F.col("path_alias") != V.OUT_OF_SCOPE_PATH))
+    # the digest of a whole file and that of its head differ without a conflict
+    return named, ["case_id", "path_alias", *[c for c in ("hash_scope",) if c in artifacts.columns]]
+
+
 def hash_conflict(artifacts: DataFrame) -> DataFrame:
     """Paths seen with more than one digest across submissions, and the abstention they ask for."""
-    return (artifacts.where("sha256 IS NOT NULL").groupBy("case_id", "path_alias")
-            .agg(F.count_distinct("sha256").alias("digests")).where("digests > 1")
+    named, same = _same_file(artifacts)
+    return (named.groupBy(*same).agg(F.count_distinct("sha256").alias("digests")).where("digests > 1")
+            .groupBy("case_id", "path_alias").agg(F.max("digests").alias("digests"))
             .withColumn("abstention_id", F.lit("ABS-HASH-CONFLICT")))
 
 
+def conflict_abstentions(artifacts: DataFrame, facets: list[str] = V.FACETS) -> DataFrame:
+    """``(case_id, facet, abstention_id)`` for every case with a hash conflict: which file is meant is open, so no facet can rest on it.
+
+    Two digests are enough to know, so the least and the greatest are compared, which combines on the map side.  Null paths,
+    null digests and files outside the roots, which share one alias, say nothing; repeated rows change nothing.
+    """
+    named, same = _same_file(artifacts)
+    return (named.groupBy(*same).agg(F.min("sha256").alias("least"), F.max("sha256").alias("most")).where("least <> most")
+            .select("case_id").distinct()
+            .select("case_id", F.explode(F.array(*[F.lit(f) for f in facets])).alias("facet"), F.lit("ABS-HASH-CONFLICT").alias("abstention_id")))
+
+
 # --- fleet and corpus -------------------------------------------------------------------
 def fleet_summary(conclusions: DataFrame, coverage: DataFrame) -> DataFrame:
     """Counts of cases by facet, band and coverage, with subtotals."""

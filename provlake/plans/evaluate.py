@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from provlake import vocab as V
 from provlake.operators import scoring
 from provlake.operators.skew import context_join
+from provlake.operators.verification import conflict_abstentions
 from provlake.plans import rules
 from provlake.plans.caseflags import case_flags, read_facts
-from provlake.plans.emit import emitted
+from provlake.plans.emit import abstain, emitted
+from provlake.sources.sink import staged, write_evidence
+
+EVIDENCE_TABLES = ["outcomes", "cap_requests", "abstention_requests", "out_of_scope", "claim_scores", "conclusions"]
 
 
 def loop_context(cases: DataFrame, loop: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -90,7 +94,26 @@ class EvidenceResult:
         return scoring.conclusions(self.cases, self.emissions)
 
 
+    def save(self, path: str, version: int = V.RULESET_VERSION) -> None:
+        """Evaluate once and save the six tables of the screen as one commit."""
+        done = EvidenceResult(self.cases, self.artifacts, staged(self.emissions, "emissions"))
+        write_evidence({name: getattr(done, name) for name in EVIDENCE_TABLES}, path, version)
+
+
+def conflicts(cases: DataFrame, artifacts: DataFrame, submissions: DataFrame) -> DataFrame:
+    """Emissions of the cases whose files have another digest in one of ``submissions`` (case_id, path_alias, sha256, and hash_scope if known)."""
+    columns = [c for c in ("case_id", "path_alias", "sha256", "hash_scope") if c in artifacts.columns and c in submissions.columns]
+    asked = conflict_abstentions(artifacts.select(*columns).unionByName(submissions.select(*columns))).select("case_id").distinct()
+    return emitted(cases.select("case_id").join(asked, "case_id", "left_semi"), [abstain(V.FACETS, "ABS-HASH-CONFLICT", "true")])
+
+
 def evaluate(cases: DataFrame, facts: DataFrame, artifacts: DataFrame, declared: DataFrame,
-             pinned_only: bool = False) -> EvidenceResult:
-    """Screen every case.  Nothing runs until one of the tables is used."""
-    return EvidenceResult(cases, artifacts, emissions(cases, facts, artifacts, declared, pinned_only=pinned_only))
+             pinned_only: bool = False, submissions: DataFrame | None = None) -> EvidenceResult:
+    """Screen every case.  Nothing runs until one of the tables is used.
+
+    With the artifacts of other ``submissions`` of the cases, a file whose digests disagree makes its case abstain.
+    """
+    found = emissions(cases, facts, artifacts, declared, pinned_only=pinned_only)
+    if submissions is not None:
+        found = found.unionByName(conflicts(cases, artifacts, submissions))
+    return EvidenceResult(cases, artifacts, found)
