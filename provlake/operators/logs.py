@@ -19,6 +19,7 @@ LINES_PER_CHUNK = 4096
 
 # --- fixed values: the shapes of a pair ---------------------------------------
 HOLE = "\x01"  # stands where a nested group was
+MARKS = "\x02\x03\x04"  # before a key, before its value, behind it
 _DQ, _SQ = r'"(?:[^"\\]++|\\.)*+"', r"'(?:[^'\\]++|\\.)*+'"
 _KEY = r"[A-Za-z0-9_.\-]++"
 _NUM = r"[+-]?(?:[0-9]++[.]?[0-9]*+|[.][0-9]++)(?:[eE][+-]?[0-9]++)?+"
@@ -55,20 +56,33 @@ def pair_array(line: Column) -> Column:
         held = v.startswith('"') | v.startswith("'")
         return F.when(held & (F.length(v) > 1), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)
 
+    def taken(flat, group):
+        return F.regexp_extract_all(flat, F.lit(PAIR), F.lit(group))
+
+    def both(flat):  # one search writes keys and values between marks; what no match covers stands before a match's first mark
+        cut = F.split(F.regexp_replace(flat, PAIR, f"{MARKS[0]}$1{MARKS[1]}$3{MARKS[2]}"), MARKS[2])
+        return F.filter(F.transform(cut, lambda m: F.substring_index(m, MARKS[0], -1)), lambda m: F.instr(m, MARKS[1]) > 1)
+
+    def pair(k, v):
+        return F.struct(F.lower(F.trim(F.btrim(k, F.lit("\"'")))).alias("key"), F.trim(unquoted(v)).alias("value"))
+
     def read(flat):
-        return F.zip_with(F.regexp_extract_all(flat, F.lit(PAIR), F.lit(1)), F.regexp_extract_all(flat, F.lit(PAIR), F.lit(3)), lambda k, v: F.struct(
-            F.lower(F.trim(F.btrim(k, F.lit("\"'")))).alias("key"), F.trim(unquoted(v)).alias("value")))
+        return F.when(flat.rlike(f"[{''.join(MARKS)}]"), F.zip_with(taken(flat, 1), taken(flat, 3), pair)).otherwise(
+            F.transform(both(flat), lambda m: pair(F.substring_index(m, MARKS[1], 1), F.substring_index(m, MARKS[1], -1))))
 
     return F.filter(F.get(F.transform(F.array(_flat(line)), read), F.lit(0)), lambda p: p["key"] != "")
 
 
-def with_pairs(lines: DataFrame) -> DataFrame:
-    """Add ``pairs``, unless the lines come with them."""
-    return lines if "pairs" in lines.columns else lines.withColumn("pairs", pair_array(F.col("line")))
+def with_pairs(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Add ``pairs``, unless the lines come with them; with ``keys``, of the lines that hold the text of a key only."""
+    if "pairs" in lines.columns:
+        return lines
+    held = lines if keys is None else lines.where(_has_any(F.lower("line"), keys))
+    return held.withColumn("pairs", pair_array(F.col("line")))
 
 
-def log_pairs(lines: DataFrame) -> DataFrame:
-    return (with_pairs(lines).select("run", "line_no", F.posexplode("pairs").alias("pair_no", "p"))
+def log_pairs(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return (with_pairs(lines, keys).select("run", "line_no", F.posexplode("pairs").alias("pair_no", "p"))
             .select("run", "line_no", "pair_no", "p.key", "p.value"))
 
 
@@ -96,67 +110,74 @@ def log_timestamps(lines: DataFrame) -> DataFrame:
             .withColumn("utc", to_utc(F.col("raw"))))
 
 
-def step_order(steps: DataFrame, chunk_rows: int = LINES_PER_CHUNK) -> DataFrame:
-    """Per run: first and last step, how many, and whether they never fall.
+def merged(parts: DataFrame, keys: list[str], at: Column) -> DataFrame:
+    """One series summary per ``keys`` of the summaries ``parts``, which follow one another by ``at``.
 
-    ``steps``: (run, line_no, idx, step), ordered by (line_no, idx).
+    A summary is (entries, n_steps, first_step, last_step, ordered, first_loss, last_loss).  Merging is associative, so
+    lines become chunks, chunks become blocks and blocks become runs by the same step.
     """
-    at = F.struct("line_no", "idx")
-    inside = Window.partitionBy("run", "chunk").orderBy("line_no", "idx")
-    across = Window.partitionBy("run").orderBy("chunk")
-    chunks = (
-        steps.withColumn("chunk", F.floor(F.col("line_no") / chunk_rows))
-        .withColumn("prev", F.lag("step").over(inside))
-        .groupBy("run", "chunk").agg(
-            F.min_by("step", at).alias("first"), F.max_by("step", at).alias("last"), F.count("*").alias("n"),
-            F.bool_and(F.coalesce(F.col("step") >= F.col("prev"), F.lit(True))).alias("ok"))
-        .withColumn("before", F.lag("last").over(across)))
-    return chunks.groupBy("run").agg(
-        F.min_by("first", "chunk").alias("first_step"), F.max_by("last", "chunk").alias("last_step"),
-        F.sum("n").alias("n_steps"),
-        F.bool_and(F.col("ok") & F.coalesce(F.col("first") >= F.col("before"), F.lit(True))).alias("ordered"))
+    earlier = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    known = lambda c: F.when(F.col(c).isNotNull(), F.col("_at"))
+    # the last step of all parts before that have one
+    follows = F.coalesce(F.col("first_step") >= F.last("last_step", ignorenulls=True).over(earlier), F.lit(True))
+    return parts.withColumn("_at", at).withColumn("_follows", follows).groupBy(*keys).agg(
+        F.sum("entries").alias("entries"), F.sum("n_steps").alias("n_steps"), F.min_by("first_step", known("first_step")).alias("first_step"),
+        F.max_by("last_step", known("last_step")).alias("last_step"), F.bool_and(F.col("ordered") & F.col("_follows")).alias("ordered"),
+        F.min_by("first_loss", known("first_loss")).alias("first_loss"), F.max_by("last_loss", known("last_loss")).alias("last_loss"))
 
 
-def series_summary(entries: DataFrame) -> DataFrame:
+def chunk_of(line_no: Column, chunk_rows: int = LINES_PER_CHUNK) -> Column:
+    return F.floor(line_no / chunk_rows)
+
+
+def line_summaries(entries: DataFrame) -> DataFrame:
     """``entries``: (run, line_no, is_entry, steps array<bigint>, losses array<string>)."""
-    steps = entries.select("run", "line_no", F.posexplode("steps").alias("idx", "step"))
-    first_loss = F.element_at("losses", 1)
-    last_loss = F.element_at("losses", -1)
-    seen = F.size("losses") > 0
-    totals = entries.groupBy("run").agg(
-        F.sum(F.col("is_entry").cast("bigint")).alias("entry_count"),
-        F.min_by(F.when(seen, first_loss), F.when(seen, F.col("line_no"))).alias("first_loss"),
-        F.max_by(F.when(seen, last_loss), F.when(seen, F.col("line_no"))).alias("last_loss"))
-    return (
-        totals.join(step_order(steps), "run", "left")
-        .select("run", "entry_count", "first_step", "last_step",
-                F.when(F.col("n_steps") >= 2, F.col("ordered")).alias("steps_monotonic"), "first_loss", "last_loss",
-                percent_decrease(F.col("first_loss"), F.col("last_loss")).alias("loss_decreasing_percent")))
+    within = F.forall(F.sequence(F.lit(2), F.size("steps")), lambda i: F.element_at("steps", i) >= F.element_at("steps", i - 1))
+    return entries.select(  # no filter here: pushed below, it would parse every line again
+        "run", "line_no", F.col("is_entry").cast("bigint").alias("entries"), F.size("steps").cast("bigint").alias("n_steps"),
+        F.get("steps", F.lit(0)).alias("first_step"), F.try_element_at("steps", F.lit(-1)).alias("last_step"),
+        (F.when(F.size("steps") > 1, within).otherwise(F.lit(True))).alias("ordered"),
+        F.get("losses", F.lit(0)).alias("first_loss"), F.try_element_at("losses", F.lit(-1)).alias("last_loss"))
+
+
+def step_order(steps: DataFrame, chunk_rows: int = LINES_PER_CHUNK) -> DataFrame:
+    """Per run: first and last step, how many, and whether they never fall.
+
+    ``steps``: (run, line_no, idx, step), ordered by (line_no, idx).
+    """
+    single = steps.select("run", chunk_of(F.col("line_no"), chunk_rows).alias("chunk"), "line_no", "idx", F.lit(0).alias("entries"),
+                          F.lit(1).alias("n_steps"), F.col("step").alias("first_step"), F.col("step").alias("last_step"), F.lit(True).alias("ordered"),
+                          F.lit(None).cast("string").alias("first_loss"), F.lit(None).cast("string").alias("last_loss"))
+    return runs_of_chunks(merged(single, ["run", "chunk"], F.struct("line_no", "idx")), chunk_rows).select(
+        "run", "first_step", "last_step", "n_steps", "ordered")
 
 
 def chunk_summaries(lines: DataFrame) -> DataFrame:
     """One summary row per (run, chunk) of ``lines`` (run, chunk, line_no, step, loss), each line one entry."""
-    inside = Window.partitionBy("run", "chunk").orderBy("line_no")
-    # the step of the last line before that has one
-    prev = F.last("step", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    known = lambda c: F.when(F.col(c).isNotNull(), F.col("line_no"))
-    return lines.withColumn("prev", prev).groupBy("run", "chunk").agg(
-        F.count("*").alias("entries"), F.count("step").alias("n_steps"), F.min_by("step", known("step")).alias("first_step"),
-        F.max_by("step", known("step")).alias("last_step"), F.bool_and(F.coalesce(F.col("step") >= F.col("prev"), F.lit(True))).alias("ordered"),
-        F.min_by("loss", known("loss")).alias("first_loss"), F.max_by("loss", known("loss")).alias("last_loss"))
+    single = lines.select("run", "chunk", "line_no", F.lit(1).alias("entries"), F.col("step").isNotNull().cast("int").alias("n_steps"),
+                          F.col("step").alias("first_step"), F.col("step").alias("last_step"), F.lit(True).alias("ordered"),
+                          F.col("loss").alias("first_loss"), F.col("loss").alias("last_loss"))
+    return merged(single, ["run", "chunk"], F.col("line_no"))
+
+
+def runs_of_chunks(chunks: DataFrame, chunk_rows: int = LINES_PER_CHUNK) -> DataFrame:
+    """One summary per run of one per (run, chunk): over blocks of ``chunk_rows`` chunks, so that a long or sparse run meets nowhere whole."""
+    blocks = merged(chunks.withColumn("_block", chunk_of(F.col("chunk"), chunk_rows)), ["run", "_block"], F.col("chunk"))
+    return merged(blocks, ["run"], F.col("_block"))
 
 
 def series_of_chunks(chunks: DataFrame) -> DataFrame:
-    """Series of every run from ``chunk_summaries``."""
-    earlier = Window.partitionBy("run").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    known = lambda c: F.when(F.col(c).isNotNull(), F.col("chunk"))
-    follows = F.coalesce(F.col("first_step") >= F.last("last_step", ignorenulls=True).over(earlier), F.lit(True))
-    return (chunks.withColumn("follows", follows).groupBy("run").agg(
-        F.sum("entries").alias("entry_count"), F.min_by("first_step", known("first_step")).alias("first_step"),
-        F.max_by("last_step", known("last_step")).alias("last_step"), F.sum("n_steps").alias("n"), F.bool_and(F.col("ordered") & F.col("follows")).alias("ok"),
-        F.min_by("first_loss", known("first_loss")).alias("first_loss"), F.max_by("last_loss", known("last_loss")).alias("last_loss"))
-        .select("run", "entry_count", "first_step", "last_step", F.when(F.col("n") >= 2, F.col("ok")).alias("steps_monotonic"), "first_loss", "last_loss",
-                percent_decrease(F.col("first_loss"), F.col("last_loss")).alias("loss_decreasing_percent")))
+    """Series of every run from one summary per (run, chunk)."""
+    return runs_of_chunks(chunks).select(
+        "run", F.col("entries").alias("entry_count"), "first_step", "last_step",
+        F.when(F.col("n_steps") >= 2, F.col("ordered")).alias("steps_monotonic"), "first_loss", "last_loss",
+        percent_decrease(F.col("first_loss"), F.col("last_loss")).alias("loss_decreasing_percent"))
+
+
+def series_summary(entries: DataFrame) -> DataFrame:
+    """``entries``: (run, line_no, is_entry, steps array<bigint>, losses array<string>), read once."""
+    lines = line_summaries(entries).withColumn("chunk", chunk_of(F.col("line_no")))
+    return series_of_chunks(merged(lines, ["run", "chunk"], F.col("line_no")))
 
 
 def metric_series(metrics: DataFrame) -> DataFrame:
@@ -172,7 +193,7 @@ def _values(keys: list[str]) -> Column:
 
 def log_series(lines: DataFrame) -> DataFrame:
     """The metric series written in a log."""
-    return series_summary(with_pairs(lines).select(
+    return series_summary(with_pairs(lines, V.ENTRY_KEYS).select(
         "run", "line_no", F.exists("pairs", lambda p: p["key"].isin(*V.ENTRY_KEYS)).alias("is_entry"),
         F.array_compact(F.transform(_values(V.STEP_KEYS), parse_int)).alias("steps"),
         F.filter(_values(V.LOSS_KEYS), lambda v: micros(v).isNotNull()).alias("losses"))
@@ -233,7 +254,7 @@ def run_chronology(lines: DataFrame) -> DataFrame:
 
 
 def _read_pairs(lines: DataFrame, keys: list[str]) -> DataFrame:
-    return log_pairs(lines).where(F.col("key").isin(*keys))
+    return log_pairs(lines, keys).where(F.col("key").isin(*keys))
 
 
 def token_counts(lines: DataFrame) -> DataFrame:

@@ -39,3 +39,19 @@ def test_a_long_line_takes_one_pass(spark, line):
     t = time.perf_counter()
     df.collect()
     assert time.perf_counter() - t < 5
+
+
+@pytest.mark.parametrize(("line", "want"), [
+    ("a=\x02b c=\x03 d=\x04x", [("a", "\x02b"), ("c", "\x03"), ("d", "\x04x")]),  # the marks of the search, in the text itself
+    ("\x03 step=1 loss=2", [("step", "1"), ("loss", "2")]),
+])
+def test_marks_in_the_text_are_text(spark, line, want):
+    df = spark.createDataFrame([(1, 1, line)], "run long, line_no long, line string")
+    assert [(r.key, r.value) for r in L.log_pairs(df).orderBy("pair_no").collect()] == want
+
+
+def test_keys_choose_lines_without_losing_pairs(spark):
+    lines = ["STEP=1 other=2", "nothing here", None, "", '"Loss": 3', "x=1"]
+    df = spark.createDataFrame([(1, i, s) for i, s in enumerate(lines)], "run long, line_no long, line string")
+    got = {(r.line_no, r.key, r.value) for r in L.log_pairs(df, ["step", "loss"]).where("key IN ('step', 'loss')").collect()}
+    assert got == {(0, "step", "1"), (4, "loss", "3")}

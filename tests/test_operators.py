@@ -164,3 +164,27 @@ def test_a_window_needs_no_python_worker(spark, sf):
     from provlake.checks.registry import QUERIES
     plan = QUERIES["conclusions"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_series_of_sparse_runs_is_merged_over_chunks_and_blocks(spark):
+    """Runs of sparse line numbers over many chunks and blocks, lines with no step and with several, against a plain loop."""
+    rnd = random.Random(8)
+    rows, want = [], {}
+    for run in range(12):
+        at, step, steps = 0, 0, []
+        for _ in range(rnd.randrange(1, 60)):
+            at += rnd.choice([1, 1, 7, 40])
+            step += rnd.choice([0, 1, 5]) if run % 2 else rnd.choice([-1, 1, 5])
+            mine = [step + i for i in range(rnd.choice([0, 1, 1, 3]))]
+            steps += mine
+            step = mine[-1] if mine else step
+            rows += [(run, at, i, s) for i, s in enumerate(mine)]
+        if steps:
+            want[run] = (steps[0], steps[-1], len(steps), all(a <= b for a, b in zip(steps, steps[1:])))
+    df = spark.createDataFrame(rows, "run bigint, line_no bigint, idx int, step bigint")
+    got = {r.run: (r.first_step, r.last_step, r.n_steps, r.ordered) for r in L.step_order(df, chunk_rows=3).collect()}
+    assert got == want and {w[3] for w in want.values()} == {True, False}
+    entries = df.groupBy("run", "line_no").agg(F.expr("transform(array_sort(collect_list(struct(idx, step))), x -> x.step)").alias("steps"))
+    out = L.series_summary(entries.select("run", "line_no", F.lit(True).alias("is_entry"), "steps", F.array().cast("array<string>").alias("losses")))
+    assert {r.run: (r.first_step, r.last_step, r.steps_monotonic) for r in out.collect()} == {
+        k: (a, b, ok if n > 1 else None) for k, (a, b, n, ok) in want.items()}
