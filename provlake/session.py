@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # building a plan of many expressions is several times faster without call-site capture
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # HotSpot compiles no method above 8,000 bytes, and the rules make longer ones: such stages run as smaller methods instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
