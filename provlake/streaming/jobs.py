@@ -20,10 +20,10 @@ from provlake.streaming.series import series_state  # noqa: F401
 
 
 def stream_table(spark: SparkSession, directory: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
-    """A table of a folder as a stream; its schema is that of the files."""
+    """A table of a folder as a stream, be it one file or a folder of files; its schema is that of the files."""
     schema = spark.read.parquet(f"{directory}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(directory))
+    # a stream refuses the path of a single file, but takes a pattern that only this file or folder matches
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{directory}/{name}.parque[t]")
 
 
 def follow(job: Callable[[DataFrame], DataFrame], rows: DataFrame, where: str) -> None:

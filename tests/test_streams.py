@@ -91,3 +91,15 @@ def test_sessions_that_late_rows_join(spark, tmp_path):
     got = [((r.session_start.hour * 60 + r.session_start.minute), (r.session_end.hour * 60 + r.session_end.minute), r.requests, r.all_full_chain)
            for r in jobs.merged_sessions(jobs.kept_parts(spark, where)).orderBy("session_start").collect()]
     assert got == [(0, 120, 5, True), (120, 150, 1, True), (200, 245, 2, True), (400, 430, 1, False)]
+
+
+@pytest.mark.parametrize("name", ["stream_redaction_ledger", "stream_chain_sessions"])
+def test_a_table_in_several_files_is_streamed_whole(spark, sf, tmp_path, name):
+    """A table may be one file or a folder of part files; the folder gave no rows."""
+    import __spark_entry__ as entry
+
+    for table in ("documents", "conversations"):
+        spark.read.parquet(f"{sf}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert jobs.stream_table(spark, str(tmp_path), "documents").isStreaming
+    got, want = (entry.queries()[name](spark, d) for d in (str(tmp_path), sf))
+    assert ordered(got.collect()) == ordered(want.collect()) != []
