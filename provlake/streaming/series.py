@@ -1,84 +1,25 @@
 """Metric series of runs kept up to date by a stream.
 
-The state of a (run, chunk of line numbers) is one summary: the range of lines seen, first and last step, how many, whether
-they never fell, and the first and last loss.  Lines before or after the range extend it.  A line inside the range is late: its
-neighbours are gone, so it is written out as late instead, and the series of its chunk is taken from the source when it is asked for.
-State therefore grows with runs and chunks, not with lines, and any split and order of files gives the batch result.
+Every batch appends one summary per (run, chunk of line numbers): the range of lines, first and last step, how many, whether
+they never fell, and the first and last loss.  Lines before and after the range that earlier batches have seen make a summary each, so the ranges of
+a chunk never overlap and are merged when they are read.  A line inside the range seen is late: its neighbours are gone, so it is written
+out as late instead, and the series of its chunk is taken from the source when it is asked for.  What is kept grows with
+runs, chunks and the batches that touch them, not with lines, and any split and order of files gives the batch result.
 """
 
 from __future__ import annotations
 
-import uuid
-
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from provlake.functions.numbers import micros
-from provlake.operators.logs import LINES_PER_CHUNK, chunk_summaries, metric_series, series_of_chunks
+from provlake.operators.logs import LINES_PER_CHUNK, chunk_summaries, merged, metric_series, series_of_chunks
 from provlake.session import work_dir
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SUMMARY = ["low", "high", "entries", "n_steps", "first_step", "last_step", "ordered", "first_loss", "last_loss"]
-STATE = ("generation string, version bigint, low bigint, high bigint, entries bigint, n_steps bigint, first_step bigint, last_step bigint, "
-         "ordered boolean, first_loss string, last_loss string")
-
-
-def summary_of(rows: list[tuple]) -> tuple:
-    """Summary (in the order of ``SUMMARY``) of (line_no, step, loss) rows in line order; a missing step or loss is None."""
-    steps = [s for _, s, _ in rows if s is not None]
-    losses = [x for _, _, x in rows if x is not None]
-    return (rows[0][0], rows[-1][0], len(rows), len(steps), steps[0] if steps else None, steps[-1] if steps else None,
-            all(a <= b for a, b in zip(steps, steps[1:])), losses[0] if losses else None, losses[-1] if losses else None)
-
-
-def merged(a: tuple | None, b: tuple | None) -> tuple | None:
-    """Summary of two ranges, all lines of ``a`` before all lines of ``b``."""
-    if a is None or b is None:
-        return b if a is None else a
-    first = lambda k: a[k] if a[k] is not None else b[k]
-    last = lambda k: b[k] if b[k] is not None else a[k]
-    follows = a[5] is None or b[4] is None or a[5] <= b[4]
-    return a[0], b[1], a[2] + b[2], a[3] + b[3], first(4), last(5), a[6] and b[6] and follows, first(7), last(8)
-
-
-class ChunkSeries(StatefulProcessor):
-    """Keeps the summary of one (run, chunk); every batch that touches it writes its new version, and its late lines."""
-
-    def __init__(self, columns: list[str], ttl_ms: int | None):
-        self.columns, self.ttl_ms = columns, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("summary", STATE, self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timer_values):
-        def known(v):
-            return None if v is None or v != v else v
-
-        lines = sorted(((int(n), s if s is None else int(s), x) for part in rows for n, s, x in zip(
-            part["line_no"], map(known, part["step"]), map(known, part["loss"]), strict=True)), key=lambda r: r[0])
-        old = tuple(self.state.get()) if self.state.exists() else None
-        generation, version, seen = (old[0], old[1], old[2:]) if old else (uuid.uuid4().hex, 0, None)
-        if seen is not None and seen[0] is not None:
-            before, after = [r for r in lines if r[0] < seen[0]], [r for r in lines if r[0] > seen[1]]
-            late = [r for r in lines if seen[0] <= r[0] <= seen[1]]
-        else:
-            before, late, after = [], [], lines
-        seen = merged(merged(summary_of(before) if before else None, seen), summary_of(after) if after else None)
-        self.state.update((generation, version + 1, *seen))
-        head = (*key, generation, version + 1)
-        out = [(*head, False, None, *seen)] + [(*head, True, r[0], *[None] * len(SUMMARY)) for r in late]
-        frame = pd.DataFrame(out, columns=self.columns)
-        for c in ("late_line", "low", "high", "entries", "n_steps", "first_step", "last_step"):
-            frame[c] = frame[c].astype("Int64")
-        frame["ordered"] = frame["ordered"].astype("boolean")
-        yield frame
-
-    def close(self) -> None:
-        pass
+PART = ("chunk bigint, low bigint, high bigint, entries bigint, n_steps bigint, first_step bigint, last_step bigint, "
+        "ordered boolean, first_loss string, last_loss string, taken_at timestamp, batch bigint")
 
 
 def usable(metrics: DataFrame) -> DataFrame:
@@ -91,27 +32,52 @@ def with_chunk(metrics: DataFrame, chunk_rows: int) -> DataFrame:
     return usable(metrics).withColumn("chunk", F.floor(F.col("line_no") / chunk_rows))
 
 
+def _parts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What the batches have written to a folder, which need not exist."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _summaries(spark: SparkSession, where: str, like: DataFrame) -> DataFrame:
+    return _parts(spark, f"{where}/summaries", f"run {dict(like.dtypes)['run']}, {PART}")
+
+
+def _same_chunk(other: str) -> Column:
+    return F.expr(f"l.run <=> {other}.run AND l.chunk <=> {other}.chunk")
+
+
 def follow_series(metrics: DataFrame, where: str, chunk_rows: int = LINES_PER_CHUNK, ttl_ms: int | None = None) -> None:
     """Take what is new in the stream ``metrics`` (run, line_no, step, loss) into the series kept under ``where``.
 
-    May be called again, by any session, to go on where the last call ended.  With ``ttl_ms`` state that nothing has touched for
-    so long is dropped; a line that comes later starts a new generation of its chunk, which is then read from the source.
+    May be called again, by any session, to go on where the last call ended; a batch that is repeated is written anew.  With ``ttl_ms`` a
+    batch does not look at ranges written longer ago; where its own overlap them, the chunk is then read from the source.
     """
     spark = metrics.sparkSession
-    run = dict(metrics.dtypes)["run"]
-    schema = f"run {run}, chunk bigint, {STATE.split(', low')[0]}, late boolean, late_line bigint, low{STATE.split(', low', 1)[1]}"
-    columns = [c.split(" ")[0] for c in schema.split(", ")]
-    before = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, ROCKS)
-    try:
-        out = (with_chunk(metrics, chunk_rows).groupBy("run", "chunk")
-               .transformWithStateInPandas(ChunkSeries(columns, ttl_ms), schema, "Append", "ProcessingTime" if ttl_ms else "None"))
-        writer = (out.writeStream.format("parquet").outputMode("append").option("path", f"{where}/summaries")
-                  .option("checkpointLocation", f"{where}/state"))
-        # on processing time a query would go on with empty batches for ever, so it takes one batch of all that is there
-        writer.trigger(**({"availableNow": True} if ttl_ms is None else {"once": True})).start().awaitTermination()
-    finally:
-        spark.conf.set(STATE_STORE, before)
+
+    def take(batch: DataFrame, number: int) -> None:
+        lines = with_chunk(batch, chunk_rows)
+        seen = _summaries(spark, where, lines).where(F.col("batch") < number)
+        if ttl_ms is not None:
+            seen = seen.where(F.unix_millis(F.current_timestamp()) - F.unix_millis("taken_at") <= ttl_ms)
+        first = number == 0 or seen.isEmpty()
+        if first:
+            marked = lines.withColumn("place", F.lit("after"))
+        else:
+            ranges = seen.groupBy("run", "chunk").agg(F.min("low").alias("low"), F.max("high").alias("high")).alias("r")
+            place = F.when(F.expr("l.line_no < r.low"), "before").when(F.expr("l.line_no <= r.high"), "late").otherwise("after")
+            marked = lines.alias("l").join(ranges, _same_chunk("r"), "left").select("l.*", place.alias("place")).persist()
+            marked.where("place = 'late'").select("run", "line_no", "chunk").write.mode("overwrite").parquet(f"{where}/late/batch={number}")
+        parts = chunk_summaries(marked.where("place <> 'late'"), "place").select("run", "chunk", *SUMMARY, F.current_timestamp().alias("taken_at"))
+        parts.write.mode("overwrite").parquet(f"{where}/summaries/batch={number}")
+        if not first:
+            marked.unpersist()
+
+    q = metrics.writeStream.foreachBatch(take).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
 
 
 def series_state(metrics: DataFrame, name: str = "series") -> DataFrame:
@@ -136,25 +102,29 @@ def keep_lines(metrics: DataFrame, where: str) -> None:
     q.awaitTermination()
 
 
-def kept_summaries(spark: SparkSession, where: str, like: DataFrame) -> DataFrame:
-    """The latest summary of every (run, chunk), and whether it must be taken from the source instead."""
-    run = dict(like.dtypes)["run"]
-    schema = f"run {run}, chunk bigint, {STATE.split(', low')[0]}, late boolean, late_line bigint, low{STATE.split(', low', 1)[1]}"
-    rows = spark.read.schema(schema).parquet(f"{where}/summaries")
-    latest = F.max_by(F.struct(*SUMMARY), F.when(~F.col("late"), F.col("version")))
-    return (rows.groupBy("run", "chunk").agg(latest.alias("s"), (F.max("late") | (F.min("generation") != F.max("generation"))).alias("broken"))
-            .select("run", "chunk", "s.*", "broken"))
-
-
 def late_lines(spark: SparkSession, where: str, like: DataFrame) -> DataFrame:
     """(run, line_no) of all lines that came after lines around them had been summed up."""
-    return spark.read.schema(f"run {dict(like.dtypes)['run']}, late boolean, late_line bigint").parquet(f"{where}/summaries").where("late").select(
-        "run", F.col("late_line").alias("line_no"))
+    return _late(spark, where, like).select("run", "line_no")
+
+
+def _late(spark: SparkSession, where: str, like: DataFrame) -> DataFrame:
+    return _parts(spark, f"{where}/late", f"run {dict(like.dtypes)['run']}, line_no bigint, chunk bigint")
+
+
+def kept_summaries(spark: SparkSession, where: str, like: DataFrame) -> DataFrame:
+    """The summary of every (run, chunk), and whether it must be taken from the source instead: a line was late, or ranges overlap."""
+    earlier = Window.partitionBy("run", "chunk").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    parts = _summaries(spark, where, like)
+    parts = parts.withColumn("overlaps", F.coalesce(F.col("low") <= F.max("high").over(earlier), F.lit(False)))
+    chunks = merged(parts, ["run", "chunk"], F.col("low"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("overlaps").alias("overlaps"))
+    late = _late(spark, where, like).select("run", "chunk").distinct().select("run", "chunk", F.lit(True).alias("is_late")).alias("t")
+    return (chunks.alias("l").join(late, _same_chunk("t"), "left")
+            .select("l.run", "l.chunk", *SUMMARY, F.coalesce("is_late", "overlaps").alias("broken")))
 
 
 def read_series(source: DataFrame, where: str, chunk_rows: int = LINES_PER_CHUNK) -> DataFrame:
     """Series of every run from the summaries under ``where``; ``source``, the table behind the stream, is read for chunks with late lines only."""
     kept = kept_summaries(source.sparkSession, where, source)
-    broken = kept.where("broken").select("run", "chunk")
-    again = chunk_summaries(with_chunk(source, chunk_rows).join(broken, ["run", "chunk"], "left_semi"))
-    return series_of_chunks(kept.where("NOT broken").drop("broken", "low", "high").unionByName(again))
+    broken = kept.where("broken").select("run", "chunk").alias("b")
+    again = chunk_summaries(with_chunk(source, chunk_rows).alias("l").join(broken, _same_chunk("b"), "left_semi"))
+    return series_of_chunks(kept.where("NOT broken").drop("broken").unionByName(again))
