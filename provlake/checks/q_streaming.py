@@ -165,6 +165,8 @@ def header_ingest(spark, sf_dir):
     where = J.work_dir(spark, "containers")
     prefix = F.concat(F.char(F.col("declared")), F.repeat(F.char(F.lit(0)), F.lit(7)))
     # a text file ends its only line with one more byte
-    spark_view(spark, sf_dir, "v_container").select("artifact", F.concat(prefix, "header").alias("value")).write.partitionBy("artifact").text(where)
+    made = spark_view(spark, sf_dir, "v_container").select("artifact", F.concat(prefix, "header").alias("value"))
+    # a small table is one partition, whose task would write all files; AQE does not merge partitions of a stated number
+    made.repartition(max(64, 4 * spark.sparkContext.defaultParallelism), "artifact").write.partitionBy("artifact").text(where)
     files = list_files(spark, where).select(F.lit(1).cast("bigint").alias("case_id"), F.regexp_extract("path", "artifact=([^/]*)/", 1).alias("artifact"), "path")
     return tensor_header_ingest(files.where("artifact <> ''")).select("artifact", "header_json", "header_bytes", "file_size", "note")

@@ -1,5 +1,6 @@
 """Digests of real files: whole, within a budget, moved while read, and out of reach."""
 
+import pathlib
 import hashlib
 import resource
 
@@ -59,3 +60,15 @@ def test_a_large_file_needs_little_memory(tmp_path):
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
     assert read_file(str(path))[4] == 3 * 1024**3
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200 * 1024  # KB
+
+
+def test_containers_are_written_by_many_tasks(spark, sf):
+    """One task wrote a file for every supplier."""
+    import __spark_entry__ as entry
+    from provlake.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    entry.queries()["tensor_header_ingest"](spark, sf)
+    kept = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    newest = max(kept.glob("containers-*"), key=lambda p: p.stat().st_mtime)
+    assert len({p.name.split("-")[1] for p in newest.glob("artifact=*/part-*")}) > 1
