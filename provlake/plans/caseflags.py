@@ -7,6 +7,8 @@ map keyed by kind.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,8 +121,25 @@ def artifact_summary(artifacts: DataFrame) -> DataFrame:
     )
 
 
-def case_flags(cases: DataFrame, facts: DataFrame, artifacts: DataFrame, declared: DataFrame) -> DataFrame:
-    """One row per case: a column per fact kind, artifact summary and declared facets."""
+# columns of the case row that stand for facts of other kinds
+DERIVED = {"load_record": ["serving_config", "merge_record"], "caller": ["provider_endpoint", "sdk_dependency"],
+           "adapter": ["adapter_config", "adapter_tensor_set"], "n_steps": ["checkpoint_step"], "step_min": ["checkpoint_step"]}
+
+
+def kinds_read(predicates: list[str]) -> list[str]:
+    """The fact kinds that predicates over the case row speak about."""
+    words = set(re.findall(r"\w+", " ".join(predicates)))
+    read = {k for k in V.FACT_KINDS if f"k_{k}" in words} | {k for c, kinds in DERIVED.items() if c in words for k in kinds}
+    return sorted(V.FACT_KINDS if "n_facts" in words else read)
+
+
+def case_flags(cases: DataFrame, facts: DataFrame, artifacts: DataFrame, declared: DataFrame, kinds_needed: list[str] | None = None) -> DataFrame:
+    """One row per case: a column per fact kind, artifact summary and declared facets.
+
+    With ``kinds_needed`` only facts of these kinds are read, as far as the columns of other kinds are not used.
+    """
+    if kinds_needed is not None:
+        facts = facts.where(F.col("kind").isin(kinds_needed))
     per_kind = kind_summary(read_facts(facts))
     summary = [c for c in per_kind.columns if c not in ("case_id", "kind")]
     kinds = (per_kind.groupBy("case_id").agg(

@@ -13,7 +13,7 @@ from provlake.operators import scoring
 from provlake.operators.skew import context_join
 from provlake.operators.verification import conflict_abstentions
 from provlake.plans import rules
-from provlake.plans.caseflags import case_flags, read_facts
+from provlake.plans.caseflags import case_flags, kinds_read, read_facts
 from provlake.plans.emit import abstain, emitted
 from provlake.sources.sink import staged, write_evidence
 
@@ -36,9 +36,9 @@ def emissions(cases: DataFrame, facts: DataFrame, artifacts: DataFrame, declared
               families: list[str] | None = None, pinned_only: bool = False) -> DataFrame:
     """All rule emissions of the chosen families (every family by default)."""
     chosen = families or list(rules.CASE_FAMILIES)
-    flags = case_flags(cases, facts, artifacts, declared)
     specs = [s for f in chosen for s in (
         rules.global_caps(pinned_only) if f == "global_caps" else rules.CASE_FAMILIES[f]())]
+    flags = case_flags(cases, facts, artifacts, declared, kinds_read(specs))
     out = emitted(flags, specs)
 
     looped = [f for f in chosen if f in rules.FACT_FAMILIES]

@@ -188,3 +188,14 @@ def test_series_of_sparse_runs_is_merged_over_chunks_and_blocks(spark):
     out = L.series_summary(entries.select("run", "line_no", F.lit(True).alias("is_entry"), "steps", F.array().cast("array<string>").alias("losses")))
     assert {r.run: (r.first_step, r.last_step, r.steps_monotonic) for r in out.collect()} == {
         k: (a, b, ok if n > 1 else None) for k, (a, b, n, ok) in want.items()}
+
+
+def test_a_rule_family_reads_the_kinds_it_speaks_about_only():
+    from provlake import vocab as V
+    from provlake.plans import rules
+    from provlake.plans.caseflags import kinds_read
+
+    assert kinds_read(rules.binding()) == ["artifact_reference", "container_manifest"]
+    assert set(kinds_read(rules.lora())) == {"adapter_config", "adapter_tensor_set", "merge_record", "serving_config", "trainable_parameter_record"}
+    assert kinds_read(rules.scope()) == [] and kinds_read(["n_facts > 0"]) == sorted(V.FACT_KINDS)
+    assert "checkpoint_step" in kinds_read(rules.scratch()) and kinds_read(["step_min = 0"]) == ["checkpoint_step"]
