@@ -95,14 +95,14 @@ def stream_chain_sessions(spark, sf_dir):
 
 @stream_query("write_evidence", "SELECT case_id, facet, band, CAST(score_tenths AS BIGINT) AS score_tenths FROM {s_conclusion}")
 def evidence_round_trip(spark, sf_dir):
-    """Conclusions saved twice over the same folder and read back."""
+    """Conclusions saved twice over the same folder, the second time from what the first save holds, and read back."""
     from provlake.checks.q_scoring import _conclusions
     from provlake.checks.sqlviews import spark_view
 
     where = J.work_dir(spark, "evidence")
     c = _conclusions(lambda v: spark_view(spark, sf_dir, v)).select("case_id", "facet", "band", "score_tenths")
-    for _ in range(2):
-        write_evidence({"conclusions": c}, where)
+    write_evidence({"conclusions": c}, where)
+    write_evidence({"conclusions": read_evidence(spark, where, "conclusions")}, where)
     return read_evidence(spark, where, "conclusions")
 
 

@@ -98,3 +98,22 @@ def test_a_result_is_saved_whole_and_evaluated_once(spark, inputs, tmp_path):
     again = EvidenceResult(result.cases, result.artifacts, staged(result.emissions, "again"))  # a second evaluation, done once
     for name in EVIDENCE_TABLES:
         assert rows(read_evidence(spark, str(tmp_path / "store"), name)) == rows(getattr(again, name)), name
+
+
+def test_conclusions_are_worked_out_once_for_both_saves(spark, sf, monkeypatch):
+    """The second save worked them out anew, which doubled all shuffles."""
+    from pyspark.sql import functions as F
+
+    import __spark_entry__ as entry
+    from provlake.checks import q_scoring
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def band(case_id):
+        seen.add(1)
+        return "none"
+
+    rows = spark.range(10).select(F.col("id").alias("case_id"), F.lit("f").alias("facet"), F.udf(band)("id").alias("band"), F.lit(1).alias("score_tenths"))
+    monkeypatch.setattr(q_scoring, "_conclusions", lambda get: rows)
+    assert entry.queries()["write_evidence"](spark, sf).count() == 10
+    assert seen.value == 10
