@@ -119,14 +119,11 @@ class PieceEncoder:
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
         cut = [None if any(a in text for a in self.added) else self.pieces(text) for text in texts]
-        look = self.cache.get
-        found = [None if c is None else list(map(look, c[1])) for c in cut]
-        gaps = [i for i, f in enumerate(found) if f is not None and None in f]
-        self._learn(list({p for i in gaps for p, ids in zip(cut[i][1], found[i], strict=True) if ids is None}))
-        for i in gaps:
-            found[i] = list(map(look, cut[i][1]))
+        # each distinct piece of the group is looked for once; then every text is joined in one pass
+        self._learn([p for p in set().union(*[c[1] for c in cut if c is not None]) if p not in self.cache])
+        ids = self.cache.__getitem__
         heads = iter(self._whole([t if c is None else c[0] for t, c in zip(texts, cut, strict=True)]))
-        return [next(heads) if f is None else next(heads) + b"".join(f) for f in found]
+        return [next(heads) if c is None else next(heads) + b"".join(map(ids, c[1])) for c in cut]
 
 
 def encoder(path: str, mode: str) -> PieceEncoder:
