@@ -1,5 +1,6 @@
 """Order-dependent helpers against brute force, and hand-made edge cases."""
 
+import hashlib
 import json
 import random
 import struct
@@ -104,6 +105,22 @@ def test_canary_round_trip(spark):
         assert all(r[f"d{d}"] == r.id for d in range(10))
 
 
+def test_canary_digits_are_those_of_the_digests_taken_once(spark):
+    def wanted(i):
+        seed = hashlib.sha256(bytes.fromhex(hashlib.sha256(str(i).encode()).hexdigest()) + f"case-{i}n{i % 97}".encode()).digest()
+        more = hashlib.sha256(b"CL-CANARY-BLOCK" + seed + bytes([0, 0, 0, 1])).digest()
+        return [b % 10 for b in seed + more if b < 250]
+
+    ids = spark.range(300).select("id", F.sha2(F.col("id").cast("string"), 256).alias("hex"), F.concat(F.lit("case-"), "id").alias("text"),
+                                  F.concat(F.lit("n"), F.col("id") % 97).alias("nonce"))
+    df = ids.select("id", *[X.canary_digits(F.col("hex"), F.col("text"), F.col("nonce"), n).alias(f"d{n}") for n in (6, 32)])
+    assert all(r.d6 == wanted(r.id)[:6] and r.d32 == wanted(r.id)[:32] for r in df.collect())
+    assert ids.select(X.canary_digits(F.lit(None).cast("string"), F.col("text"), F.col("nonce")).alias("d")).first().d is None
+    # the seed and its expansion: no digest stands in what runs per byte
+    plan = ids.select(X.canary_digits(F.col("hex"), F.col("text"), F.col("nonce")).alias("d"))._jdf.queryExecution().analyzed().toString()
+    assert plan.splitlines()[0].count("sha2(") == 2
+
+
 def container(path, header: bytes, body: int = 24, length=None):
     path.write_bytes(struct.pack("<Q", len(header) if length is None else length) + header + b"\0" * body)
     return str(path)
