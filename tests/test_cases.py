@@ -121,3 +121,19 @@ def test_corpus_query_finds_no_violation(spark, result):
         e([(IDS["quantised"], "parameter_update", "ABS-QUANTIZED-ONLY")], "case_id bigint, facet string, abstention_id string"),
         e([(IDS["copied_times"],)], "case_id bigint"))
     assert bad.collect() == []
+
+
+def test_corpus_query_names_every_violation_and_reads_the_conclusions_once(spark):
+    e = lambda rows, schema: spark.createDataFrame(rows, schema)
+    c = spark.range(1, 3).select(F.col("id").alias("case_id"), F.lit("f").alias("facet"), F.lit("weak").alias("band"),
+                                 (F.col("id") == 1).alias("method_label_emitted"), F.array(F.lit("A")).alias("abstentions"))
+    bad = corpus_violations(
+        c, e([(1, V.CONTRADICTION), (2, V.SUPPORT)], "case_id bigint, kind string"),
+        e([(1, "f", "weak"), (2, "f", "strong"), (2, "f", None), (3, "f", "weak"), (3, "f", None)], "case_id bigint, facet string, band string"),
+        e([(1, "f"), (1, "f"), (2, "f"), (3, "f"), (None, "f")], "case_id bigint, facet string"),
+        e([(1, "f", "A"), (2, "f", "B"), (3, "f", "A"), (1, None, "A")], "case_id bigint, facet string, abstention_id string"),
+        e([(1,), (2,)], "case_id bigint"))
+    got = sorted((r.case_id, r.facet or "", r.violation) for r in bad.collect())
+    assert got == sorted([(2, "f", "band"), (2, "f", "band"), (3, "f", "band"), (1, "f", "named"), (1, "f", "named"),
+                          (2, "f", "abstention"), (3, "f", "abstention"), (1, "", "abstention"), (1, "", "contradiction")])
+    assert bad._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
