@@ -75,3 +75,10 @@ def test_all_bands_occur(spark):
     get = lambda v: spark_view(spark, "/root/testdata/sf0.01", v)
     c = S.conclusions(get("v_case"), S.entries(get("v_outcome"), get("v_cap"), get("v_abstention"), get("v_scope")))
     assert {r.band for r in c.select("band").distinct().collect()} == set(V.BAND_STRENGTH)
+
+
+def test_what_is_folded_is_worked_out_before_the_rows_move(spark):
+    stacked = spark.createDataFrame([row(1, 1, "R1", "rag", "index", 70)], SCHEMA)
+    plan = S.claim_rows(spark.range(1, 3).select(F.col("id").alias("case_id")), stacked)._jdf.queryExecution().optimizedPlan().toString()
+    folds = [x for x in plan.splitlines() if "Aggregate [case_id" in x and "collect_list(" in x]
+    assert len(folds) == 1 and "CASE WHEN" not in folds[0]
