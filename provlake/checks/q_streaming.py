@@ -8,7 +8,7 @@ from provlake.checks.q_privacy import PLANTS
 from provlake.checks.registry import ORACLES, QUERIES
 from provlake.checks.sqlviews import pick, register, with_clause
 from provlake.sources.headers import tensor_header_ingest
-from provlake.sources.sink import read_evidence, write_evidence
+from provlake.sources.sink import read_evidence, staged, write_evidence
 from provlake.streaming import jobs as J
 from provlake.streaming.series import follow_series, read_series
 
@@ -134,7 +134,8 @@ def evidence_tables(spark, sf_dir):
 
     get, where = lambda v: spark_view(spark, sf_dir, v), J.work_dir(spark, "evidence")
     tables = {n: get(SAVED[n][0]) for n in list(SAVED)[:4]}
-    tables |= {"claim_scores": scoring.claim_scores(get("v_case"), _stack(get)), "conclusions": scoring.conclusions(get("v_case"), _stack(get))}
+    claims = staged(scoring.claim_rows(get("v_case"), _stack(get)), "claim-rows")  # folded once for both tables
+    tables |= {"claim_scores": scoring.score_table(claims), "conclusions": scoring.conclusion_table(claims)}
     write_evidence(tables, where)
     write_evidence({n: read_evidence(spark, where, n) for n in SAVED}, where)
     out = None

@@ -97,7 +97,10 @@ class EvidenceResult:
     def save(self, path: str, version: int = V.RULESET_VERSION) -> None:
         """Evaluate once and save the six tables of the screen as one commit."""
         done = EvidenceResult(self.cases, self.artifacts, staged(self.emissions, "emissions"))
-        write_evidence({name: getattr(done, name) for name in EVIDENCE_TABLES}, path, version)
+        # scores and conclusions are two readings of the same claim rows
+        rows = staged(scoring.claim_rows(done.cases, done.emissions), "claim-rows")
+        folded = {"claim_scores": scoring.score_table(rows), "conclusions": scoring.conclusion_table(rows)}
+        write_evidence({name: folded[name] if name in folded else getattr(done, name) for name in EVIDENCE_TABLES}, path, version)
 
 
 def conflicts(cases: DataFrame, artifacts: DataFrame, submissions: DataFrame) -> DataFrame:

@@ -117,3 +117,17 @@ def test_conclusions_are_worked_out_once_for_both_saves(spark, sf, monkeypatch):
     monkeypatch.setattr(q_scoring, "_conclusions", lambda get: rows)
     assert entry.queries()["write_evidence"](spark, sf).count() == 10
     assert seen.value == 10
+
+
+def test_a_save_folds_the_claim_rows_once(spark, tmp_path, monkeypatch):
+    from provlake.operators import scoring
+
+    get, calls, fold = lambda v: spark_view(spark, "/root/testdata/sf0.001", v), [], scoring.claim_rows
+    result = evaluate(get("v_case"), VF.facts(get), VF.artifacts(get), VF.declared(get))
+    cases = result.cases.where("case_id < 3")
+    result = EvidenceResult(cases, result.artifacts, staged(result.emissions.where("case_id < 3"), "few"))
+    monkeypatch.setattr(scoring, "claim_rows", lambda *a: calls.append(1) or fold(*a))
+    result.save(str(tmp_path / "once"))
+    assert len(calls) == 1
+    for name in ("claim_scores", "conclusions"):
+        assert rows(read_evidence(spark, str(tmp_path / "once"), name)) == rows(getattr(result, name))
