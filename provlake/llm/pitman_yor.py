@@ -13,7 +13,9 @@ one task.  A pair seen once has one table whatever is drawn; only pairs seen twi
 what they lack in tables against customers is told to their words.  The spelling
 restaurants are hashed into fixed numbers of slots, so their cells are at most SLOTS * 256 however large the
 corpus, and only these meet on the driver.  Texts are read once, into blocks of word numbers with a word list
-each; counts and probabilities come to the word lists, and blocks are scored from them.
+each; counts and probabilities come to the word lists, and blocks are scored from them.  A block deals its word list over
+parts by the words' hashes; what goes between blocks, parts and cells are columns of numbers in order, by planes of bytes.
+A cell of the grid is told of the words it has in pairs seen twice or more only.
 
 As in the base score, all words that training never saw are one outcome, the unknown word: its spelling probability
 is what the known words leave.  So the probabilities of all outcomes sum to one.
@@ -29,12 +31,12 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provlake.llm.common import arrow_batch, arrow_schema, saved, ship_package
 
-END = ""  # the end token: no word is empty
+END = b""  # the end token: no word is empty
 BLOCK_TOKENS = 1_000_000
 SLOTS = 256 * 32 * 4  # restaurants of the deepest spelling level: last byte, 5 bits of the one before, 2 of the one before that
 PARENT_BITS = (2, 5, 8)  # slots of a level shifted by these are the slots of its parent
@@ -42,10 +44,12 @@ STOP = 0x20  # ends a spelling, and stands before its first byte: words hold no
 SPELL_DISCOUNT, SPELL_STRENGTH, WORD_STRENGTH, PAIR_STRENGTH = 0.5, 1.0, 1.0, 1.0
 TABLES, KNOWN, GUESTS = -1, -2, -3  # beside the cells: tables of all words, spelling probability of all known words, customers of the root
 CELL_TOKENS, LEAST_GROUPS = 1_300_000, 4  # tokens to a cell of the pair grid, on average; groups on a side, at least
+PART_BYTES, LEAST_PARTS = 16_000_000, 8  # text to a part of the words, on average; parts, at least
 ONCE, NEVER = -1, -2  # in place of a pair's number among those of its cell that training saw twice or more
 EXACT = 16  # customers seated one by one; later ones in blocks over which rates change by at most a quarter
 
-BLOCKS = "block long, words array<string>, trained array<long>, doc_id array<long>, held array<boolean>, n array<int>, tokens binary"
+BLOCKS = "block long, part int, size int, doc_id array<long>, held array<boolean>, n array<int>, tokens binary, words binary, counts binary"
+LISTS = "block long, part int, data binary, id long, word string, c long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -191,8 +195,9 @@ def word_tables(counts, spelling_logs, keys, state: dict):
     return seat(counts, np.maximum(mass, 1e-300), state["discount"], keys, state["sweep"])
 
 
-def word_blocks(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
-    """Blocks of word numbers with their word lists and the lists' counts in training texts; written once."""
+def word_blocks(docs: DataFrame, parts: int, fold: int = 7, held: int = 2) -> DataFrame:
+    """Blocks of word numbers, and for each part of the words (``part``, null for the block itself) the block's words in it, their
+    numbers and counts in training texts; written once."""
     arrow = arrow_schema(BLOCKS)
     ship_package(docs.sparkSession)
 
@@ -204,30 +209,66 @@ def word_blocks(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
         task, number = TaskContext.get().partitionId() << 32, 0
         pack = zstandard.ZstdCompressor(level=1).compress
 
-        def close(index, ids, kept, rows):
-            flat = np.concatenate(ids)
+        def close(index, ids, rows):
+            flat, words = np.concatenate(ids), list(index)
             mask = np.repeat([not h for _, h, _ in rows], [n for *_, n in rows])
-            trained = np.bincount(flat[mask], minlength=len(index))
-            return arrow_batch([(task + number, list(index), trained.tolist(), *map(list, zip(*rows, strict=True)), pack(flat.astype("<i4").tobytes()))], arrow)
+            trained = np.bincount(flat[mask], minlength=len(words))
+            part = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % parts
+            order = np.argsort(part, kind="stable")
+            held_parts, starts = np.unique(part[order], return_index=True)
+            out = [(task + number, None, len(words), *map(list, zip(*rows, strict=True)), squeeze(flat), None, None)]
+            out += [(task + number, k, None, None, None, None, None, pack(b" ".join([words[i] for i in at.tolist()])), squeeze(steps(at), trained[at]))
+                    for k, at in zip(held_parts.tolist(), np.split(order, starts[1:]), strict=True)]
+            return arrow_batch(out, arrow)
 
         index, ids, rows, size = {END: 0}, [], [], 0
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                words = b" ".join(raw).decode("utf-8", "surrogatepass").split(" ") if raw else []
+                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
                 own = np.fromiter((index.setdefault(w, len(index)) for w in words), dtype=np.int64, count=len(words))
                 ids += [own, np.zeros(1, dtype=np.int64)]
                 rows.append((doc_id, zlib.crc32(str("" if doc_id is None else doc_id).encode()) % fold == held, len(words) + 1))
                 size += len(words) + 1
                 if size >= BLOCK_TOKENS:
-                    yield close(index, ids, None, rows)
+                    yield close(index, ids, rows)
                     index, ids, rows, size, number = {END: 0}, [], [], 0, number + 1
         if rows:
-            yield close(index, ids, None, rows)
+            yield close(index, ids, rows)
 
     return saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(blocks, BLOCKS), "blocks")
 
 
+def word_lists(blocks: DataFrame, parts: int) -> DataFrame:
+    """LISTS, written once: the words that training saw with their ids and counts (``block`` null), and for each block and part the
+    block's numbers of such words with their ids."""
+    schema = arrow_schema(LISTS)
+
+    def number(sent):
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
+
+        unpack, sent = zstandard.ZstdDecompressor().decompress, sent.sort_by("block")
+        part = sent["part"][0].as_py()
+        lists = [unsqueeze(d, 2) for d in sent["counts"].to_pylist()]
+        every = pa.chunked_array([pa.array(unpack(w).split(b" "), type=pa.binary()) for w in sent["words"].to_pylist()]).combine_chunks().dictionary_encode()
+        at = every.indices.to_numpy()
+        count = np.bincount(at, weights=np.concatenate([n for _, n in lists]), minlength=len(every.dictionary)).astype(np.int64)
+        known = count > 0
+        rank = np.where(known, np.cumsum(known) - 1, -1)
+        out = []
+        for block, (pos, _), own in zip(sent["block"].to_pylist(), lists, np.split(rank[at], np.cumsum([len(n) for _, n in lists])[:-1]), strict=True):
+            out.append((block, part, squeeze(steps(np.cumsum(pos)[own >= 0]), own[own >= 0]), None, None, None))
+        told, n = arrow_batch(out, schema), int(known.sum())
+        words = every.dictionary.filter(pa.array(known)).cast(pa.string())
+        none = [pa.nulls(n, f.type) for f in list(schema)[:3]]
+        leads = pa.RecordBatch.from_arrays([*none, pa.array(np.arange(n) * parts + part), words, pa.array(count[known])], schema=schema)
+        return pa.Table.from_batches([told, leads])
+
+    sent = blocks.where("part IS NOT NULL").select("block", "part", "words", "counts")
+    return saved(sent.groupBy("part").applyInArrow(number, LISTS), "lists")
+
+
 def squeeze(*columns) -> bytes:
     """Columns of 64-bit numbers of one length, by planes of bytes."""
     import numpy as np
@@ -244,6 +285,13 @@ def unsqueeze(data: bytes, columns: int = 1):
     return [np.ascontiguousarray(p.T).view(np.int64).reshape(-1) for p in planes]
 
 
+def steps(numbers):
+    """Ascending numbers as the steps between them, which take fewer bytes."""
+    import numpy as np
+
+    return np.diff(numbers, prepend=0)
+
+
 def group_of(ids, groups: int):
     import numpy as np
 
@@ -251,18 +299,30 @@ def group_of(ids, groups: int):
         return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % groups
 
 
-def block_pairs(r: dict, size: int):
+def block_pairs(r: dict):
     """Of a block's pairs (word before, word): the distinct ones in order, as two columns, and which one each token ends."""
     import numpy as np
-    import zstandard
 
-    ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["tokens"]), dtype="<i4").astype(np.int64)
+    ids, size = unsqueeze(r["tokens"])[0], r["size"]
     before = np.concatenate((np.zeros(1, dtype=np.int64), ids[:-1]))  # texts end with word 0, the end token
     pairs, at = np.unique(before * size + ids, return_inverse=True)
     return pairs // size, pairs % size, at
 
 
-def cell_pairs(blocks: DataFrame, lists: DataFrame, groups: int) -> DataFrame:
+def in_cells(ids, a, b, groups: int):
+    """Which of a block's pairs have two words that training saw (others have no id but -1, and no count), by cell and there by the ids; and their cells."""
+    import numpy as np
+
+    use = np.flatnonzero((ids[a] >= 0) & (ids[b] >= 0))
+    rank, g = np.empty(len(ids), dtype=np.int64), group_of(ids, groups)
+    rank[np.argsort(ids)] = np.arange(len(ids))
+    x, y = a[use], b[use]
+    cell = g[x] * groups + g[y]
+    order = np.argsort((cell * len(ids) + rank[x]) * len(ids) + rank[y])
+    return use[order], cell[order]
+
+
+def cell_pairs(blocks: DataFrame, lists: DataFrame, parts: int, groups: int) -> DataFrame:
     """``(cell, block, data, once, twice)``, written once: with block -1 the pairs of a cell that training saw twice or more, with
     their counts; with a block's number which of them the block's pairs in that cell are."""
     sent_schema, kept_schema = arrow_schema("cell int, block long, data binary"), arrow_schema("cell int, block long, data binary, once long, twice long")
@@ -273,130 +333,144 @@ def cell_pairs(blocks: DataFrame, lists: DataFrame, groups: int) -> DataFrame:
 
         out = []
         for r in block.to_pylist():
-            ids, known = np.zeros(r["size"], dtype=np.int64), np.zeros(r["size"], dtype=bool)
-            at = listed["pos"].to_numpy()
-            ids[at], known[at] = listed["id"].to_numpy(), True
-            a, b, token = block_pairs(r, r["size"])
+            ids = np.full(r["size"], -1, dtype=np.int64)
+            for part, d in zip(listed["part"].to_pylist(), listed["data"].to_pylist(), strict=True):
+                pos, rank = unsqueeze(d, 2)
+                ids[np.cumsum(pos)] = rank * parts + part
+            a, b, token = block_pairs(r)
             trained = np.bincount(token, weights=np.repeat(~np.array(r["held"]), r["n"]), minlength=len(a)).astype(np.int64)
-            use = known[a] & known[b]  # a pair with a word that training never saw has no count
+            use, cell = in_cells(ids, a, b, groups)
             a, b, trained = ids[a[use]], ids[b[use]], trained[use]
-            cell = group_of(a, groups) * groups + group_of(b, groups)
-            order = np.argsort(cell, kind="stable")
-            cells, starts = np.unique(cell[order], return_index=True)
-            out += [(k, r["block"], squeeze(a[x], b[x], trained[x])) for k, x in zip(cells.tolist(), np.split(order, starts[1:]), strict=True)] if len(cells) else []
+            cells, starts = np.unique(cell, return_index=True)
+            ends = np.append(starts[1:], len(cell))
+            out += [(k, r["block"], squeeze(steps(a[i:j]), b[i:j], trained[i:j])) for k, i, j in zip(cells.tolist(), starts.tolist(), ends.tolist(), strict=True)]
         return pa.Table.from_batches([arrow_batch(out, sent_schema)])
 
     def merge(sent):
         import numpy as np
         import pyarrow as pa
 
-        parts = [unsqueeze(d, 3) for d in sent["data"].to_pylist()]
-        a, b, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        received = [unsqueeze(d, 3) for d in sent["data"].to_pylist()]
+        a, b, n = (np.concatenate(c) for c in zip(*((np.cumsum(a), b, n) for a, b, n in received), strict=True))
         (first, i), (second, j) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
         pairs, at = np.unique(i * len(second) + j, return_inverse=True)
         total = np.bincount(at, weights=n).astype(np.int64)
         often = total > 1
         number = np.where(often, np.cumsum(often) - 1, np.where(total == 1, ONCE, NEVER))[at]
         cell, pairs = sent["cell"][0].as_py(), pairs[often]
-        ends = np.cumsum([len(p[0]) for p in parts])[:-1]
+        ends = np.cumsum([len(p[0]) for p in received])[:-1]
         out = [(cell, -1, squeeze(first[pairs // len(second)], second[pairs % len(second)], total[often]), int((total == 1).sum()), int((total == 2).sum()))]
-        out += [(cell, k, squeeze(x), 0, 0) for k, x in zip(sent["block"].to_pylist(), np.split(number, ends), strict=True)]
+        out += [(cell, k, stepped(x), 0, 0) for k, x in zip(sent["block"].to_pylist(), np.split(number, ends), strict=True)]
         return pa.Table.from_batches([arrow_batch(out, kept_schema)])
 
-    sized = blocks.select("block", F.size("words").alias("size"), "held", "n", "tokens")
-    sent = (sized.groupBy("block").cogroup(lists.where("c > 0").select("block", "pos", "id").groupBy("block"))
+    sized = blocks.where("part IS NULL").select("block", "size", "held", "n", "tokens")
+    sent = (sized.groupBy("block").cogroup(lists.where("block IS NOT NULL").select("block", "part", "data").groupBy("block"))
             .applyInArrow(send, "cell int, block long, data binary"))
     return saved(sent.groupBy("cell").applyInArrow(merge, "cell int, block long, data binary, once long, twice long"), "cells")
 
 
+def stepped(numbers) -> bytes:
+    """Numbers that ascend but for ONCE and NEVER among them."""
+    import numpy as np
+
+    out = numbers - NEVER
+    often = numbers >= 0
+    out[often] = steps(numbers[often]) - NEVER
+    return squeeze(out)
+
+
+def unstepped(data: bytes):
+    import numpy as np
+
+    out = unsqueeze(data)[0] + NEVER
+    often = out >= 0
+    out[often] = np.cumsum(out[often])
+    return out
+
+
 SEATED = "cell int, tables binary, lacks array<struct<id:long,customers:long,tables:long>>"
 
 
-def seat_pairs(cells: DataFrame, words: DataFrame | None, groups: int, discount: float, sweep: int) -> DataFrame:
+def seat_pairs(cells: DataFrame, words: DataFrame | None, discount: float, sweep: int) -> DataFrame:
     """Tables of the pairs seen twice or more (one each without ``words``), and what their words lack for it; written once.
 
-    ``words(id, key, p, t)`` are the words of these pairs with their probability in the root and their restaurant's tables.
+    ``words(cell, id, key, p, t)`` are the words of these pairs with their probability in the root and their restaurant's tables, once
+    for each cell that has them.
     """
     schema = arrow_schema(SEATED)
 
-    def seated(rows):
-        import numpy as np
-        import pyarrow as pa
-
-        got = {k: d for k, d in zip(rows["kind"].to_pylist(), rows["data"].to_pylist(), strict=True)}
-        a, b, n = unsqueeze(got[0], 3)
-        t = np.ones(len(n))
-        if 1 in got and len(n):
-            (ids, key, _, tables), (ids2, key2, p, _) = unsqueeze(got[1], 4), unsqueeze(got[2], 4)
-            x, y = np.searchsorted(ids, a), np.searchsorted(ids2, b)
-            with np.errstate(over="ignore"):
-                keys = key[x].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + key2[y].view(np.uint64)
-            mass = (PAIR_STRENGTH + discount * tables[x]) * p.view(float)[y]
-            t = seat(n.astype(float), np.maximum(mass, 1e-300), discount, keys, sweep)
-        t = t.astype(np.int64)
-        ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-        lack, none = n - t, np.zeros(len(n), dtype=np.int64)
-        customers = np.bincount(at, weights=np.concatenate((none, lack)), minlength=len(ids)).astype(np.int64)
-        tables = np.bincount(at, weights=np.concatenate((lack, none)), minlength=len(ids)).astype(np.int64)
-        lacks = [{"id": i, "customers": c, "tables": u} for i, c, u in zip(ids.tolist(), customers.tolist(), tables.tolist(), strict=True)]
-        return pa.Table.from_batches([arrow_batch([(rows["cell"][0].as_py(), squeeze(t), lacks)], schema)])
-
-    def packed(rows):
+    def seated(pairs, told=None):
         import numpy as np
         import pyarrow as pa
 
-        ids = rows["id"].to_numpy()
-        o = np.argsort(ids)
-        data = squeeze(ids[o], rows["key"].to_numpy()[o], rows["p"].to_numpy()[o], rows["t"].to_numpy()[o])
-        return pa.Table.from_batches([arrow_batch([(rows["g"][0].as_py(), data)], pack_schema)])
-
-    pack_schema = arrow_schema("g int, data binary")
-    rows = cells.where("block = -1").select("cell", F.lit(0).alias("kind"), "data")
-    if words is not None:
-        lots = saved(words.groupBy("g").applyInArrow(packed, "g int, data binary"), "lots")
-        other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("other")
-        for kind, cell in ((1, f"g * {groups} + other"), (2, f"other * {groups} + g")):
-            told = lots.select("g", "data", other).select(F.expr(cell).cast("int").alias("cell"), F.lit(kind).alias("kind"), "data")
-            rows = rows.unionByName(told.join(cells.where("block = -1").select("cell"), "cell", "left_semi"))
-    return saved(rows.groupBy("cell").applyInArrow(seated, SEATED), "seated")
+        out = []
+        for r in pairs.to_pylist():
+            a, b, n = unsqueeze(r["data"], 3)
+            t = np.ones(len(n))
+            if told is not None and len(n):
+                ids = told["id"].to_numpy()
+                o = np.argsort(ids)
+                ids, key, p, tables = ids[o], told["key"].to_numpy()[o], told["p"].to_numpy()[o], told["t"].to_numpy()[o]
+                x, y = np.searchsorted(ids, a), np.searchsorted(ids, b)
+                with np.errstate(over="ignore"):
+                    keys = key[x].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + key[y].view(np.uint64)
+                mass = (PAIR_STRENGTH + discount * tables[x]) * p[y]
+                t = seat(n.astype(float), np.maximum(mass, 1e-300), discount, keys, sweep)
+            t = t.astype(np.int64)
+            ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+            lack, none = n - t, np.zeros(len(n), dtype=np.int64)
+            customers = np.bincount(at, weights=np.concatenate((none, lack)), minlength=len(ids)).astype(np.int64)
+            tables = np.bincount(at, weights=np.concatenate((lack, none)), minlength=len(ids)).astype(np.int64)
+            lacks = [{"id": i, "customers": c, "tables": u} for i, c, u in zip(ids.tolist(), customers.tolist(), tables.tolist(), strict=True)]
+            out.append((r["cell"], squeeze(t), lacks))
+        return pa.Table.from_batches([arrow_batch(out, schema)])
+
+    own = cells.where("block = -1").select("cell", "data").groupBy("cell")
+    if words is None:
+        def first(pairs):
+            return seated(pairs)
+
+        return saved(own.applyInArrow(first, SEATED), "seated", compression="zstd")
+
+    def again(pairs, told):
+        return seated(pairs, told)
+
+    return saved(own.cogroup(words.groupBy("cell")).applyInArrow(again, SEATED), "seated", compression="zstd")
 
 
 def score_documents(docs: DataFrame, fold: int = 7, held: int = 2, burn_in: int = 1, samples: int = 2) -> DataFrame:
     """Scores of all rows, learned from those outside the held fold: SCORES and ``train_tokens``."""
     spark = docs.sparkSession
-    blocks = word_blocks(docs, fold, held)
-    listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("pos", "e")).select(
-        "block", "pos", F.col("e.words").alias("word"), F.col("e.trained").alias("n"))
-    by_word = Window.partitionBy("word").orderBy("block")
-    whole = by_word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counted = listed.select("block", "pos", "word", F.sum("n").over(whole).alias("c"), (F.row_number().over(by_word) == 1).alias("lead"))
-    numbered = counted.withColumn("row", F.monotonically_increasing_id()).withColumn("id", F.min("row").over(whole))
-    lists = saved(numbered.select("block", "pos", "id", "c", F.when(F.col("lead"), F.col("word")).alias("word")), "lists")
-    leads = lists.where("word IS NOT NULL AND c > 0").select("id", "word", "c", F.xxhash64("word").alias("key"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("size")).first().size
+    parts = max(LEAST_PARTS, size // PART_BYTES + 1)
+    blocks = word_blocks(docs, parts, fold, held)
+    lists = word_lists(blocks, parts)
+    leads = lists.where("block IS NULL").select("id", "word", "c")
     first = leads.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).first()
     tokens, words = first.tokens, first.words
     groups = max(LEAST_GROUPS, int((tokens / CELL_TOKENS) ** 0.5) + 1)
-    cells = cell_pairs(blocks, lists, groups)
+    cells = cell_pairs(blocks, lists, parts, groups)
     sums = cells.agg(F.coalesce(F.sum("once"), F.lit(0)).alias("once"), F.coalesce(F.sum("twice"), F.lit(0)).alias("twice")).first()
     estimate = lambda s: min(max(s.once / max(s.once + 2 * s.twice, 1), 0.1), 0.95)
     pair_discount = estimate(sums)
 
     def lacking(seated):
-        return saved(seated.select(F.inline("lacks")).groupBy("id").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")), "lacks")
+        return saved(seated.select(F.inline("lacks")).groupBy("id").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")), "lacks", compression="zstd")
 
-    seated = seat_pairs(cells, None, groups, pair_discount, 0)
-    lacks = lacking(seated)
-    flagged = saved(leads.join(lacks.select("id", F.lit(True).alias("often")), "id", "left"), "words")
+    seated = seat_pairs(cells, None, pair_discount, 0)
+    lacks, wanted = lacking(seated), seated.select("cell", F.explode("lacks.id").alias("id"))
+    flagged = saved(leads.join(lacks.select("id", F.lit(True).alias("often")), "id", "left"), "words", compression="zstd")
+    key = F.xxhash64("word").alias("key")
     rare, often = flagged.where("often IS NULL"), flagged.where("often")  # often: in a pair seen twice or more
 
     def current(lacks):
         """Words with their customers in the root and the tables of their restaurant."""
-        told = often.join(lacks, "id").select("id", "word", "key", (F.col("c") - F.col("customers")).alias("n"), (F.col("c") - F.col("tables")).alias("t"))
-        return rare.select("id", "word", "key", F.col("c").alias("n"), F.col("c").alias("t")).unionByName(told), told
+        told = often.join(lacks, "id").select("id", "word", key, (F.col("c") - F.col("customers")).alias("n"), (F.col("c") - F.col("tables")).alias("t"))
+        return rare.select("id", "word", key, F.col("c").alias("n"), F.col("c").alias("t")).unionByName(told), told
 
     discount = estimate(current(lacks)[0].agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first())
     spelling, state, states, seatings = Spelling(), {"discount": discount, "tables": float(words), "sweep": 0}, [], []
-    cell_schema, root_schema = arrow_schema("cell long, n double"), arrow_schema("g int, id long, key long, p double, t long")
+    cell_schema, root_schema = arrow_schema("cell long, n double"), arrow_schema("id long, key long, p double, t long")
 
     def in_root(logs, n, keys, state):
         """Probabilities of words in the root."""
@@ -444,10 +518,10 @@ def score_documents(docs: DataFrame, fold: int = 7, held: int = 2, burn_in: int
                 for b in batches:
                     if b.num_rows:
                         p = in_root(word_logs(b.column(1).to_pylist(), table), b.column(3).to_numpy().astype(float), b.column(2).to_numpy().view(np.uint64), drawn)
-                        g = group_of(b.column(0).to_numpy(), groups).astype(np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array(g), b.column(0), b.column(2), pa.array(p), b.column(4)], schema=root_schema)
+                        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(p), b.column(4)], schema=root_schema)
 
-            seated = seat_pairs(cells, told.select("id", "word", "key", "n", "t").mapInArrow(root, "g int, id long, key long, p double, t long"), groups, pair_discount, sweep)
+            rooted = told.select("id", "word", "key", "n", "t").mapInArrow(root, "id long, key long, p double, t long")
+            seated = seat_pairs(cells, rooted.join(wanted, "id"), pair_discount, sweep)
             lacks = lacking(seated)
     states, seatings = states[burn_in:], seatings[burn_in:]
     if not states:
@@ -458,8 +532,8 @@ def score_documents(docs: DataFrame, fold: int = 7, held: int = 2, burn_in: int
     for k, (_, lacks) in enumerate(seatings):
         joined = joined.join(lacks.toDF("id", f"n{k}", f"t{k}"), "id")
     rated_columns = lambda df, often: df.select(
-        "id", "word", "key", "c", *[(c - F.col(f"{x}{k}") if often else c).alias(f"{x}{k}") for x in "nt" for k in range(taken)])
-    rated_schema = arrow_schema("id long, g int, c long, data binary")
+        "id", "word", key, "c", *[(c - F.col(f"{x}{k}") if often else c).alias(f"{x}{k}") for x in "nt" for k in range(taken)])
+    rated_schema = arrow_schema("id long, c long, data binary")
 
     def rate(batches):
         import numpy as np
@@ -476,12 +550,31 @@ def score_documents(docs: DataFrame, fold: int = 7, held: int = 2, burn_in: int
                 out[:, taken + k] = b.column(4 + taken + k).to_numpy()
             raw, width = out.tobytes(), 8 * taken
             data = [raw[x:x + width] for x in range(0, len(raw), width)]
-            g = group_of(b.column(0).to_numpy(), groups).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(g), b.column(3), pa.array(data, type=pa.binary())], schema=rated_schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(data, type=pa.binary())], schema=rated_schema)
+
+    rated = rated_columns(rare, False).unionByName(rated_columns(joined, True)).mapInArrow(rate, "id long, c long, data binary")
+    GIVEN = "block long, kind int, origin int, data binary"  # kind 0: of the words in a part, 1: of the pairs in a cell
+    given_schema = arrow_schema(GIVEN)
+
+    def answer(asked, rated):
+        import numpy as np
+        import pyarrow as pa
+
+        rank, c = rated["id"].to_numpy() // parts, rated["c"].to_numpy()
+        place = np.zeros(rank.max(initial=-1) + 1, dtype=np.int64)
+        place[rank] = np.arange(len(rank))
+        both = np.frombuffer(b"".join(rated["data"].to_pylist()), dtype="<f4").reshape(-1, 2 * taken)
+        columns = [c, *both[:, :taken].copy().view("<i4").astype(np.int64).T, *both[:, taken:].astype(np.int64).T]
+        out = []
+        for block, part, d in zip(asked["block"].to_pylist(), asked["part"].to_pylist(), asked["data"].to_pylist(), strict=True):
+            pos, own = unsqueeze(d, 2)
+            at = place[own]
+            out.append((block, 0, part, squeeze(pos, own, *[x[at] for x in columns])))
+        return pa.Table.from_batches([arrow_batch(out, given_schema)])
 
-    rated = rated_columns(rare, False).unionByName(rated_columns(joined, True)).mapInArrow(rate, "id long, g int, c long, data binary")
-    ratings = lists.where("c > 0").select("block", "pos", "id").join(rated, "id").select("block", F.col("pos").cast("long").alias("pos"), "g", "c", "data")
-    given_schema = arrow_schema("block long, pos long, g int, c long, data binary")
+    asked = lists.where("block IS NOT NULL").select("block", "part", "data")
+    rated = rated.withColumn("part", F.pmod("id", F.lit(parts)).cast("int"))
+    ratings = asked.groupBy("part").cogroup(rated.groupBy("part")).applyInArrow(answer, GIVEN)
 
     def give(rows):
         import numpy as np
@@ -497,37 +590,38 @@ def score_documents(docs: DataFrame, fold: int = 7, held: int = 2, burn_in: int
                 asked.append((block, d))
         n, t = np.append(n, [0, 1]), np.append(t, [0, taken])  # NEVER and ONCE count from the end
         for block, d in asked:
-            at = unsqueeze(d)[0]
-            out.append((block, -1, rows["cell"][0].as_py(), 0, squeeze(n[at], t[at])))
+            at = unstepped(d)
+            out.append((block, 1, rows["cell"][0].as_py(), squeeze(n[at], t[at])))
         return pa.Table.from_batches([arrow_batch(out, given_schema)])
 
     seats = cells.select("cell", "block", "data")
     for k, (seated, _) in enumerate(seatings):
         seats = seats.unionByName(seated.select("cell", F.lit(-2 - k).cast("long").alias("block"), F.col("tables").alias("data")))
-    given = seats.groupBy("cell").applyInArrow(give, "block long, pos long, g int, c long, data binary")
+    given = seats.groupBy("cell").applyInArrow(give, GIVEN)
     score_schema = arrow_schema(SCORES)
 
     def score(block, told):
         import numpy as np
         import pyarrow as pa
 
-        pos, g, data = told["pos"].to_numpy(), told["g"].to_numpy(), told["data"].to_pylist()
-        at, sent = np.flatnonzero(pos >= 0), np.flatnonzero(pos < 0)
+        given = list(zip(told["kind"].to_pylist(), told["origin"].to_pylist(), told["data"].to_pylist(), strict=True))
         out = []
         for r in block.to_pylist():
             size = r["size"]
-            c, group = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+            c, ids = np.zeros(size, dtype=np.int64), np.full(size, -1, dtype=np.int64)
             root = np.tile(np.array([max(1 - s["known"], 1e-300) * (WORD_STRENGTH + s["discount"] * s["total"]) / (WORD_STRENGTH + s["guests"]) for s, _ in states]), (size, 1))
             tables = np.zeros((size, taken))
-            c[pos[at]], group[pos[at]] = told["c"].to_numpy()[at], g[at]
-            both = np.frombuffer(b"".join(data[k] for k in at), dtype="<f4").reshape(-1, 2 * taken).astype(float)
-            root[pos[at]], tables[pos[at]] = both[:, :taken], both[:, taken:]
-            a, b, token = block_pairs(r, size)
-            use = np.flatnonzero((c[a] > 0) & (c[b] > 0))
-            use = use[np.argsort(group[a[use]] * groups + group[b[use]], kind="stable")]
+            for _, part, d in (x for x in given if x[0] == 0):
+                pos, rank, own, *both = unsqueeze(d, 3 + 2 * taken)
+                pos = np.cumsum(pos)
+                ids[pos], c[pos] = rank * parts + part, own
+                for k in range(taken):
+                    root[pos, k], tables[pos, k] = both[k].astype("<i4").view("<f4"), both[taken + k]
+            a, b, token = block_pairs(r)
+            use, _ = in_cells(ids, a, b, groups)
             n, t = np.zeros(len(a)), np.zeros(len(a))
-            if len(sent):
-                n[use], t[use] = (np.concatenate(x) for x in zip(*(unsqueeze(data[k], 2) for k in sent[np.argsort(g[sent])]), strict=True))
+            if len(use):
+                n[use], t[use] = (np.concatenate(x) for x in zip(*(unsqueeze(d, 2) for kind, _, d in sorted(given, key=lambda x: x[:2]) if kind == 1), strict=True))
             p = n - pair_discount * t / taken
             for k in range(taken):
                 p += (PAIR_STRENGTH + pair_discount * tables[a, k]) * root[b, k] / taken
@@ -540,7 +634,7 @@ def score_documents(docs: DataFrame, fold: int = 7, held: int = 2, burn_in: int
             out += zip(r["doc_id"], r["held"], n.tolist(), *(x.tolist() for x in per), strict=True)
         return pa.Table.from_batches([arrow_batch(out, score_schema)])
 
-    scored = (blocks.select("block", F.size("words").alias("size"), "doc_id", "held", "n", "tokens").groupBy("block")
+    scored = (blocks.where("part IS NULL").select("block", "size", "doc_id", "held", "n", "tokens").groupBy("block")
               .cogroup(ratings.unionByName(given).groupBy("block")).applyInArrow(score, SCORES))
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
 

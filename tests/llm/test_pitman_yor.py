@@ -89,3 +89,24 @@ def test_pairs_are_counted_over_blocks(spark, monkeypatch):
     one = {r.doc_id: r.score for r in py.score_documents(df.coalesce(1)).collect()}
     many = {r.doc_id: r.score for r in py.score_documents(df.repartition(5)).collect()}
     assert all(many[i] == pytest.approx(s, rel=1e-6) for i, s in one.items())
+
+
+def test_numbers_come_back_from_their_steps():
+    numbers = np.array([0, py.ONCE, 3, 4, py.NEVER, 900, py.ONCE, 901])
+    assert (py.unstepped(py.stepped(numbers)) == numbers).all() and len(py.unstepped(py.stepped(numbers[:0]))) == 0
+    assert (np.cumsum(py.steps(np.array([2, 5, 5, 9]))) == [2, 5, 5, 9]).all()
+
+
+def test_what_is_saved_between_steps_stays_small(spark):
+    """Blocks, lists, pairs and seatings: 2.5 times the documents' file (4.4 with rows in place of packed columns)."""
+    import os
+
+    from provlake.llm.common import shared_folder
+
+    def size(folder):
+        return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder.removeprefix("file:")) for f in files)
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    before = size(shared_folder(spark))
+    assert py.score_documents(spark.read.parquet(path)).count() == 1000
+    assert size(shared_folder(spark)) - before <= 3 * os.path.getsize(path)
