@@ -15,6 +15,7 @@ from provlake.operators.verification import conflict_abstentions
 from provlake.plans import rules
 from provlake.plans.caseflags import case_flags, kinds_read, read_facts
 from provlake.plans.emit import abstain, emitted
+from provlake.session import small_methods
 from provlake.sources.sink import staged, write_evidence
 
 EVIDENCE_TABLES = ["outcomes", "cap_requests", "abstention_requests", "out_of_scope", "claim_scores", "conclusions"]
@@ -35,6 +36,7 @@ def loop_context(cases: DataFrame, loop: DataFrame, artifacts: DataFrame) -> Dat
 def emissions(cases: DataFrame, facts: DataFrame, artifacts: DataFrame, declared: DataFrame,
               families: list[str] | None = None, pinned_only: bool = False) -> DataFrame:
     """All rule emissions of the chosen families (every family by default)."""
+    small_methods(facts.sparkSession)
     chosen = families or list(rules.CASE_FAMILIES)
     specs = [s for f in chosen for s in (
         rules.global_caps(pinned_only) if f == "global_caps" else rules.CASE_FAMILIES[f]())]

@@ -131,3 +131,14 @@ def test_a_save_folds_the_claim_rows_once(spark, tmp_path, monkeypatch):
     assert len(calls) == 1
     for name in ("claim_scores", "conclusions"):
         assert rows(read_evidence(spark, str(tmp_path / "once"), name)) == rows(getattr(result, name))
+
+
+def test_sessions_made_elsewhere_run_rules_as_small_methods(spark, sf):
+    """HotSpot compiles no method above 8,000 bytes; Spark's own limit lets stages of rules become such methods."""
+    from provlake.checks import QUERIES
+
+    limit, own = "spark.sql.codegen.hugeMethodLimit", spark.newSession()
+    for stated, used in (("65535", "8000"), ("20000", "20000")):
+        own.conf.set(limit, stated)
+        QUERIES["outcome_citation"](own, sf)
+        assert own.conf.get(limit) == used
