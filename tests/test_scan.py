@@ -124,3 +124,15 @@ def test_no_secret_is_in_any_field(result):
     said = json.dumps(result[0])
     for secret in ("sk-" + "a1" * 12, "hunter2", "a@bc.de", "u:p@", "abc\", \"TOKEN"):
         assert secret not in said
+
+
+def test_readers_run_once_for_the_numbering(spark, monkeypatch):
+    """The found facts are saved before they are numbered, which reads them three times."""
+    rows = lambda data, ddl: spark.createDataFrame(data, ddl)
+    files = rows([(1, 1, "a", "training_log", "ROOT1/a.log")], "case_id long, artifact_seq long, artifact_id string, artifact_type string, path_alias string")
+    lines = rows([(1, "a", 1, "step=1 loss=2.5 seed=7"), (1, "a", 2, "step=2 loss=1.5")], "case_id long, artifact_id string, line_no long, line string")
+    numbered, union = [], S.configs.facts_union
+    monkeypatch.setattr(S.configs, "facts_union", lambda parts: numbered.extend(parts) or union(parts))
+    facts = S.scan(files, lines, rows([], "case_id long, artifact_id string, body string")).facts
+    assert {"training_metric", "seed_record"} <= {r.kind for r in facts.collect()}
+    assert all("/scan-facts-" in f for part in numbered for f in part.inputFiles()) and numbered[0].inputFiles()
