@@ -105,3 +105,20 @@ def test_a_case_may_have_a_hundred_thousand_names(spark):
 def test_every_account_of_a_path_is_learned(spark):
     paths = spark.createDataFrame([(1, "/home/users/Bob K/x"), (1, "D:\\USERS\\eve\\home\\mallory"), (1, "/home"), (1, None), (1, "xhome/abc"), (2, "home/ab/users/ÄÖÜ")], "case_id long, path string")
     assert sorted((r.case_id, r.name) for r in privacy.learned_users(paths).collect()) == [(1, "bob k"), (1, "eve"), (1, "mallory"), (1, "users"), (2, "ÄÖÜ")]
+
+
+def test_names_are_right_whatever_hashes_meet(spark, monkeypatch):
+    """Tokens and texts move as hashes; with one bucket and one key for all texts, each still gets its own case's names only."""
+    texts = spark.createDataFrame([(1, 1, "by Amanda and bob"), (1, 2, "nobody, Robert"), (2, 3, "amanda"), (None, 4, "bob"), (2, 5, None), (2, 6, "robert.")],
+                                  "case_id long, doc_id long, text string")
+    paths = spark.createDataFrame([(1, "/home/amanda/x"), (1, "C:\\Users\\Bob\\y"), (2, "/home/robert/z"), (None, "/home/nobody/q")], "case_id long, path string")
+
+    def got():
+        return {r.doc_id: r.text for r in privacy.username_alias(texts, paths).collect()}
+
+    want = {1: "by [USER] and [USER]", 2: "nobody, Robert", 3: "amanda", 4: "bob", 5: None, 6: "[USER]."}
+    assert got() == want
+    assert dict(privacy.names_in_texts(texts, privacy.learned_users(paths)).dtypes)["text_key"] == "bigint"
+    monkeypatch.setattr(privacy, "NAME_BUCKETS", 1)
+    monkeypatch.setattr(privacy, "text_key", lambda text: F.lit(0).cast("long"))
+    assert got() == want
