@@ -70,3 +70,15 @@ def test_odd_rows(spark):
     got = sorted((str(r.page_id), len(r.text)) for r in tp.extract(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [("1", 0), ("1", 0), ("2", 0), ("3", 1000), ("4", 200_000), ("None", 0)]
     assert tp.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_host_of_two_pages_has_a_template(spark):
+    pages = [(i, "http://two.example/", shop(i)) for i in range(2)]
+    copies = [(10 + i, f"http://copies{n}.example/", shop(1)) for n in (2, 3) for i in range(n)]
+    got = [(r.page_id, r.text) for r in tp.extract(spark.createDataFrame(pages + copies, SCHEMA)).collect()]
+    for i, text in got:
+        if i < 10:
+            assert text == f"Item {i}\n\nThis thing number {i} is <good> & cheap, really."
+        else:  # nothing tells frame and slots of copies apart, so no text is lost
+            assert text.startswith("Welcome to the shop") and "really." in text
+    assert len(got) == 7
