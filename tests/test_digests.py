@@ -52,3 +52,36 @@ def test_known_root_digests_are_taken_as_given(spark):
     given = X.root_digest(files).where("case_id = 1")
     got = X.integrity_status(cases, files, files, roots, actual=given)
     assert {r.case_id: r.integrity_status for r in got.collect()} == {1: "intact", 2: "modified"}
+
+
+def test_evidence_moves_with_every_column_of_every_table(spark, sf):
+    """A change of any column of what was declared, observed, emitted or listed changes the digest of its case."""
+    from provlake.checks import q_verification as Q
+    from provlake.checks.sqlviews import spark_view
+
+    edits = [("v_declared", "weight_origin", "'x'"), ("v_fact_flat", "base_name", "'x'"), ("v_artifact", "sha256", "'x'"), ("v_outcome", "tier", "'E3'"),
+             ("v_outcome", "facet", "'rag'"), ("v_outcome", "emit_step", "1")]
+    one = lambda v: spark_view(spark, sf, v).where("case_id BETWEEN 23 AND 29")
+
+    def edited(v):
+        df = one(v)
+        for case, (view, column, value) in enumerate(edits, 23):  # each edit in a case of its own
+            if view == v:
+                df = df.withColumn(column, F.when(F.col("case_id") == case, F.expr(value)).otherwise(F.col(column)).cast(df.schema[column].dataType))
+        return df
+
+    a, b = ({r.case_id: r.evidence_digest for r in Q.evidence(get).collect()} for get in (one, edited))
+    assert {c for c in a if a[c] != b[c]} == set(range(23, 29)) and len(set(a.values())) == len(a) == 7
+
+
+def test_crowded_cases_get_the_same_digest(spark, monkeypatch):
+    from provlake.operators import skew
+
+    facts = spark.createDataFrame([(k, i, f"v{i % 7}") for k, n in ((1, 3000), (2, 5), (None, 2)) for i in range(n)], "case_id long, i long, v string").repartition(4)
+    cases = spark.createDataFrame([(1,), (2,), (3,)], "case_id long")
+    texts = {k: sorted(f"i={i}|v=v{i % 7}" for i in range(n)) for k, n in ((1, 3000), (2, 5))}
+    want = {k: sha("facts=" + tree(t)) for k, t in texts.items()} | {3: sha("")}
+    got = lambda: {r.case_id: r.evidence_digest for r in X.evidence_digest(cases, {"facts": facts}).collect()}
+    assert got() == want
+    monkeypatch.setattr(X, "crowded", lambda rows, key: skew.crowded(rows, key, 1000))
+    assert skew.crowded(facts, "case_id", 1000).count() == 1 and got() == want
