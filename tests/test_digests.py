@@ -85,3 +85,18 @@ def test_crowded_cases_get_the_same_digest(spark, monkeypatch):
     assert got() == want
     monkeypatch.setattr(X, "crowded", lambda rows, key: skew.crowded(rows, key, 1000))
     assert skew.crowded(facts, "case_id", 1000).count() == 1 and got() == want
+
+
+def test_a_saved_step_leaves_no_shuffle_files(spark):
+    import glob
+
+    from provlake.sources.sink import staged
+
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    before = files()
+    spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).count().repartition(3, "count").write.format("noop").mode("overwrite").save()
+    kept = files()
+    saved = staged(spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).count().repartition(3, "count"), "counts")
+    assert kept - before and files() <= kept and len(saved.collect()) == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
