@@ -36,6 +36,13 @@ def loop_context(cases: DataFrame, loop: DataFrame, artifacts: DataFrame) -> Dat
 def emissions(cases: DataFrame, facts: DataFrame, artifacts: DataFrame, declared: DataFrame,
               families: list[str] | None = None, pinned_only: bool = False) -> DataFrame:
     """All rule emissions of the chosen families (every family by default)."""
+    of_cases, of_facts = emission_parts(cases, facts, artifacts, declared, families, pinned_only)
+    return of_cases if of_facts is None else of_cases.unionByName(of_facts)
+
+
+def emission_parts(cases: DataFrame, facts: DataFrame, artifacts: DataFrame, declared: DataFrame,
+                   families: list[str] | None = None, pinned_only: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Emissions of rules over the case row, at most a few hundred a case and lying where the case list has its case, and of rules over single facts."""
     small_methods(facts.sparkSession)
     chosen = families or list(rules.CASE_FAMILIES)
     specs = [s for f in chosen for s in (
@@ -43,15 +50,15 @@ def emissions(cases: DataFrame, facts: DataFrame, artifacts: DataFrame, declared
     flags = case_flags(cases, facts, artifacts, declared, kinds_read(specs))
     out = emitted(flags, specs)
 
-    looped = [f for f in chosen if f in rules.FACT_FAMILIES]
+    looped, of_facts = [f for f in chosen if f in rules.FACT_FAMILIES], None
     if looped:
         wanted = [x for f in looped for x in rules.FACT_FAMILY_KINDS[f]]
         loop = read_facts(facts.where(F.col("kind").isin(wanted)))
         rows = (context_join(loop, loop_context(cases, loop, artifacts), "case_id", "n_rows", "fact_id")
                 .where("n_rows IS NOT NULL")  # facts of cases outside the case list say nothing
                 .withColumn("me", F.struct("fact_seq", "fact_id", "artifact_id", "source_group")))
-        out = out.unionByName(emitted(rows, [s for f in looped for s in rules.FACT_FAMILIES[f]()]))
-    return out
+        of_facts = emitted(rows, [s for f in looped for s in rules.FACT_FAMILIES[f]()])
+    return out, of_facts
 
 
 def cite(rows: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -67,6 +74,12 @@ class EvidenceResult:
     cases: DataFrame
     artifacts: DataFrame
     emissions: DataFrame
+    parts: tuple[DataFrame, DataFrame] | None = None  # the emissions that lie with their case, and the others, where that is known
+
+    def _claim_rows(self) -> DataFrame:
+        if self.parts is None:
+            return scoring.claim_rows(self.cases, self.emissions)
+        return scoring.claim_rows(self.cases, self.parts[1], self.parts[0])
 
     def _of(self, kind: str) -> DataFrame:
         return self.emissions.where(F.col("kind") == kind)
@@ -89,12 +102,11 @@ class EvidenceResult:
 
     @cached_property
     def claim_scores(self) -> DataFrame:
-        return scoring.claim_scores(self.cases, self.emissions)
+        return scoring.score_table(self._claim_rows())
 
     @cached_property
     def conclusions(self) -> DataFrame:
-        return scoring.conclusions(self.cases, self.emissions)
-
+        return scoring.conclusion_table(self._claim_rows())
 
     def save(self, path: str, version: int = V.RULESET_VERSION) -> None:
         """Evaluate once and save the six tables of the screen as one commit."""
@@ -118,7 +130,8 @@ def evaluate(cases: DataFrame, facts: DataFrame, artifacts: DataFrame, declared:
 
     With the artifacts of other ``submissions`` of the cases, a file whose digests disagree makes its case abstain.
     """
-    found = emissions(cases, facts, artifacts, declared, pinned_only=pinned_only)
+    # the case list is dealt by case, so that what its rows emit lies there
+    placed, others = emission_parts(cases.repartition("case_id"), facts, artifacts, declared, pinned_only=pinned_only)
     if submissions is not None:
-        found = found.unionByName(conflicts(cases, artifacts, submissions))
-    return EvidenceResult(cases, artifacts, found)
+        others = others.unionByName(conflicts(cases, artifacts, submissions))
+    return EvidenceResult(cases, artifacts, placed.unionByName(others), (placed, others))

@@ -142,3 +142,22 @@ def test_sessions_made_elsewhere_run_rules_as_small_methods(spark, sf):
         own.conf.set(limit, stated)
         QUERIES["outcome_citation"](own, sf)
         assert own.conf.get(limit) == used
+
+
+def test_what_case_rows_emit_stays_with_its_case(spark, inputs):
+    """All emissions moved twice on their way to the conclusions; those of rules over the case row need not move at all."""
+    result = evaluate(*inputs)
+    moves = []
+
+    def walk(node, above):
+        name = node.nodeName()
+        if name == "Generate" and "targets#" in node.output().toString():  # the rules as rows
+            moves.append(above)
+        for i in range(node.children().size()):
+            walk(node.children().apply(i), above + (name == "Exchange"))
+
+    walk(result.conclusions.select("*")._jdf.queryExecution().executedPlan().initialPlan(), 0)
+    assert min(moves) == 0
+    whole = EvidenceResult(result.cases, result.artifacts, result.emissions)  # the same, with nothing known of where rows lie
+    for name in ("conclusions", "claim_scores"):
+        assert rows(getattr(result, name)) == rows(getattr(whole, name)), name
